@@ -1,0 +1,22 @@
+"""Time buckets: they give keyless operators, and single hot keys, more than one partition."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewheel.context import Context, as_number, value_number
+
+BUCKET = "__bucket"
+#: Buckets of a window; the carry between them has at most so many rows for each key.
+BUCKETS = 256
+
+
+def bucket(time: Column, kind: T.DataType, context: Context, count: int = BUCKETS) -> Column:
+    """The bucket of a time.  Equal times share one; times beyond the window go to the outer ones."""
+    low, high = value_number(context.start), value_number(context.stop)
+    if not high > low:
+        return F.lit(0)
+    place = F.floor((as_number(time, kind).cast("double") - F.lit(float(low))) * F.lit(count / float(high - low)))
+    return F.least(F.greatest(place, F.lit(0)), F.lit(count - 1)).cast("int")
