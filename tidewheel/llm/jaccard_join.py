@@ -2,7 +2,8 @@
 
 A document is the set of its word shingles.  Two sets of Jaccard similarity t share at least
 ceil(t * a) tokens, a being either size, so under one global token order their prefixes of length
-a - ceil(t * a) + c share at least c tokens.  The order puts frequent tokens last.
+a - ceil(t * a) + c share at least c tokens.  The order puts frequent tokens last.  Tokens that no
+other prefix has, and sets with fewer than c tokens left, are dismissed at once.
 
 * Copies: documents with equal sets are one class; one representative goes on.
 * Light sets enumerate all ``SUBSET``-token subsets of their prefix and meet in equal subsets.
@@ -11,12 +12,12 @@ a - ceil(t * a) + c share at least c tokens.  The order puts frequent tokens las
   scanned list entries smallest, from exact counts by size class.
 
 For components, a list is not expanded into pairs.  Its members are checked against one central
-member, then against 4, 16, ... further ones, and members already in one component are never
+member, then against the next 31, the next 992 and so on, and members already in one component are never
 checked against each other; what remains is exact, and near copies cost one check each.
 
 Defined edge cases: null or wordless text has an empty set, links with nothing and is its own
-component; rows without an id link with nothing and have a null component; repeated rows are
-copies of each other; of several texts under one id, the one with the smallest digest stands for
+component; rows without an id do not stand for a class: they take the component of a row with
+the same set, or null; repeated rows are copies of each other; of several texts under one id, the one with the smallest digest stands for
 it in near links; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -40,10 +41,14 @@ WORDS = 5
 PERCENT = 80
 #: Tokens in an enumerated subset.
 SUBSET = 2
+#: A set's prefix is longer by a token for so many tokens of the set.
+SPARE = 16
 #: A token is noted as frequent where one batch of documents holds it so often, and the most
 #: frequent of these come last in the order.  Any order is exact; this one keeps lists short.
 OFTEN = 4
-FREQUENT = 1 << 18
+FREQUENT = 1 << 17
+#: Each round checks lists against so many times as many members.
+GROWTH = 32
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> Iterator[np.ndarray]:
@@ -65,6 +70,12 @@ def least_common(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+def prefix_common(size: int) -> int:
+    """Tokens that the prefixes of two similar sets must share.  More of them lengthen the prefix a
+    little, and dismiss the many sets that share a few tokens with others by chance."""
+    return max(SUBSET, 1 + size // SPARE)
+
+
 def linked(common: int, a: int, b: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
@@ -104,7 +115,7 @@ def _prefixes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int)
             for own in shingle_sets(*utf8(batch.column(1)), size):
                 n = len(own)
                 least = least_common(n, percent)
-                length = n - least + SUBSET if least >= SUBSET else 0  # else only equal sets link
+                length = n - least + prefix_common(n) if least >= SUBSET else 0  # else only equal sets link
                 maybe = np.flatnonzero(marks[(own >> np.uint64(42)).astype(np.int64)]) if length else own[:0]
                 if len(maybe):
                     where = np.minimum(np.searchsorted(often, own[maybe]), len(often) - 1)
@@ -133,10 +144,13 @@ def _classes(prefixes: DataFrame) -> DataFrame:
     return own.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n_shingles", "prefix"), "doc_id").alias("set")).select("digest", "node", "set.n_shingles", "set.prefix")
 
 
-def _shared_tokens(classes: DataFrame) -> DataFrame:
-    """node, size, pos, token and how many sets have the token in their prefix, where that is two or more."""
+def _shared_tokens(classes: DataFrame, percent: int) -> DataFrame:
+    """node, size, pos, token and how many sets have the token in their prefix, where that is two or
+    more, of the nodes with enough of such tokens to link with a set of the least size that may."""
     rows = classes.select("node", F.col("n_shingles").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "token"))
-    return rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("token"))).filter("n > 1")
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("token"))).filter("n > 1")
+    needed = F.greatest(F.lit(SUBSET), 1 + F.floor(_least(F.col("size"), percent) / SPARE))
+    return rows.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("node"))).filter(F.col("k") >= needed).drop("k")
 
 
 def _least(size: Column, percent: int) -> Column:
@@ -159,7 +173,8 @@ def _lists(tokens: DataFrame, percent: int) -> DataFrame:
     """
     light = F.length(F.bin("size")) <= _boundary(tokens)
     weights = tokens.groupBy("node").agg(F.sum("n").alias("weight"))
-    own = tokens.filter(light).groupBy("node").agg(F.first("size").alias("size"), F.array_sort(F.collect_list("token")).alias("own"))
+    within = F.col("pos") <= F.col("size") - _least(F.col("size"), percent) + (SUBSET - 1)
+    own = tokens.filter(light & within).groupBy("node").agg(F.first("size").alias("size"), F.array_sort(F.collect_list("token")).alias("own"))
     pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.struct(x.alias("key"), y.alias("other")))))
     enumerated = own.select("node", "size", F.explode(pairs).alias("p")).select("p.key", "p.other", "node", "size")
     short = tokens.filter(F.col("pos") <= F.col("size") - _least(F.col("size"), percent))
@@ -218,7 +233,7 @@ def _candidates(lists: DataFrame, first: int, last: int | None, percent: int) ->
 def _start(docs, doc_id, text, size, percent):
     prefixes = pinned(_prefixes(docs, doc_id, text, size, percent))
     classes = _classes(prefixes)
-    tokens = pinned(_shared_tokens(classes))
+    tokens = pinned(_shared_tokens(classes, percent))
     lists = _lists(tokens, percent)
     ranked = lists.withColumn("rank", F.row_number().over(W.partitionBy("key", "other").orderBy(F.desc("weight"), "node")))
     lists = pinned(ranked.select("key", "other", "node", "size", "rank", F.col("node").alias("component")))
@@ -236,16 +251,25 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
     prefixes, members, lists, sets = _start(docs, doc_id, text, size, percent)
-    edges, first, last = None, 1, 1
-    labels = members.select("node", F.col("node").alias("component")).limit(0)
+    labels, first, last = None, 1, 1
     while lists.head(1):
         found = pinned(_verified(_candidates(lists, first, last, percent), sets, percent))
-        edges = found if edges is None else edges.union(found)
-        labels = pinned(components(edges))
+        if labels is not None:  # what was found before stands as its component
+            x, y = labels.select(F.col("node").alias("a"), F.col("component").alias("p")), labels.select(F.col("node").alias("b"), F.col("component").alias("q"))
+            found = found.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b"))
+            found = pinned(found)
+        new = pinned(components(found))
+        if labels is None:
+            labels = new
+        else:
+            to = new.select(F.col("node").alias("component"), F.col("component").alias("to"))
+            labels = pinned(labels.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(new.join(labels.select("node"), "node", "left_anti")))
         rest = lists.filter(F.col("rank") > last).drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         own = W.partitionBy("key", "other")
         rest = rest.withColumns({"low": F.min("component").over(own), "high": F.max("component").over(own)}).filter("low < high").drop("low", "high")
         lists = pinned(rest)
-        first, last = last + 1, last * 4 + 1
+        first, last = last + 1, last * GROWTH
+    if labels is None:
+        labels = members.select("node", F.col("node").alias("component")).limit(0)
     out = prefixes.select("doc_id", "n_shingles", "digest").join(members, "digest", "left").join(labels, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("class_id"), F.coalesce("component", "node", "doc_id").alias("component_id"))

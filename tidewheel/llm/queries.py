@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import bpe_replay, chat_format, decontaminate, jaccard_join, language_id
+from tidewheel.llm import bpe_replay, bwt_dedup, chat_format, decontaminate, jaccard_join, language_id, quality_rules, warc
+from tidewheel.llm.shared import pinned
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 #: A conversation whose texts are control strings; it checks that formatting is reversible.
@@ -42,6 +43,61 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
 """
 
 
+def op4_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measures = quality_rules.measured(table(spark, sf_dir, "documents"))
+    measures = pinned(measures.select("doc_id", "lang", "source", *quality_rules.METRICS, "n_lines", "base_failed"))
+    out = quality_rules.judged(measures, quality_rules.fences(quality_rules.sketches(measures)))
+    return out.select("doc_id", *quality_rules.METRICS, "base_failed", "kept")
+
+
+_OP5_RULES = {"symbols": 20, "length": 50, "dup_lines": 300}
+_OP5_AT = ", ".join(f"min(bucket) FILTER (metric = '{m}' AND 100 * up_to >= {p} * total) AS {m}_{p}" for m in (*_OP5_RULES, "words") for p in (25, 50, 75))
+_OP5_NAMES = [f"{m}_{p}" for m in (*_OP5_RULES, "words") for p in (25, 50, 75)]
+_OP5_PICK = ", ".join(f"CASE WHEN g.total >= 100 THEN g.{c} WHEN l.total >= 100 THEN l.{c} ELSE e.{c} END AS {c}" for c in _OP5_NAMES)
+_OP5_BEYOND = " OR ".join(f"coalesce({m} > {m}_75 + greatest(3 * ({m}_75 - {m}_25), {room}) * greatest(1.0::DOUBLE, sqrt(words_50 / greatest(n_words, 1))), false)" for m, room in _OP5_RULES.items())
+
+
+def _op5_quartiles(by: str) -> str:
+    keys, over = (f"{by}, ", f"PARTITION BY {by}, metric") if by else ("", "PARTITION BY metric")
+    return f"""SELECT {keys}max(total) AS total, {_OP5_AT} FROM (
+    SELECT {keys}metric, bucket, sum(n) OVER ({over} ORDER BY bucket) AS up_to, sum(n) OVER ({over}) AS total
+    FROM (SELECT {keys}metric, bucket, sum(n) AS n FROM sketch GROUP BY ALL)
+  ) {"GROUP BY " + by if by else ""}"""
+
+
+OP5_SQL = rf"""
+WITH base AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), win AS (
+  SELECT rid, i, w[i:i + 4] AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM base WHERE len(w) >= 5)
+), dup AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, win) > 1),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM dup) GROUP BY rid),
+m AS (
+  SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM base LEFT JOIN rep USING (rid)
+), r AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CAST(floor(1000 * n_symbols / greatest(word_chars, 1)) AS BIGINT) AS symbols,
+    CAST(floor(100 * word_chars / greatest(n_words, 1)) AS BIGINT) AS length, CAST(floor(1000 * n_dup_lines / greatest(n_lines, 1)) AS BIGINT) AS dup_lines, n_words AS words
+  FROM m
+), long AS (
+  SELECT lang, source, metric, v FROM (SELECT lang, source, unnest(['symbols', 'length', 'dup_lines', 'words']) AS metric, unnest([symbols, length, dup_lines, words]) AS v FROM r WHERE n_words > 0)
+), sketch AS (
+  SELECT lang, source, metric, (v >> s) << s AS bucket, count(*) AS n FROM (SELECT *, CAST(greatest(length(bin(v)) - 6, 0) AS BIGINT) AS s FROM long) GROUP BY ALL
+), g AS ({_op5_quartiles("lang, source")}), l AS ({_op5_quartiles("lang")}), e AS ({_op5_quartiles("")}),
+fence AS (SELECT g.lang, g.source, {_OP5_PICK} FROM g LEFT JOIN l ON g.lang IS NOT DISTINCT FROM l.lang CROSS JOIN e)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_OP5_BEYOND}) AS kept
+FROM r LEFT JOIN fence f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source
+"""
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -71,6 +127,10 @@ def op7_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_replay.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.fold(F.col("doc_id")) == 0)
     fitted = language_id.fit(docs.filter(~F.col("held_out")))
@@ -103,8 +163,11 @@ FROM t GROUP BY conv_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_jaccard_join": op2_jaccard_join,
+        "op4_bwt_dedup": op4_bwt_dedup,
+        "op5_quality_rules": op5_quality_rules,
         "op6_decontaminate": op6_decontaminate,
         "op7_bpe_encode": op7_bpe_encode,
+        "op8_warc": op8_warc,
         "op9_language_id": op9_language_id,
         "op10_chat_format": op10_chat_format,
     }
@@ -113,6 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_jaccard_join": OP2_SQL,
+        "op5_quality_rules": OP5_SQL,
         "op6_decontaminate": OP6_SQL,
         "op10_chat_format": OP10_SQL,
     }

@@ -67,3 +67,10 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         last = min(n, max(first + 1, last))
         yield first, last
         first = last
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cut lineage, and columns are read as needed."""
+    folder = fresh_dir(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
