@@ -3,23 +3,18 @@
 import math
 
 
-def rows(frame):
-    frame = frame[sorted(frame.columns)]
-    out = []
-    for row in frame.itertuples(index=False):
-        out.append(tuple(_plain(x) for x in row))
-    return sorted(out, key=str)
+def rows(names, values):
+    order = sorted(range(len(names)), key=lambda k: names[k])
+    return sorted((tuple(_plain(row[k]) for k in order) for row in values), key=str)
 
 
 def _plain(x):
-    if x is None or x != x and not isinstance(x, float):
-        return None
     if isinstance(x, float):
         return "nan" if math.isnan(x) else repr(round(x, 6))
-    return str(x)
+    return x
 
 
 def same(spark_df, relation):
-    ours, theirs = spark_df.toPandas(), relation.df()
-    assert sorted(ours.columns) == sorted(theirs.columns)
-    assert rows(ours) == rows(theirs)
+    theirs = relation.fetchall()
+    assert sorted(spark_df.columns) == sorted(relation.columns)
+    assert rows(spark_df.columns, spark_df.collect()) == rows(relation.columns, theirs)

@@ -10,6 +10,8 @@ from tidewheel.context import SEQ, TIME, Context
 from tidewheel.frame import TimeFrame
 from tidewheel.pipeline import Transform, mapped, operator
 
+#: Times keep their microseconds.
+_CSV = {"header": True, "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 _TAKEN = ("append", "header", "writeheader", "partition", "compress", "mode")
 
 
@@ -40,7 +42,7 @@ def _sink(write, queue: int, single: bool, persist: bool) -> Transform:
 def write_csv(path: str, queue: int = 1, single: bool = False, persist: bool = False, delim: str = ",", **options: Any) -> Transform:
     """Write CSV with a header into the folder ``path``, replacing it."""
     _checked(queue, options)
-    return _sink(lambda df: df.write.mode("overwrite").option("header", True).option("sep", delim).options(**options).csv(path), queue, single, persist)
+    return _sink(lambda df: df.write.mode("overwrite").options(**_CSV | options, sep=delim).csv(path), queue, single, persist)
 
 
 @operator
