@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import bpe_replay, bwt_dedup, chat_format, decontaminate, jaccard_join, language_id, quality_rules, warc
+from tidewheel.llm import bpe_replay, bwt_dedup, chat_format, decontaminate, html_extract, jaccard_join, language_id, quality_rules, token_counts, warc
 from tidewheel.llm.shared import pinned
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 #: A conversation whose texts are control strings; it checks that formatting is reversible.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -20,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -43,6 +48,10 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
 """
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op4_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -162,7 +171,9 @@ FROM t GROUP BY conv_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extract": op1_html_extract,
         "op2_jaccard_join": op2_jaccard_join,
+        "op3_token_counts": op3_token_counts,
         "op4_bwt_dedup": op4_bwt_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op6_decontaminate": op6_decontaminate,
