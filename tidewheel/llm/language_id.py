@@ -102,16 +102,18 @@ class Filter:
         return self.masks[(hashed & slots).astype(np.int64)] & self.masks[(hashed >> np.uint64(32) & slots).astype(np.int64)]
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        if not self.languages:
+            return ["und"] * len(texts), [0.0] * len(texts)
         langs, scores = [], []
         for part in _parts(texts):
             hashed, owner, lettered = grams(part)
             masks, total = self.contained(hashed), np.bincount(owner, minlength=len(part))
-            count = np.stack([np.bincount(owner[(masks >> masks.dtype.type(k) & masks.dtype.type(1)).astype(bool)], minlength=len(part)) for k in range(len(self.languages))] or [np.zeros(len(part))])
+            count = np.stack([np.bincount(owner[(masks >> masks.dtype.type(k) & masks.dtype.type(1)).astype(bool)], minlength=len(part)) for k in range(len(self.languages))])
             right = np.maximum(0, (count - total * self.false_rate[:, None]) / (1 - np.minimum(self.false_rate[:, None], 0.999)))
             best, whole = right.argmax(axis=0), right.sum(axis=0)
             top = right.max(axis=0)
             for k in range(len(part)):
-                known = bool(lettered[k]) and bool(self.languages)
+                known = bool(lettered[k])
                 langs.append(self.languages[best[k]] if known else "und")
                 scores.append(float(top[k] / whole[k]) if known and whole[k] > 0 else 0.0)
         return langs, scores
