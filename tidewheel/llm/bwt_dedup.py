@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -352,12 +352,21 @@ def _mask(n: int, spans: list[dict]) -> np.ndarray:
     return np.cumsum(change)[:n] == 0
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame, text: str) -> DataFrame:
-    spans = pinned(spans)
-    total = spans.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("spans")).alias("c")).first()
-    width = 128 + 32 * ((total["c"] or 0) // max(1, total["n"]))
-    sized = hinted(spans.select(F.col("sha").alias("__sha"), F.col("spans").alias("__spans")), total["n"], width)
-    return docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(sized, "__sha", "left")
+def _short(sha: str) -> Column:
+    return F.conv(F.substring(sha, 1, 15), 16, 10).cast("bigint")
+
+
+def _parted(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` (with ``__sha``) that may have spans, with ``__spans``, and the others.
+
+    Only the former's texts are shuffled to their spans: rows are told apart by a short key, which
+    is broadcast while all keys are under the bound.
+    """
+    count = spans.count()
+    keys = hinted(spans.select(_short("sha").alias("__key")).distinct(), count, 16)
+    keyed = docs.withColumn("__key", _short("__sha"))
+    own = spans.select(F.col("sha").alias("__sha"), F.col("spans").alias("__spans"))
+    return keyed.join(keys, "__key", "left_semi").drop("__key").join(own, "__sha", "left"), keyed.join(keys, "__key", "left_anti").drop("__key")
 
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -366,31 +375,32 @@ def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            shas, removed, count = batch.column(2).to_pylist(), [], []
-            spans = batch.column(3)
+            spans, removed, count, kept = batch.column(2), [], [], []
             for k in range(len(batch)):
-                if not spans[k].is_valid:
-                    removed.append(0), count.append(0)
-                    continue
                 own = raw[offsets[k] : offsets[k + 1]]
                 stays = _mask(len(own), spans[k].as_py())
                 removed.append(int(len(own) - np.count_nonzero(stays)))
                 count.append(len(runs(~stays)))
-                shas[k] = hashlib.sha256(own[stays].tobytes()).hexdigest()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(shas, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                kept.append(hashlib.sha256(own[stays].tobytes()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = _with_spans(docs, repeated_spans(docs, text, doc_id), text)
-    return joined.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text), "__sha", "__spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    touched, rest = _parted(own.withColumn("__sha", F.sha2("text", 256)), pinned(repeated_spans(docs, text, doc_id)))
+    cut = touched.select("doc_id", "text", "__spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    none = F.lit(0).cast("bigint")
+    return cut.unionByName(rest.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("__sha").alias("kept_sha256")))
 
 
 def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with the repeated bytes removed; a character stays while one of its bytes does."""
-    joined = _with_spans(docs, repeated_spans(docs, text, doc_id), text)
 
     @F.pandas_udf("string")
     def cut(texts, spans):
         out = []
         for t, s in zip(texts, spans):
+            if t is None or s is None:
+                out.append(t)
+                continue
             raw = np.frombuffer(t.encode("utf-8"), np.uint8)
             stays = _mask(len(raw), list(s))
             lead = np.flatnonzero((raw & 0xC0) != 0x80)  # first bytes of characters
@@ -398,5 +408,6 @@ def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
             out.append(raw[np.repeat(whole, np.diff(np.concatenate([lead, [len(raw)]])))].tobytes().decode("utf-8"))
         return type(texts)(out)
 
-    touched = joined.filter(F.col("__spans").isNotNull()).withColumn(text, cut(F.col(text), F.col("__spans")))
-    return joined.filter(F.col("__spans").isNull()).unionByName(touched).select(*docs.columns)
+    keyed = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    touched, rest = _parted(keyed, pinned(repeated_spans(docs, text, doc_id)))
+    return touched.withColumn(text, cut(F.col(text), F.col("__spans"))).select(*docs.columns).unionByName(rest.select(*docs.columns))
