@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewheel.context import SEQ, TIME, Context
@@ -34,9 +33,9 @@ def intervalize(clock: Pipeline, summarizers: Any, key: Any = None, closelast: b
             check_keys(frame, keys)
             ticks = ticking.df.select(TIME).distinct()
             # Each tick knows the next one; rows take it over from the last tick at or before them.
-            after = F.lead(TIME).over(W.orderBy(TIME))
-            # The ticks alone are ordered in one task: times only, one for each interval.
-            known = TimeFrame(ticks.select(TIME, after.alias("__end"), F.lit(0).alias(SEQ)))
+            alone = TimeFrame(ticks.select(TIME, F.lit(0).alias(SEQ)))
+            after = nearest(alone, alone, [], context, forward=True, strict=True)
+            known = TimeFrame(after.select(TIME, F.col(f"{RIGHT}.__time").alias("__end"), F.lit(0).alias(SEQ)))
             placed = nearest(frame, known, [], context, forward=False, strict=False)
             end = F.col(f"{RIGHT}.__end")
             stop = context.literal(context.stop)
