@@ -9,7 +9,7 @@ other prefix has, and sets with fewer than c tokens left, are dismissed at once.
 * Light sets enumerate all ``SUBSET``-token subsets of their prefix and meet in equal subsets.
 * Heavy sets scan the inverted lists of their prefix tokens, where they meet light and heavy sets.
 * The boundary between the two is the set size that makes the sum of enumerated subsets and
-  scanned list entries smallest, from exact counts by size class.
+  reads of list entries smallest, from exact counts by size class.
 
 For components, a list is not expanded into pairs.  Its members are checked against one central
 member, then against the next 31, the next 992 and so on, and members already in one component are never
@@ -47,6 +47,9 @@ SPARE = 16
 #: frequent of these come last in the order.  Any order is exact; this one keeps lists short.
 OFTEN = 4
 FREQUENT = 1 << 17
+#: Reads of an inverted list's entry, one for each round that it takes part in: the cost of scanning
+#: it, against that of one enumerated subset.
+SCANS = 3
 #: Each round checks lists against so many times as many members.
 GROWTH = 32
 
@@ -138,19 +141,20 @@ def _prefixes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int)
     return chosen.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>")
 
 
-def _classes(prefixes: DataFrame) -> DataFrame:
-    """One row for each distinct set: digest, its smallest doc_id as ``node``, size and prefix."""
-    own = prefixes.filter("n_shingles > 0 and doc_id is not null")
-    return own.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n_shingles", "prefix"), "doc_id").alias("set")).select("digest", "node", "set.n_shingles", "set.prefix")
+def _members(known: DataFrame) -> DataFrame:
+    """The smallest doc_id of each distinct set, as ``node``."""
+    return known.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
 
 
-def _shared_tokens(classes: DataFrame, percent: int) -> DataFrame:
-    """node, size, pos, token and how many sets have the token in their prefix, where that is two or
-    more, of the nodes with enough of such tokens to link with a set of the least size that may."""
-    rows = classes.select("node", F.col("n_shingles").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "token"))
+def _shared_tokens(prefixes: DataFrame, percent: int) -> DataFrame:
+    """node, size, pos, token, how many sets have the token in their prefix, where that is two or
+    more, and the sum of these as ``weight``, of the nodes with enough of such tokens to link with
+    a set of the least size that may."""
+    rows = prefixes.select("node", F.col("n_shingles").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "token"))
     rows = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("token"))).filter("n > 1")
     needed = F.greatest(F.lit(SUBSET), 1 + F.floor(_least(F.col("size"), percent) / SPARE))
-    return rows.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("node"))).filter(F.col("k") >= needed).drop("k")
+    own = W.partitionBy("node")
+    return rows.withColumns({"k": F.count(F.lit(1)).over(own), "weight": F.sum("n").over(own)}).filter(F.col("k") >= needed).drop("n")
 
 
 def _least(size: Column, percent: int) -> Column:
@@ -159,29 +163,28 @@ def _least(size: Column, percent: int) -> Column:
 
 def _boundary(tokens: DataFrame) -> int:
     """The largest size class (bit length of the size) whose sets enumerate subsets, by cost."""
-    own = tokens.groupBy("node").agg(F.length(F.bin(F.first("size"))).alias("class"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("scan"))
-    costs = {r["class"]: (r["subsets"], r["scan"]) for r in own.groupBy("class").agg(F.sum(F.expr("cast(k as double) * (k - 1) / 2")).alias("subsets"), F.sum("scan").alias("scan")).collect()}
+    own = tokens.groupBy("node").agg(F.length(F.bin(F.first("size"))).alias("class"), F.first("k").alias("k"))
+    costs = {r["class"]: (r["subsets"], r["scan"]) for r in own.groupBy("class").agg(F.sum(F.expr("cast(k as double) * (k - 1) / 2")).alias("subsets"), F.sum(SCANS * F.col("k")).alias("scan")).collect()}
     total = lambda x: sum(subsets if c <= x else scan for c, (subsets, scan) in costs.items())
     return min([0, *sorted(costs)], key=total)
 
 
 def _lists(tokens: DataFrame, percent: int) -> DataFrame:
-    """Lists whose members are candidates of each other: key, other, node, size, weight.
+    """Lists whose members are candidates of each other: key, other, node, size and rank in the list.
 
     Light sets stand in the lists of their subsets; all sets stand in the token lists that some
-    heavy set scans.
+    heavy set scans.  The member that shares most tokens with others comes first.
     """
     light = F.length(F.bin("size")) <= _boundary(tokens)
-    weights = tokens.groupBy("node").agg(F.sum("n").alias("weight"))
     within = F.col("pos") <= F.col("size") - _least(F.col("size"), percent) + (SUBSET - 1)
-    own = tokens.filter(light & within).groupBy("node").agg(F.first("size").alias("size"), F.array_sort(F.collect_list("token")).alias("own"))
+    own = tokens.filter(light & within).groupBy("node").agg(F.first("size").alias("size"), F.first("weight").alias("weight"), F.array_sort(F.collect_list("token")).alias("own"))
     pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.struct(x.alias("key"), y.alias("other")))))
-    enumerated = own.select("node", "size", F.explode(pairs).alias("p")).select("p.key", "p.other", "node", "size")
+    enumerated = own.select("node", "size", "weight", F.explode(pairs).alias("p")).select("p.key", "p.other", "node", "size", "weight", F.lit(True).alias("used"))
     short = tokens.filter(F.col("pos") <= F.col("size") - _least(F.col("size"), percent))
-    scanned = short.withColumn("heavy", F.max((~light).cast("int")).over(W.partitionBy("token"))).filter("heavy = 1").select(F.col("token").alias("key"), F.lit(None).cast("bigint").alias("other"), "node", "size")
-    both = enumerated.union(scanned)
-    both = both.withColumn("members", F.count(F.lit(1)).over(W.partitionBy("key", "other"))).filter("members > 1").drop("members")
-    return both.join(weights, "node")
+    scanned = short.select(F.col("token").alias("key"), F.lit(None).cast("bigint").alias("other"), "node", "size", "weight", (~light).alias("used"))
+    same = W.partitionBy("key", "other")
+    both = enumerated.union(scanned).withColumns({"members": F.count(F.lit(1)).over(same), "any": F.max("used").over(same), "rank": F.row_number().over(same.orderBy(F.desc("weight"), "node"))})
+    return both.filter("members > 1 and any").select("key", "other", "node", "size", "rank", F.col("node").alias("component"))
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: DataFrame) -> DataFrame:
@@ -231,15 +234,16 @@ def _candidates(lists: DataFrame, first: int, last: int | None, percent: int) ->
 
 
 def _start(docs, doc_id, text, size, percent):
-    prefixes = pinned(_prefixes(docs, doc_id, text, size, percent))
-    classes = _classes(prefixes)
-    tokens = pinned(_shared_tokens(classes, percent))
-    lists = _lists(tokens, percent)
-    ranked = lists.withColumn("rank", F.row_number().over(W.partitionBy("key", "other").orderBy(F.desc("weight"), "node")))
-    lists = pinned(ranked.select("key", "other", "node", "size", "rank", F.col("node").alias("component")))
-    members = prefixes.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
+    prefixes = _prefixes(docs, doc_id, text, size, percent)
+    known = pinned(prefixes.select("doc_id", "n_shingles", "digest"))
+    members = pinned(_members(known))
+    # Prefixes are made again rather than kept: they are larger than what they are made from.
+    reps = hinted(members.select(F.col("digest").alias("__digest"), "node"), members.count(), 64)
+    own = prefixes.join(reps, (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("__digest"))).select("node", "n_shingles", "prefix")
+    tokens = pinned(_shared_tokens(own, percent))
+    lists = pinned(_lists(tokens, percent))
     wanted = members.join(lists.select("node").distinct(), "node", "left_semi")
-    return prefixes, members, lists, pinned(_sets(docs, doc_id, text, size, wanted))
+    return known, members, lists, pinned(_sets(docs, doc_id, text, size, wanted))
 
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -250,7 +254,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
-    prefixes, members, lists, sets = _start(docs, doc_id, text, size, percent)
+    known, members, lists, sets = _start(docs, doc_id, text, size, percent)
     labels, first, last = None, 1, 1
     while lists.head(1):
         found = pinned(_verified(_candidates(lists, first, last, percent), sets, percent))
@@ -271,5 +275,5 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         first, last = last + 1, last * GROWTH
     if labels is None:
         labels = members.select("node", F.col("node").alias("component")).limit(0)
-    out = prefixes.select("doc_id", "n_shingles", "digest").join(members, "digest", "left").join(labels, "node", "left")
+    out = known.join(members, "digest", "left").join(labels, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("class_id"), F.coalesce("component", "node", "doc_id").alias("component_id"))
