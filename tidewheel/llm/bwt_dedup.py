@@ -198,7 +198,7 @@ class Shard:
         while True:
             after = at + step
             key = rank * (n + int(rank.max()) + 2) + np.where(after < end, rank[np.minimum(after, n - 1)], 0)
-            self.order = np.argsort(key, kind="stable")
+            self.order = np.argsort(key)  # equal keys get one rank, in any order
             own = key[self.order]
             rank = np.empty(n, np.int64)
             rank[self.order] = np.cumsum(np.concatenate([[0], own[1:] != own[:-1]]))
@@ -240,11 +240,11 @@ def repeated_windows(segments: list[bytes], window: int = WINDOW, shard_bytes: i
             shards.append((one, base))
             rows_of.append(one.order + low)
             base += high - low
-    transform = np.concatenate([s.transform for s, _ in shards])
-    predecessor = np.concatenate([np.where(s.predecessor >= 0, s.predecessor + at, -1) for s, at in shards])
-    empty = np.concatenate([np.arange(s.empty) + at for s, at in shards])  # first rows of each shard
+    transform = np.concatenate([s.transform for s, _ in shards]).astype(np.int32)
+    predecessor = np.concatenate([np.where(s.predecessor >= 0, s.predecessor + at, -1) for s, at in shards]).astype(np.int32)
+    empty = np.concatenate([np.arange(s.empty) + at for s, at in shards]).astype(np.int32)  # first rows of each shard
 
-    merged, block = np.arange(n), np.zeros(n, np.int64)
+    merged, block = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
     for _ in range(window // SYMBOL):
         symbol = transform[merged]
         has = symbol >= 0
@@ -254,9 +254,9 @@ def repeated_windows(segments: list[bytes], window: int = WINDOW, shard_bytes: i
         border = np.ones(len(merged) + 1, bool)
         border[1:-1] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
         shared = ~(border[1:] & border[:-1])  # the others are alone in their block, for good
-        block = np.cumsum(border[:-1])[shared]
+        block = np.cumsum(border[:-1], dtype=np.int32)[shared]
         merged = np.concatenate([empty, merged[shared]])
-        block = np.concatenate([np.zeros(len(empty), np.int64), block])
+        block = np.concatenate([np.zeros(len(empty), np.int32), block])
     merged, block = merged[len(empty) :], block[len(empty) :]
 
     position = np.concatenate(rows_of)[merged]
