@@ -50,8 +50,9 @@ def corpus(seed):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_all_pairs(spark, seed):
+@pytest.mark.parametrize("seed,growth", [(1, 32), (2, 2)])
+def test_against_all_pairs(spark, seed, growth, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "GROWTH", growth)  # lists of over ``growth`` members are long ones
     docs = corpus(seed)
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, digest string").repartition(3)
     expected, links, sets = brute(docs)

@@ -36,7 +36,7 @@ from tidewheel.llm.components import components
 from tidewheel.llm.shared import hinted, pinned, slices, utf8
 from tidewheel.llm.textscan import BLANK, LOWER, mix, sequence_hashes, word_hashes, words
 
-SCAN_BYTES = 2 << 20
+SCAN_BYTES = 1 << 20
 WORDS = 5
 PERCENT = 80
 #: Tokens in an enumerated subset.
@@ -230,9 +230,34 @@ def _candidates(lists: DataFrame, first: int, last: int | None, percent: int) ->
     l, r = left.alias("l"), ranked.alias("r")
     on = (F.col("l.key") == F.col("r.key")) & F.col("l.other").eqNullSafe(F.col("r.other")) & (F.col("l.rank") < F.col("r.rank")) & (F.col("l.component") != F.col("r.component"))
     on = on & (100 * F.least("l.size", "r.size") >= percent * F.greatest("l.size", "r.size"))
+    if "most" in lists.columns:
+        most = F.least("l.most", "r.most")
+        on = on & (100 * most >= percent * (F.col("l.size") + F.col("r.size") - most))
     return l.join(r, on).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
 
+def _bounded(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """``lists`` with ``most``: how many tokens a member can share with any fellow.
+
+    In long lists, which hold large groups of near copies, these are the tokens of its whole set
+    that some other member of a long list has too; many pairs then need no check.
+    """
+    members = lists.withColumn("members", F.count(F.lit(1)).over(W.partitionBy("key", "other")))
+    long = pinned(members.filter(F.col("members") > GROWTH).select("node").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            nodes = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(own))], ["node", "token"])
+
+    tokens = sets.join(hinted(long, long.count(), 16), "node", "left_semi").select("node", "tokens").mapInArrow(run, "node bigint, token bigint").distinct()
+    shared = tokens.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("token"))).filter("n > 1").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+    shared = pinned(shared)
+    out = members.join(hinted(shared, shared.count(), 24), "node", "left")
+    return out.withColumn("most", F.when(F.col("members") > GROWTH, F.coalesce("shared", F.lit(0))).otherwise(F.col("size"))).select(*lists.columns, "most")
+
+
 def _start(docs, doc_id, text, size, percent):
     prefixes = _prefixes(docs, doc_id, text, size, percent)
     known = pinned(prefixes.select("doc_id", "n_shingles", "digest"))
@@ -271,7 +296,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         rest = lists.filter(F.col("rank") > last).drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         own = W.partitionBy("key", "other")
         rest = rest.withColumns({"low": F.min("component").over(own), "high": F.max("component").over(own)}).filter("low < high").drop("low", "high")
-        lists = pinned(rest)
+        lists = pinned(rest if "most" in rest.columns else _bounded(pinned(rest), sets))
         first, last = last + 1, last * GROWTH
     if labels is None:
         labels = members.select("node", F.col("node").alias("component")).limit(0)
