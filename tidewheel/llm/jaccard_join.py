@@ -233,11 +233,15 @@ def _candidates(lists: DataFrame, first: int, last: int | None, percent: int) ->
     if "most" in lists.columns:
         most = F.least("l.most", "r.most")
         on = on & (100 * most >= percent * (F.col("l.size") + F.col("r.size") - most))
+        # Two members of several long lists meet in the first of these only.
+        once = F.array_min(F.array_intersect("l.long", "r.long")) == F.xxhash64("l.key", "l.other")
+        on = on & F.coalesce(once, F.lit(True))
     return l.join(r, on).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
 
 def _bounded(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """``lists`` with ``most``: how many tokens a member can share with any fellow.
+    """``lists`` with ``most``, how many tokens a member can share with any fellow, and ``long``, the
+    long lists that it stands in.
 
     In long lists, which hold large groups of near copies, these are the tokens of its whole set
     that some other member of a long list has too; many pairs then need no check.
@@ -253,9 +257,11 @@ def _bounded(lists: DataFrame, sets: DataFrame) -> DataFrame:
 
     tokens = sets.join(hinted(long, long.count(), 16), "node", "left_semi").select("node", "tokens").mapInArrow(run, "node bigint, token bigint").distinct()
     shared = tokens.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("token"))).filter("n > 1").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
-    shared = pinned(shared)
-    out = members.join(hinted(shared, shared.count(), 24), "node", "left")
-    return out.withColumn("most", F.when(F.col("members") > GROWTH, F.coalesce("shared", F.lit(0))).otherwise(F.col("size"))).select(*lists.columns, "most")
+    ids = members.filter(F.col("members") > GROWTH).groupBy("node").agg(F.collect_list(F.xxhash64("key", "other")).alias("ids"))
+    known = pinned(ids.join(shared, "node", "left"))
+    out = members.join(known, "node", "left")
+    is_long = F.col("members") > GROWTH
+    return out.withColumns({"most": F.when(is_long, F.coalesce("shared", F.lit(0))).otherwise(F.col("size")), "long": F.when(is_long, F.col("ids"))}).select(*lists.columns, "most", "long")
 
 
 def _start(docs, doc_id, text, size, percent):
