@@ -20,9 +20,7 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    measures = pinned(quality_rules.measured(docs).select("lang", "source", *quality_rules.METRICS, "n_lines"))
-    fence = pinned(quality_rules.fences(quality_rules.sketches(measures)))
-    return quality_rules.judged(quality_rules.measured(docs), fence).filter("kept").select(*docs.columns)
+    return quality_rules.judge(docs).filter("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewheel.llm.shared import pinned, written
+
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 LEAST_WORDS = 10
 REPEAT_PERCENT = 20
@@ -128,5 +130,11 @@ def judged(measures: DataFrame, fence: DataFrame, lang: str = "lang", source: st
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """``docs`` with its metrics, ``base_failed`` and ``kept``.  Fences come from all of ``docs``."""
-    return judged(measured(docs, text), fences(sketches(measured(docs, text), lang, source)), lang, source)
+    """``docs`` with its metrics, ``base_failed`` and ``kept``.  Fences come from all of ``docs``.
+
+    The measured documents are written once: sketches and verdicts read the numbers, and no later
+    filter can draw the expressions that make them into itself.
+    """
+    measures = written(measured(docs, text), "measured")
+    fence = pinned(fences(sketches(measures, lang, source)))
+    return judged(measures, fence, lang, source)
