@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding by merge replay.
 
-Every shard of the corpus (an Arrow batch of documents) is cut into its *distinct* pre-token
-words.  One inverted index maps each mergeable token pair to the word positions that hold it,
+Every shard of the corpus (whole documents, about ``SHARD_BYTES`` of text) is cut into its *distinct*
+pre-token words.  One inverted index maps each mergeable token pair to the word positions that hold it,
 and the merges are replayed over the whole shard in rank order: a merge visits exactly the
 positions listed for it and touches only the two neighbours of each.  Words are independent of
 each other, so replaying a shard at a time gives the same ids as replaying the whole corpus at
-once, needs no shuffle, and its memory is bounded by the batch.
+once, needs no shuffle, and its memory is bounded by the shard.
 
 Defined edge cases: null or empty text has no ids; texts of any length are encoded whole;
 repeated rows are encoded each; extra columns are carried where the caller asks for them and
@@ -26,6 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.llm.shared import slices, utf8
+
+#: Text in one shard; a longer document makes a shard of its own.
+SHARD_BYTES = 4 << 20
 _SHIFT = 20
 _LOADED: dict[tuple[str, str], "Vocabulary"] = {}
 
@@ -184,6 +188,12 @@ def encode_shard(texts: list[str | None], vocabulary: Vocabulary) -> Iterator[np
         yield ids[place]
 
 
+def encode_column(texts: pa.Array, vocabulary: Vocabulary) -> Iterator[np.ndarray]:
+    """Ids of each text of an Arrow column, shard by shard."""
+    for a, b in slices(utf8(texts)[1], SHARD_BYTES):
+        yield from encode_shard(texts[a:b].to_pylist(), vocabulary)
+
+
 def decode(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
     tokens = vocabulary.tokens
     return b"".join([tokens[i] for i in ids.tolist()])
@@ -195,7 +205,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.load(path, pattern)
         for batch in batches:
-            encoded = list(encode_shard(batch.column(0).to_pylist(), vocabulary))
+            encoded = list(encode_column(batch.column(0), vocabulary))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in encoded])]).astype(np.int32)
             flat = np.concatenate(encoded).astype(np.int64) if encoded else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
@@ -212,7 +222,7 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep:
         vocabulary = Vocabulary.load(path, pattern)
         for batch in batches:
             count, ids_sha, back_sha = [], [], []
-            for ids in encode_shard(batch.column(0).to_pylist(), vocabulary):
+            for ids in encode_column(batch.column(0), vocabulary):
                 count.append(len(ids))
                 ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 back_sha.append(hashlib.sha256(decode(ids, vocabulary)).hexdigest())
