@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.shared import slices, utf8
+from tidewheel.llm.shared import slices, trimmed, utf8
 
 #: Text in one shard; a longer document makes a shard of its own.
 SHARD_BYTES = 4 << 20
@@ -202,6 +202,7 @@ def decode(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, then ``token_ids array<long>`` of the whole text and ``decoded binary``, their round trip."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.load(path, pattern)
         for batch in batches:
@@ -218,6 +219,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: t
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, then n_tokens, ids_sha256 and decoded_sha256 of the whole text."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.load(path, pattern)
         for batch in batches:

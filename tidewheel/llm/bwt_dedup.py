@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewheel.llm.shared import hinted, pinned, slices, utf8, written
+from tidewheel.llm.shared import hinted, pinned, slices, trimmed, utf8, written
 from tidewheel.llm.textscan import prefix_sums, span_hashes
 
 WINDOW = 200
@@ -84,6 +84,7 @@ def choices(raw: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple
 def _choice_rows(docs: DataFrame, text: str) -> DataFrame:
     """choice, key (hash of the text), again: a text chooses it in more places than one."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
@@ -106,6 +107,7 @@ def _segment_rows(candidates: DataFrame) -> DataFrame:
     the segment, ``segment`` a digest of the bytes.
     """
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
@@ -277,6 +279,7 @@ def runs(flags: np.ndarray) -> list[dict[str, int]]:
 def _repeated_runs(dealt: DataFrame) -> DataFrame:
     """choice, segment, windows: runs [a, b) of repeated windows of each distinct segment."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, pending, size, deal = [], [], 0, None
 
@@ -372,6 +375,7 @@ def _parted(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column(1))

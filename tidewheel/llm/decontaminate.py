@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.shared import pinned, slices, utf8
+from tidewheel.llm.shared import pinned, slices, trimmed, utf8
 from tidewheel.llm.textscan import ALNUM, LOWER, sequence_hashes, word_hashes, words
 
 #: Bytes of text that are scanned at once.
@@ -115,6 +115,7 @@ def _document_shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> np.n
 def shingle_frequencies(docs: DataFrame, text: str, shingles: dict[int, np.ndarray]) -> dict[tuple[int, int], int]:
     """How often each of the given shingles occurs over all documents; as bounded as ``shingles``."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = given.value
         total = {size: np.zeros(len(keys), np.int64) for size, keys in held.items()}
@@ -182,6 +183,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
         held.choose_keys(shingle_frequencies(docs, text, held.shingles) if held.shingles else {})
         given, before = spark.sparkContext.broadcast(held), out is not None
 
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch], given=given, before=before) -> Iterator[pa.RecordBatch]:
             held = given.value
             for batch in batches:

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewheel.llm.components import components
-from tidewheel.llm.shared import hinted, pinned, slices, utf8
+from tidewheel.llm.shared import hinted, pinned, slices, trimmed, utf8
 from tidewheel.llm.textscan import BLANK, LOWER, mix, sequence_hashes, word_hashes, words
 
 SCAN_BYTES = 1 << 20
@@ -90,6 +90,7 @@ def _digest(tokens: np.ndarray) -> bytes:
 def frequent_tokens(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent tokens, sorted, and their rank: the rarer the lower.  Bounded by FREQUENT."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[bytes] = set()
@@ -109,6 +110,7 @@ def _prefixes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int)
     """doc_id, n_shingles, digest of the set, and its prefix in the global order."""
     given = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, text, size))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = given.value
         marks = np.zeros(1 << 22, bool)
@@ -190,6 +192,7 @@ def _lists(tokens: DataFrame, percent: int) -> DataFrame:
 def _sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: DataFrame) -> DataFrame:
     """node and its whole token set as bytes, for the (node, digest) rows of ``wanted``."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sets = [], []
@@ -208,6 +211,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: DataFrame)
 def _verified(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The candidate pairs (a, b) that link."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -249,6 +253,7 @@ def _bounded(lists: DataFrame, sets: DataFrame) -> DataFrame:
     members = lists.withColumn("members", F.count(F.lit(1)).over(W.partitionBy("key", "other")))
     long = pinned(members.filter(F.col("members") > GROWTH).select("node").distinct())
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +71,22 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def trimmed(run: Callable) -> Callable:
+    """``run`` for mapInArrow, handing freed memory back to the system at the end of each task.
+
+    Workers are reused; without this, idle ones keep what their allocators once held.
+    """
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+            trim(0)
+
+    return task
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cut lineage, and columns are read as needed."""
     folder = fresh_dir(df.sparkSession, name)
