@@ -15,6 +15,8 @@ DAY, HOUR = dt.timedelta(days=1), dt.timedelta(hours=1)
 WEEK = tw.Context(dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 12))
 MONTH = tw.Context(dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1))
 SHIPPED = tw.Context(dt.datetime(1992, 1, 1), dt.datetime(1999, 1, 1))
+#: Beyond the last row on either side, by a margin that shifts of an hour stay within.
+SHIPPED_WHOLE = tw.Context(dt.datetime(1994, 12, 31), dt.datetime(2002, 1, 1))
 _W = "ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12'"
 _M = "ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01'"
 _S = "l_shipdate >= TIMESTAMP '1992-01-01' AND l_shipdate < TIMESTAMP '1999-01-01'"
@@ -202,6 +204,10 @@ def _product(spark, d):
     return p.load(SHIPPED).to_df()
 
 
+def _product_whole(spark, d):
+    return (lineitem(d) | tw.summarize(tw.Product("l_linenumber"), key="l_orderkey")).load(SHIPPED_WHOLE).to_df()
+
+
 def _first_last(spark, d):
     p = events(d) | tw.summarize([tw.First("event_id"), tw.Last("event_id")], key="user_id")
     return p.load(WEEK).to_df()
@@ -270,7 +276,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "asof_self_prev": _asof_self_prev, "future_join": _joined(forward=True), "future_keyless": _joined(forward=True, key=None), "future_strict": _joined(forward=True, strict=True), "future_tolerance": _joined(forward=True, tolerance=6 * HOUR),
         "interval_grid": _interval(), "interval_keyed": _interval(key="event_type"), "interval_closelast": _interval(closelast=True), "interval_keyed_closelast": _interval(key="event_type", closelast=True),
         **{f"summary_{k}": _summary(make, digits=digits) for k, (make, _, digits) in _SUMMARIES.items()},
-        "summary_product": _product, "summary_first_last": _first_last, "custom_summarizer": _custom, "parquet_roundtrip": _parquet_roundtrip, "csv_roundtrip": _csv_roundtrip, "stream_slices": _stream_slices,
+        "summary_product": _product, "summary_product_whole": _product_whole, "summary_first_last": _first_last, "custom_summarizer": _custom, "parquet_roundtrip": _parquet_roundtrip, "csv_roundtrip": _csv_roundtrip, "stream_slices": _stream_slices,
     }
 
 
@@ -303,6 +309,7 @@ def oracle_sql() -> dict[str, str]:
         "future_tolerance": _joined_sql("<=", "r.ts - l.ts <= INTERVAL 6 HOUR", widen="ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12 06:00:00'"),
         "interval_grid": _interval_sql(), "interval_keyed": _interval_sql("event_type"), "interval_closelast": _interval_sql(closelast=True), "interval_keyed_closelast": _interval_sql("event_type", True),
         "summary_product": f"SELECT TIMESTAMP '1999-01-01' AS time, l_orderkey, CAST(product(l_linenumber) AS BIGINT) AS l_linenumber_product FROM lineitem WHERE {_S} AND l_orderkey < 40 GROUP BY l_orderkey",
+        "summary_product_whole": "SELECT TIMESTAMP '2002-01-01' AS time, l_orderkey, CAST(product(l_linenumber) AS BIGINT) AS l_linenumber_product FROM lineitem GROUP BY l_orderkey",
         "summary_first_last": f"SELECT TIMESTAMP '2024-01-12' AS time, user_id, min_by(event_id, ts) AS event_id_first, max_by(event_id, ts) AS event_id_last FROM events WHERE {_W} GROUP BY user_id",
         "custom_summarizer": f"SELECT TIMESTAMP '2024-01-12' AS time, event_type, count(*) AS count, min(value) AS value_low, max(value) AS value_high FROM events WHERE {_W} GROUP BY event_type",
         "parquet_roundtrip": f"SELECT ts AS time, event_id, value FROM events WHERE {_W}",
