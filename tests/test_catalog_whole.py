@@ -11,3 +11,21 @@ def test_product_answers_every_order(spark):
     got = catalog.queries()["summary_product_whole"](spark, DATA)
     assert got.agg(F.count("l_linenumber_product")).first()[0] == orders.count() > 1000
     assert got.join(orders, "l_orderkey", "left_anti").count() == 0
+
+
+def test_every_query_over_a_table_has_a_whole_form():
+    names = set(catalog.queries())
+    windowed = {n for n in names if not n.endswith("_whole")} - {"clock_day", "empty_frame"}  # these read no rows
+    assert {f"{n}_whole" for n in windowed} == {n for n in names if n.endswith("_whole")}
+    sql = catalog.oracle_sql()
+    assert not any("ts >= TIMESTAMP '2024-01-05'" in sql[n] or "l_shipdate <" in sql[n] for n in names if n.endswith("_whole"))
+
+
+def test_whole_forms_cut_no_row(spark):
+    rows = lambda table: spark.read.parquet(f"{DATA}/{table}.parquet").count()
+    got = catalog.queries()
+    for name, table in (("select_columns", "events"), ("lag_1h", "events"), ("lead_1h", "events"), ("stream_slices", "events"), ("from_dataframe", "orders")):
+        assert got[f"{name}_whole"](spark, DATA).count() == rows(table) > got[name](spark, DATA).count()
+    counted = lambda name: got[name](spark, DATA).agg(F.sum("count")).first()[0]
+    assert counted("cycles_whole") == counted("summary_count_whole") == rows("lineitem") > counted("cycles")
+    assert counted("interval_grid_whole") == rows("events") > counted("interval_grid")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ WEEK = tw.Context(dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 12))
 MONTH = tw.Context(dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1))
 SHIPPED = tw.Context(dt.datetime(1992, 1, 1), dt.datetime(1999, 1, 1))
 #: Beyond the last row on either side, by a margin that shifts of an hour stay within.
+EVENTS_WHOLE = tw.Context(dt.datetime(2023, 12, 31), dt.datetime(2024, 2, 2))
+INTERVALS = tw.Context(dt.datetime(2024, 1, 5), dt.datetime(2024, 2, 3, 12))
+INTERVALS_WHOLE = tw.Context(dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 3, 12))
 SHIPPED_WHOLE = tw.Context(dt.datetime(1994, 12, 31), dt.datetime(2002, 1, 1))
 _W = "ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12'"
 _M = "ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01'"
@@ -39,23 +43,23 @@ def rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-def _filter_rows(spark, d):
-    return (events(d) | tw.filter_rows(lambda r: (r.event_type == "purchase") & (r.value > 20))).load(WEEK).to_df()
+def _filter_rows(spark, d, context=WEEK):
+    return (events(d) | tw.filter_rows(lambda r: (r.event_type == "purchase") & (r.value > 20))).load(context).to_df()
 
 
-def _add_columns(spark, d):
+def _add_columns(spark, d, context=WEEK):
     p = events(d) | tw.add_columns(lambda r: {"double_value": r.value * 2, "is_click": r.event_type == "click"})
-    return p.load(WEEK).to_df().select("time", "event_id", "double_value", "is_click")
+    return p.load(context).to_df().select("time", "event_id", "double_value", "is_click")
 
 
-def _select_columns(spark, d):
+def _select_columns(spark, d, context=WEEK):
     import re
 
-    return (events(d) | tw.select_columns("user_id", re.compile("^event_"))).load(WEEK).to_df()
+    return (events(d) | tw.select_columns("user_id", re.compile("^event_"))).load(context).to_df()
 
 
-def _drop_columns(spark, d):
-    return (events(d) | tw.drop_columns("props", lambda n: n.startswith("event_t"))).load(WEEK).to_df()
+def _drop_columns(spark, d, context=WEEK):
+    return (events(d) | tw.drop_columns("props", lambda n: n.startswith("event_t"))).load(context).to_df()
 
 
 def _clock_day(spark, d):
@@ -66,71 +70,71 @@ def _empty(spark, d):
     return tw.empty_frame().load(MONTH).to_df()
 
 
-def _from_dataframe(spark, d):
-    return tw.from_dataframe(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderdate"), time="o_orderdate", order="o_orderkey").load(tw.Context(dt.datetime(1995, 1, 1), dt.datetime(1996, 1, 1))).to_df()
+def _from_dataframe(spark, d, context=tw.Context(dt.datetime(1995, 1, 1), dt.datetime(1996, 1, 1))):
+    return tw.from_dataframe(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderdate"), time="o_orderdate", order="o_orderkey").load(context).to_df()
 
 
-def _lag_1h(spark, d):
-    return (events(d) | tw.select_columns("event_id") | tw.lag(HOUR)).load(WEEK).to_df()
+def _lag_1h(spark, d, context=WEEK):
+    return (events(d) | tw.select_columns("event_id") | tw.lag(HOUR)).load(context).to_df()
 
 
-def _lead_1h(spark, d):
-    return (events(d) | tw.select_columns("event_id") | acausal.lead(HOUR)).load(WEEK).to_df()
+def _lead_1h(spark, d, context=WEEK):
+    return (events(d) | tw.select_columns("event_id") | acausal.lead(HOUR)).load(context).to_df()
 
 
-def _summarize_all(spark, d):
-    return rounded((events(d) | tw.summarize([tw.Count(), tw.Sum("value"), tw.Mean("value"), tw.Min("value"), tw.Max("value")])).load(WEEK).to_df(), "value_sum", "value_mean")
+def _summarize_all(spark, d, context=WEEK):
+    return rounded((events(d) | tw.summarize([tw.Count(), tw.Sum("value"), tw.Mean("value"), tw.Min("value"), tw.Max("value")])).load(context).to_df(), "value_sum", "value_mean")
 
 
-def _summarize_keyed(spark, d):
-    return rounded((events(d) | tw.summarize([tw.Count(), tw.Sum("value"), tw.Mean("value")], key="event_type")).load(WEEK).to_df(), "value_sum", "value_mean")
+def _summarize_keyed(spark, d, context=WEEK):
+    return rounded((events(d) | tw.summarize([tw.Count(), tw.Sum("value"), tw.Mean("value")], key="event_type")).load(context).to_df(), "value_sum", "value_mean")
 
 
-def _pipeline_chain(spark, d):
+def _pipeline_chain(spark, d, context=WEEK):
     p = events(d) | tw.filter_rows(lambda r: r.value > 10) | tw.add_columns(lambda r: {"fee": r.value * 0.5}) | tw.summarize([tw.Count(), tw.Sum("fee")], key=["event_type", "user_id"])
-    return rounded(p.load(WEEK).to_df(), "fee_sum")
+    return rounded(p.load(context).to_df(), "fee_sum")
 
 
-def _cycles(spark, d):
-    return rounded((lineitem(d) | tw.summarize_cycles([tw.Count(), tw.Sum("l_quantity"), tw.Max("l_discount")])).load(SHIPPED).to_df(), "l_quantity_sum")
+def _cycles(spark, d, context=SHIPPED):
+    return rounded((lineitem(d) | tw.summarize_cycles([tw.Count(), tw.Sum("l_quantity"), tw.Max("l_discount")])).load(context).to_df(), "l_quantity_sum")
 
 
-def _cycles_keyed(spark, d):
-    return rounded((lineitem(d) | tw.summarize_cycles([tw.Count(), tw.Sum("l_extendedprice")], key="l_returnflag")).load(SHIPPED).to_df(), "l_extendedprice_sum", digits=2)
+def _cycles_keyed(spark, d, context=SHIPPED):
+    return rounded((lineitem(d) | tw.summarize_cycles([tw.Count(), tw.Sum("l_extendedprice")], key="l_returnflag")).load(context).to_df(), "l_extendedprice_sum", digits=2)
 
 
 def _running(key):
-    def query(spark, d):
+    def query(spark, d, context=WEEK):
         p = events(d) | tw.select_columns("event_id", "user_id", "value") | tw.add_summary_columns([tw.Count(), tw.Sum("value"), tw.Max("value"), tw.First("event_id"), tw.Last("event_id"), tw.Mean("value")], key=key)
         # Means of amounts often end in a 5 to be rounded; the shift keeps both sides off that edge.
-        return rounded(p.load(WEEK).to_df().drop("value").withColumn("value_mean", F.col("value_mean") + 1e-7), "value_sum", "value_mean")
+        return rounded(p.load(context).to_df().drop("value").withColumn("value_mean", F.col("value_mean") + 1e-7), "value_sum", "value_mean")
 
     return query
 
 
-def _running_sql(key: str) -> str:
+def _running_sql(key: str, window: str = _W) -> str:
     over = f"({'PARTITION BY user_id ' if key else ''}ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
     return f"""SELECT ts AS time, event_id, user_id, count(*) OVER {over} AS count, round(sum(value) OVER {over}, 4) AS value_sum, max(value) OVER {over} AS value_max,
-        first_value(event_id) OVER {over} AS event_id_first, event_id AS event_id_last, round(sum(value) OVER {over} / count(*) OVER {over} + 1e-7::DOUBLE, 4) AS value_mean FROM events WHERE {_W}"""
+        first_value(event_id) OVER {over} AS event_id_first, event_id AS event_id_last, round(sum(value) OVER {over} / count(*) OVER {over} + 1e-7::DOUBLE, 4) AS value_mean FROM events WHERE {window}"""
 
 
-def _rolling(spark, d):
+def _rolling(spark, d, context=WEEK):
     p = events(d) | tw.select_columns("event_id", "user_id", "value") | tw.add_rolling_columns({"h": HOUR, "d": DAY}, [tw.Count(), tw.Sum("value"), tw.Max("value")], key="user_id")
-    return rounded(p.load(WEEK).to_df().drop("value"), "h_value_sum", "d_value_sum")
+    return rounded(p.load(context).to_df().drop("value"), "h_value_sum", "d_value_sum")
 
 
-def _rolling_keyless(spark, d):
+def _rolling_keyless(spark, d, context=WEEK):
     p = events(d) | tw.select_columns("event_id", "value") | tw.add_rolling_columns(("h", HOUR), [tw.Count(), tw.Sum("value"), tw.Min("value"), tw.Last("event_id")])
-    return rounded(p.load(WEEK).to_df().drop("value"), "h_value_sum")
+    return rounded(p.load(context).to_df().drop("value"), "h_value_sum")
 
 
-def _rolling_from(spark, d):
+def _rolling_from(spark, d, context=WEEK):
     p = of_type(d, "click") | tw.drop_columns("value") | tw.add_rolling_columns(("d", DAY), [tw.Count(), tw.Sum("value")], key="user_id", from_=of_type(d, "purchase"))
-    return rounded(p.load(WEEK).to_df(), "d_value_sum")
+    return rounded(p.load(context).to_df(), "d_value_sum")
 
 
-def _joined(forward=False, context=WEEK, key="user_id", **options):
-    def query(spark, d):
+def _joined(forward=False, key="user_id", **options):
+    def query(spark, d, context=WEEK):
         right = of_type(d, "purchase") | tw.select_columns(*([key] if key else []), "event_id", "value")
         make = acausal.future_join if forward else tw.asof_join
         p = of_type(d, "click") | tw.select_columns("event_id", "user_id") | make(right, key=key, rightprefix="p", righttime="ptime", **options)
@@ -139,30 +143,29 @@ def _joined(forward=False, context=WEEK, key="user_id", **options):
     return query
 
 
-def _joined_sql(op: str, bound: str = "", key: bool = True, widen: str = _W) -> str:
+def _joined_sql(op: str, bound: str = "", key: bool = True, widen: str = _W, window: str = _W) -> str:
     on = f"l.ts {op} r.ts" + (" AND l.user_id = r.user_id" if key else "")
     take = lambda c, n: f"CASE WHEN {bound} THEN r.{c} END AS {n}" if bound else f"r.{c} AS {n}"
     return f"""SELECT l.ts AS time, l.event_id, l.user_id, {take('ts', 'ptime')}, {take('event_id', 'p_event_id')}, {take('value', 'p_value')}
-        FROM (SELECT * FROM events WHERE event_type = 'click' AND {_W}) l ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase' AND {widen}) r ON {on}"""
+        FROM (SELECT * FROM events WHERE event_type = 'click' AND {window}) l ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase' AND {widen}) r ON {on}"""
 
 
-def _asof_self_prev(spark, d):
+def _asof_self_prev(spark, d, context=WEEK):
     own = events(d) | tw.select_columns("event_id", "user_id")
-    return (own | tw.asof_join(own, key="user_id", strict=True, rightprefix="prev")).load(WEEK).to_df()
+    return (own | tw.asof_join(own, key="user_id", strict=True, rightprefix="prev")).load(context).to_df()
 
 
 def _interval(key=None, closelast=False):
-    def query(spark, d):
-        context = tw.Context(dt.datetime(2024, 1, 5), dt.datetime(2024, 2, 3, 12))
+    def query(spark, d, context=INTERVALS):
         p = events(d) | tw.intervalize(tw.clock(DAY), [tw.Count(), tw.Sum("value"), tw.Max("value")], key=key, closelast=closelast)
         return rounded(p.load(context).to_df(), "value_sum")
 
     return query
 
 
-def _interval_sql(key: str = "", closelast: bool = False) -> str:
-    ends = "SELECT CAST(range AS TIMESTAMP) AS b FROM range(TIMESTAMP '2024-01-06', TIMESTAMP '2024-02-03 00:00:01', INTERVAL 1 DAY)" + (" UNION ALL SELECT TIMESTAMP '2024-02-03 12:00:00'" if closelast else "")
-    rows = "SELECT *, least(date_trunc('day', ts) + INTERVAL 1 DAY, TIMESTAMP '2024-02-03 12:00:00') AS b FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-02-03 12:00:00'"
+def _interval_sql(key: str = "", closelast: bool = False, start: str = "2024-01-05", first: str = "2024-01-06") -> str:
+    ends = f"SELECT CAST(range AS TIMESTAMP) AS b FROM range(TIMESTAMP '{first}', TIMESTAMP '2024-02-03 00:00:01', INTERVAL 1 DAY)" + (" UNION ALL SELECT TIMESTAMP '2024-02-03 12:00:00'" if closelast else "")
+    rows = f"SELECT *, least(date_trunc('day', ts) + INTERVAL 1 DAY, TIMESTAMP '2024-02-03 12:00:00') AS b FROM events WHERE ts >= TIMESTAMP '{start}' AND ts < TIMESTAMP '2024-02-03 12:00:00'"
     if not closelast:
         rows += " AND ts < TIMESTAMP '2024-02-03'"
     if key:
@@ -171,9 +174,9 @@ def _interval_sql(key: str = "", closelast: bool = False) -> str:
 
 
 def _summary(make, *names, digits=4):
-    def query(spark, d):
+    def query(spark, d, context=SHIPPED):
         own = make()
-        out = (lineitem(d) | tw.summarize(own, key="l_returnflag")).load(SHIPPED).to_df()
+        out = (lineitem(d) | tw.summarize(own, key="l_returnflag")).load(context).to_df()
         return rounded(out, *own.outputs, digits=digits) if digits is not None else out
 
     return query
@@ -208,9 +211,9 @@ def _product_whole(spark, d):
     return (lineitem(d) | tw.summarize(tw.Product("l_linenumber"), key="l_orderkey")).load(SHIPPED_WHOLE).to_df()
 
 
-def _first_last(spark, d):
+def _first_last(spark, d, context=WEEK):
     p = events(d) | tw.summarize([tw.First("event_id"), tw.Last("event_id")], key="user_id")
-    return p.load(WEEK).to_df()
+    return p.load(context).to_df()
 
 
 class _Spread(tw.FoldSummarizer):
@@ -234,8 +237,8 @@ class _Spread(tw.FoldSummarizer):
         return {f"{self.x}_low": low, f"{self.x}_high": high}
 
 
-def _custom(spark, d):
-    return (events(d) | tw.select_columns("event_type", "value") | tw.summarize([tw.Count(), _Spread("value")], key="event_type")).load(WEEK).to_df()
+def _custom(spark, d, context=WEEK):
+    return (events(d) | tw.select_columns("event_type", "value") | tw.summarize([tw.Count(), _Spread("value")], key="event_type")).load(context).to_df()
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -246,20 +249,20 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _parquet_roundtrip(spark, d):
+def _parquet_roundtrip(spark, d, context=WEEK):
     folder = _scratch(spark, "parquet")
-    (events(d) | tw.select_columns("event_id", "value") | tw.write_parquet(folder)).scan(WEEK)
-    return tw.read_parquet(folder).load(WEEK).to_df()
+    (events(d) | tw.select_columns("event_id", "value") | tw.write_parquet(folder)).scan(context)
+    return tw.read_parquet(folder).load(context).to_df()
 
 
-def _csv_roundtrip(spark, d):
+def _csv_roundtrip(spark, d, context=WEEK):
     folder = _scratch(spark, "csv")
-    (events(d) | tw.select_columns("event_id", "value") | tw.write_csv(folder)).scan(WEEK)
-    return tw.read_csv(folder, types={"time": "timestamp_ntz", "event_id": int, "value": float}).load(WEEK).to_df()
+    (events(d) | tw.select_columns("event_id", "value") | tw.write_csv(folder)).scan(context)
+    return tw.read_csv(folder, types={"time": "timestamp_ntz", "event_id": int, "value": float}).load(context).to_df()
 
 
-def _stream_slices(spark, d):
-    frames = tw.stream(WEEK, events(d) | tw.select_columns("event_id"), slices=4)
+def _stream_slices(spark, d, context=WEEK):
+    frames = tw.stream(context, events(d) | tw.select_columns("event_id"), slices=4)
     out = None
     for frame in frames:
         df = frame.to_df()
@@ -268,7 +271,7 @@ def _stream_slices(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    out = {
         "filter_rows": _filter_rows, "add_columns": _add_columns, "select_columns": _select_columns, "drop_columns": _drop_columns, "clock_day": _clock_day, "empty_frame": _empty,
         "from_dataframe": _from_dataframe, "lag_1h": _lag_1h, "lead_1h": _lead_1h, "summarize_all": _summarize_all, "summarize_keyed": _summarize_keyed, "pipeline_chain": _pipeline_chain,
         "cycles": _cycles, "cycles_keyed": _cycles_keyed, "running_keyed": _running("user_id"), "running_keyless": _running(None), "rolling_1h_1d": _rolling, "rolling_keyless": _rolling_keyless,
@@ -278,6 +281,52 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         **{f"summary_{k}": _summary(make, digits=digits) for k, (make, _, digits) in _SUMMARIES.items()},
         "summary_product": _product, "summary_product_whole": _product_whole, "summary_first_last": _first_last, "custom_summarizer": _custom, "parquet_roundtrip": _parquet_roundtrip, "csv_roundtrip": _csv_roundtrip, "stream_slices": _stream_slices,
     }
+    return out | {f"{n}_whole": partial(out[n], context=_whole_context(n)) for n in _whole_sql() if n != "summary_product"}
+
+
+def _whole_context(name: str) -> tw.Context:
+    if name.startswith("interval_"):
+        return INTERVALS_WHOLE
+    events_only = not name.startswith(("cycles", "summary_")) and name != "from_dataframe" or name == "summary_first_last"
+    return EVENTS_WHOLE if events_only else SHIPPED_WHOLE
+
+
+def _whole_sql() -> dict[str, str]:
+    """The SQL of each query over all rows of its tables, by the query's name without _whole."""
+    rolled = lambda span: f"SELECT l.event_id AS id, count(r.ts) AS n, coalesce(sum(r.value), 0.0) AS s, max(r.value) AS m FROM events l LEFT JOIN events r ON r.user_id = l.user_id AND r.ts <= l.ts AND r.ts >= l.ts - {span} GROUP BY l.event_id"
+    joined = lambda op, *a, **k: _joined_sql(op, *a, widen="true", window="true", **k)
+    interval = lambda *a: _interval_sql(*a, start="2024-01-01", first="2024-01-02")
+    end, shipped = "TIMESTAMP '2024-02-02' AS time", "TIMESTAMP '2002-01-01' AS time"
+    out = {
+        "filter_rows": "SELECT ts AS time, * EXCLUDE (ts) FROM events WHERE event_type = 'purchase' AND value > 20",
+        "add_columns": "SELECT ts AS time, event_id, value * 2 AS double_value, event_type = 'click' AS is_click FROM events",
+        "select_columns": "SELECT ts AS time, event_id, user_id, event_type FROM events",
+        "drop_columns": "SELECT ts AS time, event_id, user_id, value FROM events",
+        "from_dataframe": "SELECT o_orderkey, o_orderdate AS time FROM orders",
+        "lag_1h": "SELECT ts + INTERVAL 1 HOUR AS time, event_id FROM events",
+        "lead_1h": "SELECT ts - INTERVAL 1 HOUR AS time, event_id FROM events",
+        "summarize_all": f"SELECT {end}, count(*) AS count, round(sum(value), 4) AS value_sum, round(sum(value) / count(*), 4) AS value_mean, min(value) AS value_min, max(value) AS value_max FROM events",
+        "summarize_keyed": f"SELECT {end}, event_type, count(*) AS count, round(sum(value), 4) AS value_sum, round(sum(value) / count(*), 4) AS value_mean FROM events GROUP BY event_type",
+        "pipeline_chain": f"SELECT {end}, event_type, user_id, count(*) AS count, round(sum(value * 0.5::DOUBLE), 4) AS fee_sum FROM events WHERE value > 10 GROUP BY event_type, user_id",
+        "cycles": "SELECT l_shipdate AS time, count(*) AS count, round(sum(l_quantity), 4) AS l_quantity_sum, max(l_discount) AS l_discount_max FROM lineitem GROUP BY l_shipdate",
+        "cycles_keyed": "SELECT l_shipdate AS time, l_returnflag, count(*) AS count, round(sum(l_extendedprice), 2) AS l_extendedprice_sum FROM lineitem GROUP BY l_shipdate, l_returnflag",
+        "running_keyed": _running_sql("user_id", "true"), "running_keyless": _running_sql("", "true"),
+        "rolling_1h_1d": f"WITH h AS ({rolled('INTERVAL 1 HOUR')}), d AS ({rolled('INTERVAL 1 DAY')}) SELECT e.ts AS time, e.event_id, e.user_id, h.n AS h_count, round(h.s, 4) AS h_value_sum, h.m AS h_value_max, d.n AS d_count, round(d.s, 4) AS d_value_sum, d.m AS d_value_max FROM events e JOIN h ON h.id = e.event_id JOIN d ON d.id = e.event_id",
+        "rolling_keyless": "SELECT ts AS time, event_id, count(*) OVER o AS h_count, round(sum(value) OVER o, 4) AS h_value_sum, min(value) OVER o AS h_value_min, last_value(event_id) OVER o AS h_event_id_last FROM events WINDOW o AS (ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)",
+        "rolling_from": "SELECT l.ts AS time, l.event_id, l.user_id, count(r.ts) AS d_count, round(coalesce(sum(r.value), 0.0), 4) AS d_value_sum FROM (SELECT * FROM events WHERE event_type = 'click') l LEFT JOIN events r ON r.event_type = 'purchase' AND r.user_id = l.user_id AND r.ts <= l.ts AND r.ts >= l.ts - INTERVAL 1 DAY GROUP BY l.ts, l.event_id, l.user_id",
+        "asof": joined(">="), "asof_keyless": joined(">=", key=False), "asof_strict": joined(">"), "asof_hot_keys": joined(">="), "asof_tolerance": joined(">=", "l.ts - r.ts <= INTERVAL 6 HOUR"),
+        "asof_self_prev": "SELECT ts AS time, event_id, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts) AS prev_event_id FROM events",
+        "future_join": joined("<="), "future_keyless": joined("<=", key=False), "future_strict": joined("<"), "future_tolerance": joined("<=", "r.ts - l.ts <= INTERVAL 6 HOUR"),
+        "interval_grid": interval(), "interval_keyed": interval("event_type"), "interval_closelast": interval("", True), "interval_keyed_closelast": interval("event_type", True),
+        "summary_product": f"SELECT {shipped}, l_orderkey, CAST(product(l_linenumber) AS BIGINT) AS l_linenumber_product FROM lineitem GROUP BY l_orderkey",
+        "summary_first_last": f"SELECT {end}, user_id, min_by(event_id, ts) AS event_id_first, max_by(event_id, ts) AS event_id_last FROM events GROUP BY user_id",
+        "custom_summarizer": f"SELECT {end}, event_type, count(*) AS count, min(value) AS value_low, max(value) AS value_high FROM events GROUP BY event_type",
+        "parquet_roundtrip": "SELECT ts AS time, event_id, value FROM events", "csv_roundtrip": "SELECT ts AS time, event_id, value FROM events", "stream_slices": "SELECT ts AS time, event_id FROM events",
+    }
+    for name, (make, expression, digits) in _SUMMARIES.items():
+        value = expression if digits is None else f"round({expression}, {digits})"
+        out[f"summary_{name}"] = f"SELECT {shipped}, l_returnflag, {value} AS {make().outputs[0]} FROM lineitem GROUP BY l_returnflag"
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
@@ -309,7 +358,6 @@ def oracle_sql() -> dict[str, str]:
         "future_tolerance": _joined_sql("<=", "r.ts - l.ts <= INTERVAL 6 HOUR", widen="ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12 06:00:00'"),
         "interval_grid": _interval_sql(), "interval_keyed": _interval_sql("event_type"), "interval_closelast": _interval_sql(closelast=True), "interval_keyed_closelast": _interval_sql("event_type", True),
         "summary_product": f"SELECT TIMESTAMP '1999-01-01' AS time, l_orderkey, CAST(product(l_linenumber) AS BIGINT) AS l_linenumber_product FROM lineitem WHERE {_S} AND l_orderkey < 40 GROUP BY l_orderkey",
-        "summary_product_whole": "SELECT TIMESTAMP '2002-01-01' AS time, l_orderkey, CAST(product(l_linenumber) AS BIGINT) AS l_linenumber_product FROM lineitem GROUP BY l_orderkey",
         "summary_first_last": f"SELECT TIMESTAMP '2024-01-12' AS time, user_id, min_by(event_id, ts) AS event_id_first, max_by(event_id, ts) AS event_id_last FROM events WHERE {_W} GROUP BY user_id",
         "custom_summarizer": f"SELECT TIMESTAMP '2024-01-12' AS time, event_type, count(*) AS count, min(value) AS value_low, max(value) AS value_high FROM events WHERE {_W} GROUP BY event_type",
         "parquet_roundtrip": f"SELECT ts AS time, event_id, value FROM events WHERE {_W}",
@@ -320,4 +368,4 @@ def oracle_sql() -> dict[str, str]:
         column = make().outputs[0]
         value = expression if digits is None else f"round({expression}, {digits})"
         out[f"summary_{name}"] = f"SELECT TIMESTAMP '1999-01-01' AS time, l_returnflag, {value} AS {column} FROM lineitem WHERE {_S} GROUP BY l_returnflag"
-    return out
+    return out | {f"{n}_whole": sql for n, sql in _whole_sql().items()}
