@@ -73,3 +73,16 @@ def test_edges(spark):
     got = sorted(r.n_removed for r in bwt_dedup.digests(rows).collect())
     assert got == [0, 300, 300, 300]
     assert sorted(r.text for r in bwt_dedup.remove(rows).collect()) == ["", "", "q", "z"]
+
+
+def test_no_group_in_a_merge_is_above_its_bound(spark, monkeypatch):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choices("abcde", k=n))
+    passage, merged, plain = text(210), [], bwt_dedup._repeated_runs
+    texts = [text(150) + passage + text(150) for _ in range(60)] + [text(400)]
+    monkeypatch.setattr(bwt_dedup, "_repeated_runs", lambda dealt: merged.append(dealt) or plain(dealt))
+    monkeypatch.setattr(bwt_dedup.repeated_spans, "__defaults__", ("text", "doc_id", 4000))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in bwt_dedup.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert [got[k] for k in range(len(texts))] == brute(texts)
+    largest = merged[0].selectExpr("deal", "length(bytes) AS size").groupBy("deal").agg({"size": "sum", "*": "count"}).filter("`count(1)` > 1").agg({"sum(size)": "max"}).first()[0]
+    assert (largest or 0) <= 4000

@@ -8,7 +8,7 @@ the corpus.  Suffixes are dealt out by content so that equal windows always meet
    windows with one choice is a *segment*.  Equal windows make equal choices, so a choice that
    occurs in one place only is settled; only the other segments move on, dealt by their choice.
    A choice whose segments are too many for one task is dealt further by ever larger pieces of
-   content around it, down to single windows if need be.
+   content around it, down to single windows if need be; those are counted by Spark and not merged.
 3. In a task, segments form shards.  Each shard's suffix array gives its Burrows-Wheeler
    transform over 8-byte symbols.  The transforms are merged by refining the interleave: a round
    distributes the merged order stably by the transform's symbols, so after k rounds all suffixes
@@ -44,6 +44,8 @@ MERGE_BYTES = 1 << 20
 SHARD_BYTES = 1 << 18
 #: Bytes of segments under one choice that one task takes.
 GROUP_BYTES = 16 << 20
+#: Rows with one window above which it is joined by broadcast, so that they stay where they lie.
+COMMON = 10_000
 
 
 # ---------------------------------------------------------------- segments
@@ -156,26 +158,38 @@ def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
 
 
-def _dealt(segments: DataFrame, group_bytes: int) -> DataFrame:
-    """Distinct segments with a dealing key ``deal`` and the windows ``skipped`` before the row's own bytes.
+def _dealt(segments: DataFrame, group_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct segments with a dealing key ``deal`` and the windows ``skipped`` before the row's own bytes; and rows of single windows.
 
     Choices with more than ``group_bytes`` of segments are halved by the place range of the choice
     in the windows, and each half is dealt by the content that all its windows share, until all
-    fit or the shared content is the whole window.
+    fit or the shared content is the whole window.  The rows of such a deal are one window.
     """
     own = segments.groupBy("choice", "segment").agg(F.first("bytes").alias("bytes"), F.first("place").alias("place"), F.sum(F.size("starts")).alias("n"))
     rows = own.select("choice", "segment", "bytes", "place", "n", F.col("choice").alias("deal"), *[F.lit(x).cast("bigint").alias(c) for c, x in (("skipped", 0), ("low", 0), ("high", WINDOW - KMER + 1))])
-    sizes = segments.groupBy("choice", "segment").agg(F.first("size").alias("size")).groupBy(F.col("choice").alias("deal")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("members"), F.lit(2).alias("width"))
-    done = None
+    sizes = segments.groupBy("choice", "segment").agg(F.first("size").alias("size")).groupBy(F.col("choice").alias("deal")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("members"))
+    done = single = None
     while True:
-        hot = pinned(sizes.filter((F.col("size") > group_bytes) & (F.col("members") > 1) & (F.col("width") > 1)).select("deal"))
+        hot = pinned(sizes.filter((F.col("size") > group_bytes) & (F.col("members") > 1)).select("deal"))
         count = hot.count()
         cold = rows.join(hinted(hot, count, 16), "deal", "left_anti").select(*rows.columns) if count else rows
         done = cold if done is None else done.unionByName(cold)
         if not count:
-            return done
-        rows = pinned(rows.join(hinted(hot, count, 16), "deal", "left_semi").select(*rows.columns).mapInArrow(_halves, rows.schema))
-        sizes = rows.groupBy("deal").agg(F.sum(F.length("bytes")).alias("size"), F.count(F.lit(1)).alias("members"), F.max(F.col("high") - F.col("low")).alias("width"))
+            return done, single
+        halves = pinned(rows.join(hinted(hot, count, 16), "deal", "left_semi").select(*rows.columns).mapInArrow(_halves, rows.schema))
+        own, rows = halves.filter("high - low = 1"), halves.filter("high - low > 1")
+        single = own if single is None else single.unionByName(own)
+        sizes = rows.groupBy("deal").agg(F.sum(F.length("bytes")).alias("size"), F.count(F.lit(1)).alias("members"))
+
+
+def _repeated_singles(single: DataFrame) -> DataFrame:
+    """choice, segment, windows: the rows of single windows that stand in more places than one."""
+    counts = pinned(single.groupBy("deal", "bytes").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("members")).filter("n > 1"))
+    common, others = (counts.filter(c).select("deal", "bytes") for c in (F.col("members") > COMMON, F.col("members") <= COMMON))
+    common, others = (hinted(x, x.count(), WINDOW + 64) for x in (common, others))
+    on = ["deal", "bytes"]
+    found = single.join(common, on, "left_semi").unionByName(single.join(common, on, "left_anti").join(others, on, "left_semi"))
+    return found.select("choice", "segment", F.array(F.struct(F.col("skipped").alias("a"), (F.col("skipped") + 1).alias("b"))).alias("windows"))
 
 
 # ---------------------------------------------------------------- merging transforms
@@ -338,7 +352,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     candidates = own.join(hinted(shared, total["n"], width), "row").filter(F.sha2("text", 256) == F.col("sha"))
 
     segments = written(_segment_rows(candidates), "segments")
-    found = _repeated_runs(_dealt(segments, group_bytes))
+    dealt, single = _dealt(segments, group_bytes)
+    found = _repeated_runs(dealt)
+    if single is not None:
+        found = found.unionByName(_repeated_singles(single))
     found = pinned(found.groupBy("choice", "segment").agg(F.flatten(F.collect_list("windows")).alias("windows")))
     places = segments.select("choice", "segment", "sha", "starts").join(found, ["choice", "segment"])
     spans = F.flatten(F.transform("starts", lambda s: F.transform("windows", lambda w: F.struct((s + w["a"]).alias("a"), (s + w["b"] + (WINDOW - 1)).alias("b")))))
