@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewheel.llm.components import components
-from tidewheel.llm.shared import hinted, pinned, slices, trimmed, utf8
+from tidewheel.llm.shared import bucketed, hinted, pinned, slices, trimmed, utf8
 from tidewheel.llm.textscan import BLANK, LOWER, mix, sequence_hashes, word_hashes, words
 
 SCAN_BYTES = 1 << 20
@@ -43,15 +43,23 @@ PERCENT = 80
 SUBSET = 2
 #: A set's prefix is longer by a token for so many tokens of the set.
 SPARE = 16
-#: A token is noted as frequent where one batch of documents holds it so often, and the most
-#: frequent of these come last in the order.  Any order is exact; this one keeps lists short.
+#: A token is noted as frequent where a slice of the documents (``SLICE_BYTES`` of text) holds it so
+#: often, and the most frequent of these come last in the order.  Any order is exact; this one keeps
+#: lists short.
 OFTEN = 4
 FREQUENT = 1 << 17
+SLICE_BYTES = 4 << 20
 #: Reads of an inverted list's entry, one for each round that it takes part in: the cost of scanning
 #: it, against that of one enumerated subset.
 SCANS = 3
 #: Each round checks lists against so many times as many members.
 GROWTH = 32
+#: Tokens with so many sets never meet in one task: they are known to be shared, and the members of
+#: their lists are ranked in ``SALTS`` parts.
+HOT = 10_000
+SALTS = 64
+#: Token buckets for each shuffle partition.
+BUCKETS = 8
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> Iterator[np.ndarray]:
@@ -87,110 +95,218 @@ def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def frequent_tokens(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent tokens, sorted, and their rank: the rarer the lower.  Bounded by FREQUENT."""
+def _scanned(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
+    """doc_id, n_shingles and digest of each row's set; and, with ``n`` instead, tokens that a slice of the rows holds OFTEN."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[bytes] = set()
-            own = [s for s in shingle_sets(*utf8(batch.column(0)), size) if len(s) > 1 and not ((d := _digest(s)) in seen or seen.add(d))]
-            token, n = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            token, n = token[n >= OFTEN], n[n >= OFTEN]
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
+            raw, offsets = utf8(batch.column(1))
+            for a, b in slices(offsets, SLICE_BYTES):
+                sizes, digests, own, seen = [], [], [np.zeros(0, np.uint64)], set()
+                for tokens in shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size):
+                    sizes.append(len(tokens))
+                    digests.append(_digest(tokens) if len(tokens) else None)
+                    if len(tokens) > 1 and digests[-1] not in seen:
+                        seen.add(digests[-1])
+                        own.append(tokens)
+                token = np.sort(np.concatenate(own))
+                new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+                n = np.diff(np.concatenate([new, [len(token)]]))
+                token, n = token[new][n >= OFTEN].view(np.int64), n[n >= OFTEN]
+                known = [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.int64())]
+                often = [pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary()), pa.array(token), pa.array(n, pa.int64())]
+                for columns in (known, often):
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "token", "n"])
 
-    counted = docs.select(F.col(text)).mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    chosen = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    return chosen.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, token bigint, n bigint")
+
+
+def frequent_tokens(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent tokens, sorted, and how many sets have them, as far as counted.  Bounded by FREQUENT."""
+    counted = scanned.filter("n is not null").groupBy("token").agg(F.sum("n").alias("n"))
     found = counted.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
     token, n = found.column("token").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(token)
-    return token[order], np.frexp(n[order].astype(np.float64))[1].astype(np.int64)
+    return token[order], n[order].astype(np.int64)
 
 
-def _prefixes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, and its prefix in the global order."""
-    given = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, text, size))
+def _members(known: DataFrame) -> DataFrame:
+    """The smallest doc_id of each distinct set, as ``node``, with digest and size of the set."""
+    return known.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").cast("int").alias("size"))
+
+
+def prefix(own: np.ndarray, often: np.ndarray, count: np.ndarray, marks: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A sorted set's prefix in the global order, rare tokens first, and the counts of its frequent tokens (else 0)."""
+    n = len(own)
+    least = least_common(n, percent)
+    length = n - least + prefix_common(n) if least >= SUBSET else 0  # else only equal sets link
+    maybe = np.flatnonzero(marks[(own >> np.uint64(42)).astype(np.int64)]) if length else own[:0]
+    if len(maybe):
+        where = np.minimum(np.searchsorted(often, own[maybe]), len(often) - 1)
+        hit = often[where] == own[maybe]
+        maybe, where = maybe[hit], where[hit]
+    if not len(maybe):
+        return own[:length], np.zeros(min(length, n), np.int64)
+    order = np.argsort(np.frexp(count[where].astype(np.float64))[1], kind="stable")
+    first = np.delete(own, maybe)[:length]
+    more = length - len(first)
+    return np.concatenate([first, own[maybe][order][:more]]), np.concatenate([np.zeros(len(first), np.int64), count[where][order][:more]])
+
+
+def _packed_tokens(docs: DataFrame, doc_id: str, text: str, members: DataFrame, count: int, frequent: tuple, size: int, percent: int, buckets: int) -> DataFrame:
+    """Prefix tokens of the members, packed by bucket: nodes, the tokens' last 32 bits, and marks.
+
+    A mark is 4 * bit length of the size + how far beyond the shortest prefix the token stands (0, 1, 2).
+    HOT tokens come with the count ``n`` of their sets instead, in any bucket.
+    """
+    given = docs.sparkSession.sparkContext.broadcast(frequent)
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, rank = given.value
-        marks = np.zeros(1 << 22, bool)
-        marks[(often >> np.uint64(42)).astype(np.int64)] = True
+        often, number = given.value
+        marked = np.zeros(1 << 22, bool)
+        marked[(often >> np.uint64(42)).astype(np.int64)] = True
         for batch in batches:
-            sizes, digests, prefixes = [], [], []
-            for own in shingle_sets(*utf8(batch.column(1)), size):
-                n = len(own)
-                least = least_common(n, percent)
-                length = n - least + prefix_common(n) if least >= SUBSET else 0  # else only equal sets link
-                maybe = np.flatnonzero(marks[(own >> np.uint64(42)).astype(np.int64)]) if length else own[:0]
-                if len(maybe):
-                    where = np.minimum(np.searchsorted(often, own[maybe]), len(often) - 1)
-                    hit = often[where] == own[maybe]
-                    maybe, where = maybe[hit], where[hit]
-                if len(maybe):
-                    late = own[maybe][np.argsort(rank[where], kind="stable")]
-                    first = np.delete(own, maybe)[:length]
-                    prefix = np.concatenate([first, late[: length - len(first)]])
-                else:
-                    prefix = own[:length]
-                sizes.append(n)
-                digests.append(_digest(own) if n else None)
-                prefixes.append(prefix)
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n_shingles", "digest", "prefix"])
-
-    chosen = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>")
-
-
-def _members(known: DataFrame) -> DataFrame:
-    """The smallest doc_id of each distinct set, as ``node``."""
-    return known.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-
+            raw, offsets = utf8(batch.column(1))
+            for a, b in slices(offsets, SLICE_BYTES):
+                nodes, tokens, marks, counts = [], [], [], []
+                whole = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
+                for node, digest, own in zip(batch.column(0)[a:b].to_pylist(), batch.column(2)[a:b].to_pylist(), whole):
+                    if not len(own) or _digest(own) != digest:  # another text under the same id
+                        continue
+                    token, n = prefix(own, often, number, marked, percent)
+                    beyond = np.arange(len(token)) - (len(own) - least_common(len(own), percent))
+                    nodes.append(np.full(len(token), node, np.int64))
+                    tokens.append(token)
+                    counts.append(n)
+                    marks.append((np.clip(beyond, 0, 2) + 4 * len(own).bit_length()).astype(np.uint8))
+                if not nodes:
+                    continue
+                node, token, n, mark = (np.concatenate(x) for x in (nodes, tokens, counts, marks))
+                bucket = (token >> np.uint64(32)) % np.uint64(buckets)
+                tail = (token & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                hot = np.flatnonzero(n >= HOT)
+                cold = np.flatnonzero(n < HOT)
+                cold = cold[np.argsort(bucket[cold].astype(np.uint32), kind="stable")]
+                own = bucket[cold]
+                cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else own[:0].astype(np.int64)
+                parts = np.split(cold, cuts[1:]) if len(cold) else []
+                packed = [pa.array(own[cuts].astype(np.int32))]
+                for values in (node, tail, mark):
+                    packed.append(pa.array([values[p].tobytes() for p in parts], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*packed, pa.nulls(len(parts), pa.binary())], ["bucket", "nodes", "tails", "marks", "n"])
+                if len(hot):
+                    ids = (bucket[hot] << np.uint64(32) | tail[hot]).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([int(node[hot[0]] % buckets)], pa.int32()), *[pa.array([x], pa.binary()) for x in (node[hot].tobytes(), ids, mark[hot].tobytes(), n[hot].tobytes())]], ["bucket", "nodes", "tails", "marks", "n"])
+
+    reps = hinted(members.select("node", "digest"), count, 64)
+    own = docs.select(F.col(doc_id).cast("bigint").alias("node"), F.col(text).alias("text")).join(reps, "node").select("node", "text", "digest")
+    return own.mapInArrow(run, "bucket int, nodes binary, tails binary, marks binary, n binary")
+
+
+def _shared_tokens(packed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """node, size, own (token, n sets that have it in their prefix, beyond) of the tokens that two
+    sets or more share, of the nodes with enough of such tokens to link with a set of the least size
+    that may; ``weight``, the sum of the lists' lengths.  Rows with a ``class`` give the summed
+    lengths of the lists whose largest set is of that size class.
+
+    Tokens are told apart by bucket and last 32 bits: that rare tokens may share a list costs a check
+    and loses nothing.
+    """
 
-def _shared_tokens(prefixes: DataFrame, percent: int) -> DataFrame:
-    """node, size, pos, token, how many sets have the token in their prefix, where that is two or
-    more, and the sum of these as ``weight``, of the nodes with enough of such tokens to link with
-    a set of the least size that may."""
-    rows = prefixes.select("node", F.col("n_shingles").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "token"))
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("token"))).filter("n > 1")
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(node, token, n, mark):
+            # The lists' cost: each length once, under the class of the largest set.
+            cost = np.zeros(64, np.int64)
+            if len(node):
+                new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+                np.add.at(cost, np.maximum.reduceat(mark >> 2, new), np.diff(np.concatenate([new, [len(token)]])))
+            classes = np.flatnonzero(cost)
+            columns = [
+                pa.concat_arrays([pa.array(node, pa.int64()), pa.nulls(len(classes), pa.int64())]), pa.concat_arrays([pa.nulls(len(node), pa.int32()), pa.array(classes, pa.int32())]),
+                pa.concat_arrays([pa.array(token.view(np.int64)), pa.nulls(len(classes), pa.int64())]), pa.array(np.concatenate([n, cost[classes]])), pa.concat_arrays([pa.array((mark & 3).astype(np.int32)), pa.nulls(len(classes), pa.int32())]),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["node", "class", "token", "n", "beyond"])
+
+        def shared(bucket, held):
+            node, tail, mark = (np.concatenate([np.frombuffer(x[k], kind) for x in held]) for k, kind in enumerate((np.int64, np.uint32, np.uint8)))
+            order = np.argsort(tail, kind="stable")
+            same = tail[order][1:] == tail[order][:-1]
+            twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            order = order[twice]
+            order = order[np.lexsort((node[order], tail[order]))]
+            node, tail, mark = node[order], tail[order], mark[order]
+            first = np.ones(len(node), bool)  # repeated rows count once
+            first[1:] = (node[1:] != node[:-1]) | (tail[1:] != tail[:-1])
+            node, tail, mark = node[first], tail[first], mark[first]
+            _, where, n = np.unique(tail, return_inverse=True, return_counts=True)
+            keep = n[where] > 1
+            return rows(node[keep], np.uint64(bucket) << np.uint64(32) | tail[keep].astype(np.uint64), n[where][keep], mark[keep])
+
+        current, held = None, []
+        for batch in batches:
+            for bucket, nodes, tails, marks, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if n is not None:
+                    yield rows(np.frombuffer(nodes, np.int64), np.frombuffer(tails, np.uint64), np.frombuffer(n, np.int64), np.frombuffer(marks, np.uint8))
+                    continue
+                if bucket != current and held:
+                    yield shared(current, held)
+                    held = []
+                current = bucket
+                held.append((nodes, tails, marks))
+        if held:
+            yield shared(current, held)
+
+    sorted_ = packed.repartition("bucket").sortWithinPartitions("bucket")
+    found = sorted_.mapInArrow(run, "node bigint, class int, token bigint, n bigint, beyond int")
+    own = F.collect_set(F.when(F.col("class").isNull(), F.struct("token", "n", "beyond")))
+    grouped = found.groupBy("class", "node").agg(own.alias("own"), F.sum("n").alias("weight"))
+    sized = grouped.join(members.select("node", "size"), "node", "left")
     needed = F.greatest(F.lit(SUBSET), 1 + F.floor(_least(F.col("size"), percent) / SPARE))
-    own = W.partitionBy("node")
-    return rows.withColumns({"k": F.count(F.lit(1)).over(own), "weight": F.sum("n").over(own)}).filter(F.col("k") >= needed).drop("n")
+    return sized.filter(F.col("class").isNotNull() | (F.size("own") >= needed)).select("node", "size", "class", "own", "weight")
 
 
 def _least(size: Column, percent: int) -> Column:
     return F.floor((size * percent + 99) / 100)
 
 
-def _boundary(tokens: DataFrame) -> int:
-    """The largest size class (bit length of the size) whose sets enumerate subsets, by cost."""
-    own = tokens.groupBy("node").agg(F.length(F.bin(F.first("size"))).alias("class"), F.first("k").alias("k"))
-    costs = {r["class"]: (r["subsets"], r["scan"]) for r in own.groupBy("class").agg(F.sum(F.expr("cast(k as double) * (k - 1) / 2")).alias("subsets"), F.sum(SCANS * F.col("k")).alias("scan")).collect()}
-    total = lambda x: sum(subsets if c <= x else scan for c, (subsets, scan) in costs.items())
-    return min([0, *sorted(costs)], key=total)
+def boundary(tokens: DataFrame) -> int:
+    """The largest size class (bit length of the size) whose sets enumerate subsets, by cost: the
+    subsets of the light sets, and SCANS reads of each entry of the lists that a heavy set scans."""
+    nodes = tokens.filter("class is null").select(F.length(F.bin("size")).alias("class"), F.size("own").cast("double").alias("k"))
+    subsets = {r["class"]: r["n"] for r in nodes.groupBy("class").agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("n")).collect()}
+    lists = {r["class"]: r["n"] for r in tokens.filter("class is not null").groupBy("class").agg(F.sum("weight").alias("n")).collect()}
+    total = lambda x: sum(n for c, n in subsets.items() if c <= x) + SCANS * sum(n for c, n in lists.items() if c > x)
+    return min([0, *sorted(subsets)], key=total)
 
 
-def _lists(tokens: DataFrame, percent: int) -> DataFrame:
+def _lists(tokens: DataFrame, percent: int, light_to: int) -> DataFrame:
     """Lists whose members are candidates of each other: key, other, node, size and rank in the list.
 
     Light sets stand in the lists of their subsets; all sets stand in the token lists that some
-    heavy set scans.  The member that shares most tokens with others comes first.
+    heavy set scans.  The member that shares most tokens with others comes first.  Lists of HOT
+    tokens are ranked in parts, whose first members come first, and are always scanned.
     """
-    light = F.length(F.bin("size")) <= _boundary(tokens)
-    within = F.col("pos") <= F.col("size") - _least(F.col("size"), percent) + (SUBSET - 1)
-    own = tokens.filter(light & within).groupBy("node").agg(F.first("size").alias("size"), F.first("weight").alias("weight"), F.array_sort(F.collect_list("token")).alias("own"))
-    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.struct(x.alias("key"), y.alias("other")))))
-    enumerated = own.select("node", "size", "weight", F.explode(pairs).alias("p")).select("p.key", "p.other", "node", "size", "weight", F.lit(True).alias("used"))
-    short = tokens.filter(F.col("pos") <= F.col("size") - _least(F.col("size"), percent))
-    scanned = short.select(F.col("token").alias("key"), F.lit(None).cast("bigint").alias("other"), "node", "size", "weight", (~light).alias("used"))
-    same = W.partitionBy("key", "other")
-    both = enumerated.union(scanned).withColumns({"members": F.count(F.lit(1)).over(same), "any": F.max("used").over(same), "rank": F.row_number().over(same.orderBy(F.desc("weight"), "node"))})
-    return both.filter("members > 1 and any").select("key", "other", "node", "size", "rank", F.col("node").alias("component"))
-
-
-def _sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: DataFrame) -> DataFrame:
-    """node and its whole token set as bytes, for the (node, digest) rows of ``wanted``."""
+    light = F.length(F.bin("size")) <= light_to
+    nodes = tokens.filter("class is null")
+    own = nodes.filter(light).select("node", "size", "weight", F.array_sort(F.filter("own", lambda x: x["beyond"] < SUBSET)).alias("own"))
+    hot = lambda x: x["n"] >= HOT
+    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.struct(x["token"].alias("key"), y["token"].alias("other"), (hot(x) & hot(y)).alias("hot")))))
+    enumerated = own.select("node", "size", "weight", F.explode(pairs).alias("p")).select("p.key", "p.other", "p.hot", "node", "size", "weight", F.lit(True).alias("used"))
+    entries = nodes.select("node", "size", "weight", F.explode(F.filter("own", lambda x: x["beyond"] == 0)).alias("x"))
+    scanned = entries.select(F.col("x.token").alias("key"), F.lit(None).cast("bigint").alias("other"), hot(F.col("x")).alias("hot"), "node", "size", "weight", (~light).alias("used"))
+    both = enumerated.union(scanned).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS)) + 1).otherwise(F.lit(0)))
+    same = W.partitionBy("key", "other", "salt")
+    both = both.withColumns({"members": F.count(F.lit(1)).over(same), "any": F.max("used").over(same), "place": F.row_number().over(same.orderBy(F.desc("weight"), "node"))})
+    rank = F.when(F.col("hot"), (F.col("place") - 1) * SALTS + F.col("salt")).otherwise(F.col("place"))
+    return both.filter("hot or members > 1 and any").select("key", "other", "node", "size", rank.alias("rank"), F.col("node").alias("component"))
+
+
+def _sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: DataFrame) -> tuple:
+    """node and its whole token set as bytes, for the (node, digest) rows of ``wanted``, in a table bucketed by node."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,10 +318,9 @@ def _sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: DataFrame)
                     sets.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
 
-    wanted = wanted.groupBy("node").agg(F.min("digest").alias("digest"))
-    wanted = pinned(wanted)
     own = docs.select(F.col(doc_id).cast("bigint").alias("node"), F.col(text).alias("text"))
-    return own.join(hinted(wanted, wanted.count(), 64), "node").select("node", "text", "digest").mapInArrow(run, "node bigint, tokens binary")
+    made = own.join(hinted(wanted, wanted.count(), 64), "node").select("node", "text", "digest").mapInArrow(run, "node bigint, tokens binary")
+    return bucketed(made, "token_sets", "node")
 
 
 def _verified(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -243,6 +358,15 @@ def _candidates(lists: DataFrame, first: int, last: int | None, percent: int) ->
     return l.join(r, on).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
 
+def _unresolved(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """``lists`` with the components found, where a list has more than one; ``members``, how many rows such a list has."""
+    known = lists.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = known.groupBy("key", "other").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high")
+    open_ = pinned(open_.select(F.col("key").alias("__key"), F.col("other").alias("__other"), "members"))
+    on = (F.col("key") == F.col("__key")) & F.col("other").eqNullSafe(F.col("__other"))
+    return known.drop("members").join(hinted(open_, open_.count(), 48), on).drop("__key", "__other")
+
+
 def _bounded(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """``lists`` with ``most``, how many tokens a member can share with any fellow, and ``long``, the
     long lists that it stands in.
@@ -250,47 +374,51 @@ def _bounded(lists: DataFrame, sets: DataFrame) -> DataFrame:
     In long lists, which hold large groups of near copies, these are the tokens of its whole set
     that some other member of a long list has too; many pairs then need no check.
     """
-    members = lists.withColumn("members", F.count(F.lit(1)).over(W.partitionBy("key", "other")))
-    long = pinned(members.filter(F.col("members") > GROWTH).select("node").distinct())
+    is_long = F.col("members") > GROWTH
+    ids = pinned(lists.filter(is_long).groupBy("node").agg(F.collect_set(F.xxhash64("key", "other")).alias("ids")))
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-            nodes = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(own))], ["node", "token"])
-
-    tokens = sets.join(hinted(long, long.count(), 16), "node", "left_semi").select("node", "tokens").mapInArrow(run, "node bigint, token bigint").distinct()
-    shared = tokens.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("token"))).filter("n > 1").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
-    ids = members.filter(F.col("members") > GROWTH).groupBy("node").agg(F.collect_list(F.xxhash64("key", "other")).alias("ids"))
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                own = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+                nodes = np.repeat(part.column(0).to_numpy(), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(own))], ["node", "token"])
+
+    tokens = pinned(sets.join(hinted(ids.select("node"), ids.count(), 16), "node", "left_semi").select("node", "tokens").mapInArrow(run, "node bigint, token bigint").distinct())
+    twice = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
+    shared = tokens.join(twice, "token", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
     known = pinned(ids.join(shared, "node", "left"))
-    out = members.join(known, "node", "left")
-    is_long = F.col("members") > GROWTH
-    return out.withColumns({"most": F.when(is_long, F.coalesce("shared", F.lit(0))).otherwise(F.col("size")), "long": F.when(is_long, F.col("ids"))}).select(*lists.columns, "most", "long")
+    out = lists.join(known, "node", "left")
+    return out.withColumns({"most": F.when(is_long, F.coalesce("shared", F.lit(0))).otherwise(F.col("size")), "long": F.when(is_long, F.col("ids"))}).drop("ids", "shared")
 
 
 def _start(docs, doc_id, text, size, percent):
-    prefixes = _prefixes(docs, doc_id, text, size, percent)
-    known = pinned(prefixes.select("doc_id", "n_shingles", "digest"))
+    scanned = pinned(_scanned(docs, doc_id, text, size))
+    known = scanned.filter("n is null").select("doc_id", "n_shingles", "digest")
     members = pinned(_members(known))
-    # Prefixes are made again rather than kept: they are larger than what they are made from.
-    reps = hinted(members.select(F.col("digest").alias("__digest"), "node"), members.count(), 64)
-    own = prefixes.join(reps, (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("__digest"))).select("node", "n_shingles", "prefix")
-    tokens = pinned(_shared_tokens(own, percent))
-    lists = pinned(_lists(tokens, percent))
-    wanted = members.join(lists.select("node").distinct(), "node", "left_semi")
-    return known, members, lists, pinned(_sets(docs, doc_id, text, size, wanted))
+    # Of several sets under one id, that with the smallest digest stands for the id in near links.
+    wanted = members.groupBy("node").agg(F.min_by("size", "digest").alias("size"), F.min("digest").alias("digest"))
+    wanted = pinned(wanted)
+    count = wanted.count()
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = _packed_tokens(docs, doc_id, text, wanted, count, frequent_tokens(scanned), size, percent, buckets)
+    tokens = pinned(_shared_tokens(packed, wanted, percent))
+    lists = pinned(_lists(tokens, percent, boundary(tokens)))
+    listed = lists.select("node").distinct()
+    return known, members, lists, _sets(docs, doc_id, text, size, pinned(wanted.join(listed, "node", "left_semi")))
 
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """All links (a, b), a < b, between the representatives of different sets; copies: ``join``."""
-    _, _, lists, sets = _start(docs, doc_id, text, size, percent)
+    _, _, lists, (sets, _) = _start(docs, doc_id, text, size, percent)
     return _verified(_candidates(lists, 1, None, percent), sets, percent).distinct()
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
-    known, members, lists, sets = _start(docs, doc_id, text, size, percent)
+    known, members, lists, (sets, drop) = _start(docs, doc_id, text, size, percent)
     labels, first, last = None, 1, 1
     while lists.head(1):
         found = pinned(_verified(_candidates(lists, first, last, percent), sets, percent))
@@ -304,12 +432,11 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         else:
             to = new.select(F.col("node").alias("component"), F.col("component").alias("to"))
             labels = pinned(labels.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(new.join(labels.select("node"), "node", "left_anti")))
-        rest = lists.filter(F.col("rank") > last).drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        own = W.partitionBy("key", "other")
-        rest = rest.withColumns({"low": F.min("component").over(own), "high": F.max("component").over(own)}).filter("low < high").drop("low", "high")
-        lists = pinned(rest if "most" in rest.columns else _bounded(pinned(rest), sets))
+        rest = pinned(_unresolved(lists.filter(F.col("rank") > last), labels))
+        lists = rest if "most" in rest.columns else pinned(_bounded(rest, sets))
         first, last = last + 1, last * GROWTH
+    drop()
     if labels is None:
         labels = members.select("node", F.col("node").alias("component")).limit(0)
-    out = known.join(members, "digest", "left").join(labels, "node", "left")
+    out = known.join(members.select("digest", "node"), "digest", "left").join(labels, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("class_id"), F.coalesce("component", "node", "doc_id").alias("component_id"))

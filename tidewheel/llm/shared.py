@@ -92,3 +92,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     folder = fresh_dir(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as a table in the shared folder, bucketed by ``key`` so that joins on it need no further
+    shuffle of it; and a function that removes the table once nothing reads it any more."""
+    spark = df.sparkSession
+    count, table, folder = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}", fresh_dir(spark, name)
+    df.repartition(count, key).write.bucketBy(count, key).option("path", folder).saveAsTable(table)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE {table}")
+        removed(spark, folder)
+
+    return spark.table(table), drop
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediates that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
