@@ -265,7 +265,7 @@ def _shared_tokens(packed: DataFrame, members: DataFrame, percent: int) -> DataF
     own = F.collect_set(F.when(F.col("class").isNull(), F.struct("token", "n", "beyond")))
     grouped = found.groupBy("class", "node").agg(own.alias("own"), F.sum("n").alias("weight"))
     sized = grouped.join(members.select("node", "size"), "node", "left")
-    needed = F.greatest(F.lit(SUBSET), 1 + F.floor(_least(F.col("size"), percent) / SPARE))
+    needed = _common(_least(F.col("size"), percent))
     return sized.filter(F.col("class").isNotNull() | (F.size("own") >= needed)).select("node", "size", "class", "own", "weight")
 
 
@@ -323,6 +323,19 @@ def _sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: DataFrame)
     return bucketed(made, "token_sets", "node")
 
 
+def _common(size: Column) -> Column:
+    """``prefix_common`` of a size."""
+    return F.greatest(F.lit(SUBSET), 1 + F.floor(size / SPARE))
+
+
+def _sharing(candidates: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The candidate pairs whose prefixes share as many tokens as those of two similar sets must."""
+    x = prefixes.select(F.col("node").alias("a"), F.col("tokens").alias("x"), _common(F.col("size")).alias("m"))
+    y = prefixes.select(F.col("node").alias("b"), F.col("tokens").alias("y"), _common(F.col("size")).alias("n"))
+    both = candidates.join(y, "b").join(x, "a")
+    return both.filter(F.size(F.array_intersect("x", "y")) >= F.least("m", "n")).select("a", "b")
+
+
 def _verified(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The candidate pairs (a, b) that link."""
 
@@ -339,7 +352,7 @@ def _verified(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
     x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return candidates.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def _candidates(lists: DataFrame, first: int, last: int | None, percent: int) -> DataFrame:
@@ -407,21 +420,24 @@ def _start(docs, doc_id, text, size, percent):
     tokens = pinned(_shared_tokens(packed, wanted, percent))
     lists = pinned(_lists(tokens, percent, boundary(tokens)))
     listed = lists.select("node").distinct()
-    return known, members, lists, _sets(docs, doc_id, text, size, pinned(wanted.join(listed, "node", "left_semi")))
+    sets, drop = _sets(docs, doc_id, text, size, pinned(wanted.join(listed, "node", "left_semi")))
+    prefixes, drop_prefixes = bucketed(tokens.filter("class is null").select("node", "size", F.col("own.token").alias("tokens")), "prefixes", "node")
+    check = lambda candidates: _verified(_sharing(candidates, prefixes), sets, percent)
+    return known, members, lists, sets, check, (drop, drop_prefixes)
 
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """All links (a, b), a < b, between the representatives of different sets; copies: ``join``."""
-    _, _, lists, (sets, _) = _start(docs, doc_id, text, size, percent)
-    return _verified(_candidates(lists, 1, None, percent), sets, percent).distinct()
+    _, _, lists, _, check, _ = _start(docs, doc_id, text, size, percent)
+    return check(_candidates(lists, 1, None, percent)).distinct()
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
-    known, members, lists, (sets, drop) = _start(docs, doc_id, text, size, percent)
+    known, members, lists, sets, check, drops = _start(docs, doc_id, text, size, percent)
     labels, first, last = None, 1, 1
     while lists.head(1):
-        found = pinned(_verified(_candidates(lists, first, last, percent), sets, percent))
+        found = pinned(check(_candidates(lists, first, last, percent)))
         if labels is not None:  # what was found before stands as its component
             x, y = labels.select(F.col("node").alias("a"), F.col("component").alias("p")), labels.select(F.col("node").alias("b"), F.col("component").alias("q"))
             found = found.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b"))
@@ -435,7 +451,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         rest = pinned(_unresolved(lists.filter(F.col("rank") > last), labels))
         lists = rest if "most" in rest.columns else pinned(_bounded(rest, sets))
         first, last = last + 1, last * GROWTH
-    drop()
+    for drop in drops:
+        drop()
     if labels is None:
         labels = members.select("node", F.col("node").alias("component")).limit(0)
     out = known.join(members.select("digest", "node"), "digest", "left").join(labels, "node", "left")
