@@ -12,7 +12,7 @@ other prefix has, and sets with fewer than c tokens left, are dismissed at once.
   reads of list entries smallest, from exact counts by size class.
 
 For components, a list is not expanded into pairs.  Its members are checked against one central
-member, then against the next 31, the next 992 and so on, and members already in one component are never
+member, then against the next 7, the next 56 and so on, and members already in one component are never
 checked against each other; what remains is exact, and near copies cost one check each.
 
 Defined edge cases: null or wordless text has an empty set, links with nothing and is its own
@@ -43,17 +43,20 @@ PERCENT = 80
 SUBSET = 2
 #: A set's prefix is longer by a token for so many tokens of the set.
 SPARE = 16
-#: A token is noted as frequent where a slice of the documents (``SLICE_BYTES`` of text) holds it so
-#: often, and the most frequent of these come last in the order.  Any order is exact; this one keeps
-#: lists short.
+#: A token is noted as frequent where a task's documents hold it so often, and the most frequent of
+#: these come last in the order.  A task counts tokens that a slice of ``SLICE_BYTES`` of text has
+#: twice, and of these ``COUNTED`` at most.  Any order is exact; this one keeps lists short.
 OFTEN = 4
 FREQUENT = 1 << 17
+COUNTED = 1 << 20
 SLICE_BYTES = 4 << 20
 #: Reads of an inverted list's entry, one for each round that it takes part in: the cost of scanning
 #: it, against that of one enumerated subset.
 SCANS = 3
 #: Each round checks lists against so many times as many members.
-GROWTH = 32
+GROWTH = 8
+#: Lists with more members are long: what their members can share is bounded before they are paired.
+LONG = 32
 #: Tokens with so many sets never meet in one task: they are known to be shared, and the members of
 #: their lists are ranked in ``SALTS`` parts.
 HOT = 10_000
@@ -96,10 +99,11 @@ def _digest(tokens: np.ndarray) -> bytes:
 
 
 def _scanned(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """doc_id, n_shingles and digest of each row's set; and, with ``n`` instead, tokens that a slice of the rows holds OFTEN."""
+    """doc_id, n_shingles and digest of each row's set; and, with ``n`` instead, tokens that a task's rows hold OFTEN."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             for a, b in slices(offsets, SLICE_BYTES):
@@ -113,11 +117,16 @@ def _scanned(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
                 token = np.sort(np.concatenate(own))
                 new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
                 n = np.diff(np.concatenate([new, [len(token)]]))
-                token, n = token[new][n >= OFTEN].view(np.int64), n[n >= OFTEN]
+                token, n = np.concatenate([often, token[new][n > 1]]), np.concatenate([total, n[n > 1]])
+                often, where = np.unique(token, return_inverse=True)
+                total = np.bincount(where, n, len(often)).astype(np.int64)
+                if len(often) > COUNTED:
+                    keep = np.sort(np.argsort(-total, kind="stable")[: COUNTED // 2])
+                    often, total = often[keep], total[keep]
                 known = [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.int64())]
-                often = [pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary()), pa.array(token), pa.array(n, pa.int64())]
-                for columns in (known, often):
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "token", "n"])
+                yield pa.RecordBatch.from_arrays(known, ["doc_id", "n_shingles", "digest", "token", "n"])
+        often, total = often[total >= OFTEN].view(np.int64), total[total >= OFTEN]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(total), pa.int64()), pa.nulls(len(total), pa.int64()), pa.nulls(len(total), pa.binary()), pa.array(often), pa.array(total)], ["doc_id", "n_shingles", "digest", "token", "n"])
 
     chosen = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return chosen.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, token bigint, n bigint")
@@ -262,9 +271,9 @@ def _shared_tokens(packed: DataFrame, members: DataFrame, percent: int) -> DataF
 
     sorted_ = packed.repartition("bucket").sortWithinPartitions("bucket")
     found = sorted_.mapInArrow(run, "node bigint, class int, token bigint, n bigint, beyond int")
-    own = F.collect_set(F.when(F.col("class").isNull(), F.struct("token", "n", "beyond")))
-    grouped = found.groupBy("class", "node").agg(own.alias("own"), F.sum("n").alias("weight"))
-    sized = grouped.join(members.select("node", "size"), "node", "left")
+    sizes = members.select("node", *[F.lit(None).cast(k).alias(c) for c, k in (("class", "int"), ("token", "bigint"), ("n", "bigint"), ("beyond", "int"))], "size")
+    own = F.collect_set(F.when(F.col("token").isNotNull(), F.struct("token", "n", "beyond")))
+    sized = found.withColumn("size", F.lit(None).cast("int")).unionByName(sizes).groupBy("class", "node").agg(own.alias("own"), F.sum("n").alias("weight"), F.max("size").alias("size"))
     needed = _common(_least(F.col("size"), percent))
     return sized.filter(F.col("class").isNotNull() | (F.size("own") >= needed)).select("node", "size", "class", "own", "weight")
 
@@ -284,11 +293,12 @@ def boundary(tokens: DataFrame) -> int:
 
 
 def _lists(tokens: DataFrame, percent: int, light_to: int) -> DataFrame:
-    """Lists whose members are candidates of each other: key, other, node, size and rank in the list.
+    """Lists whose members are candidates of each other: key, other, node, size and rank in the list,
+    and the central member, which shares most tokens with others and has rank 1.
 
     Light sets stand in the lists of their subsets; all sets stand in the token lists that some
-    heavy set scans.  The member that shares most tokens with others comes first.  Lists of HOT
-    tokens are ranked in parts, whose first members come first, and are always scanned.
+    heavy set scans.  Lists of HOT tokens are ranked in parts and always scanned: each part has a
+    central member, and these come first among the ranks from 2 on.
     """
     light = F.length(F.bin("size")) <= light_to
     nodes = tokens.filter("class is null")
@@ -300,9 +310,10 @@ def _lists(tokens: DataFrame, percent: int, light_to: int) -> DataFrame:
     scanned = entries.select(F.col("x.token").alias("key"), F.lit(None).cast("bigint").alias("other"), hot(F.col("x")).alias("hot"), "node", "size", "weight", (~light).alias("used"))
     both = enumerated.union(scanned).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS)) + 1).otherwise(F.lit(0)))
     same = W.partitionBy("key", "other", "salt")
-    both = both.withColumns({"members": F.count(F.lit(1)).over(same), "any": F.max("used").over(same), "place": F.row_number().over(same.orderBy(F.desc("weight"), "node"))})
-    rank = F.when(F.col("hot"), (F.col("place") - 1) * SALTS + F.col("salt")).otherwise(F.col("place"))
-    return both.filter("hot or members > 1 and any").select("key", "other", "node", "size", rank.alias("rank"), F.col("node").alias("component"))
+    first = same.orderBy(F.desc("weight"), "node")
+    both = both.withColumns({"members": F.count(F.lit(1)).over(same), "any": F.max("used").over(same), "place": F.row_number().over(first), "center": F.first(F.struct("node", "size")).over(first)})
+    rank = F.when(F.col("hot"), (F.col("place") - 1) * SALTS + F.col("salt") + 1).otherwise(F.col("place"))
+    return both.filter("hot or members > 1 and any").select("key", "other", "node", "size", rank.alias("rank"), "center", F.col("node").alias("component"))
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: DataFrame) -> tuple:
@@ -336,6 +347,36 @@ def _sharing(candidates: DataFrame, prefixes: DataFrame) -> DataFrame:
     return both.filter(F.size(F.array_intersect("x", "y")) >= F.least("m", "n")).select("a", "b")
 
 
+def _near(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs that link or may, by the last 32 bits of their tokens: half of the bytes to move.
+
+    Equal tokens end in equal bits, so the count of common ends, each as often as both sets have it, is never too small.
+    """
+
+    @trimmed
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint32).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["a", "b", "x"])
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.sort(np.frombuffer(x.as_buffer(), np.uint32)), np.sort(np.frombuffer(y.as_buffer(), np.uint64).astype(np.uint32))
+                # The k-th equal end of one set meets the k-th of the other.
+                x, y = (v.astype(np.uint64) << np.uint64(32) | (np.arange(len(v)) - np.searchsorted(v, v)).astype(np.uint64) for v in (x, y))
+                keep.append(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
+            own = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(own), batch.column(1).filter(own)], ["a", "b"])
+
+    x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    sent = candidates.join(x, "a").select("a", "b", "x").mapInArrow(ends, "a bigint, b bigint, x binary")
+    return sent.join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
 def _verified(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The candidate pairs (a, b) that link."""
 
@@ -355,6 +396,12 @@ def _verified(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def _central(lists: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of a list member with its central one, sizes permitting."""
+    pairs = lists.filter((F.col("node") != F.col("center.node")) & (100 * F.least("size", "center.size") >= percent * F.greatest("size", "center.size")))
+    return pairs.select(F.least("node", "center.node").alias("a"), F.greatest("node", "center.node").alias("b")).distinct()
+
+
 def _candidates(lists: DataFrame, first: int, last: int | None, percent: int) -> DataFrame:
     """Distinct pairs of a list member of rank first .. last with one of a later rank, sizes permitting."""
     ranked = lists.filter(F.col("rank") >= first)
@@ -373,7 +420,7 @@ def _candidates(lists: DataFrame, first: int, last: int | None, percent: int) ->
 
 def _unresolved(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """``lists`` with the components found, where a list has more than one; ``members``, how many rows such a list has."""
-    known = lists.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = lists.drop("component", "center").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = known.groupBy("key", "other").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high")
     open_ = pinned(open_.select(F.col("key").alias("__key"), F.col("other").alias("__other"), "members"))
     on = (F.col("key") == F.col("__key")) & F.col("other").eqNullSafe(F.col("__other"))
@@ -387,7 +434,7 @@ def _bounded(lists: DataFrame, sets: DataFrame) -> DataFrame:
     In long lists, which hold large groups of near copies, these are the tokens of its whole set
     that some other member of a long list has too; many pairs then need no check.
     """
-    is_long = F.col("members") > GROWTH
+    is_long = F.col("members") > LONG
     ids = pinned(lists.filter(is_long).groupBy("node").agg(F.collect_set(F.xxhash64("key", "other")).alias("ids")))
 
     @trimmed
@@ -422,14 +469,19 @@ def _start(docs, doc_id, text, size, percent):
     listed = lists.select("node").distinct()
     sets, drop = _sets(docs, doc_id, text, size, pinned(wanted.join(listed, "node", "left_semi")))
     prefixes, drop_prefixes = bucketed(tokens.filter("class is null").select("node", "size", F.col("own.token").alias("tokens")), "prefixes", "node")
-    check = lambda candidates: _verified(_sharing(candidates, prefixes), sets, percent)
+
+    def check(candidates: DataFrame, mostly: bool = False) -> DataFrame:
+        """The candidates that link; ``mostly``: most are expected to."""
+        sharing = _sharing(candidates, prefixes)
+        return _verified(sharing if mostly else _near(sharing, sets, percent), sets, percent)
+
     return known, members, lists, sets, check, (drop, drop_prefixes)
 
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """All links (a, b), a < b, between the representatives of different sets; copies: ``join``."""
     _, _, lists, _, check, _ = _start(docs, doc_id, text, size, percent)
-    return check(_candidates(lists, 1, None, percent)).distinct()
+    return check(_candidates(lists.drop("center"), 1, None, percent)).distinct()
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -437,7 +489,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     known, members, lists, sets, check, drops = _start(docs, doc_id, text, size, percent)
     labels, first, last = None, 1, 1
     while lists.head(1):
-        found = pinned(check(_candidates(lists, first, last, percent)))
+        found = pinned(check(_central(lists, percent), True) if last == 1 else check(_candidates(lists, first, last, percent)))
         if labels is not None:  # what was found before stands as its component
             x, y = labels.select(F.col("node").alias("a"), F.col("component").alias("p")), labels.select(F.col("node").alias("b"), F.col("component").alias("q"))
             found = found.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b"))
