@@ -17,8 +17,8 @@ the corpus.  Suffixes are dealt out by content so that equal windows always meet
    After WINDOW / 8 rounds, a block of two or more windows is a repeated interval.
 
 Defined edge cases: null text is empty; texts shorter than WINDOW have no window; repeated rows
-are copies of each other; matches never cross texts; an empty table gives no rows; extra columns
-are carried by ``remove`` and must not clash with ``__sha`` and ``__spans``.
+are copies of each other; matches never cross texts; texts of any length are read whole; an empty table gives no rows; extra columns
+of any name are carried by ``remove`` and ignored by ``digests``.
 """
 
 from __future__ import annotations
@@ -32,18 +32,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewheel.llm.shared import hinted, pinned, slices, trimmed, utf8, written
+from tidewheel.llm.shared import hinted, pinned, slices, trimmed, unused, utf8, written
 from tidewheel.llm.textscan import prefix_sums, span_hashes
 
 WINDOW = 200
 KMER = 64
 SYMBOL = 8
 SCAN_BYTES = 1 << 20
-#: Bytes of segments in one merge, and in one of its shards.
+#: Bytes of segments in one merge, of the segments of one deal in it, and in one of its shards.
+#: A merge takes about 100 times its bytes of memory.
 MERGE_BYTES = 1 << 20
+GROUP_BYTES = 1 << 20
 SHARD_BYTES = 1 << 18
-#: Bytes of segments under one choice that one task takes.
-GROUP_BYTES = 16 << 20
 #: Rows with one window above which it is joined by broadcast, so that they stay where they lie.
 COMMON = 10_000
 
@@ -142,8 +142,10 @@ def _segment_rows(candidates: DataFrame) -> DataFrame:
     return candidates.select("sha", "text", "choices").mapInArrow(run, "choice bigint, segment binary, bytes binary, size bigint, place bigint, sha string, starts array<bigint>")
 
 
+@trimmed
 def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for whole, at in ((b, at) for b in batches for at in range(0, len(b), 1024)):
+        batch = whole.slice(at, 1024)
         out = []
         for row in batch.to_pylist():
             middle, count = (row["low"] + row["high"]) // 2, len(row["bytes"]) - WINDOW + 1
@@ -309,12 +311,15 @@ def _repeated_runs(dealt: DataFrame) -> DataFrame:
 
         def close_group():
             nonlocal group, size
-            certain = [(r[0], r[1], [{"a": r[3], "b": r[3] + len(r[2]) - WINDOW + 1}]) for r in group if r[4] > 1]
+            out = [(r[0], r[1], [{"a": r[3], "b": r[3] + len(r[2]) - WINDOW + 1}]) for r in group if r[4] > 1]
             if len(group) > 1:
+                own = sum(len(r[2]) for r in group)
+                if size + own > MERGE_BYTES:
+                    out += flush()
                 pending.extend(group)
-                size += sum(len(r[2]) for r in group)
+                size += own
             group = []
-            return certain
+            return out
 
         for batch in batches:
             out = []
@@ -322,8 +327,6 @@ def _repeated_runs(dealt: DataFrame) -> DataFrame:
                 if row[0] != deal:
                     out += close_group()
                     deal = row[0]
-                    if size > MERGE_BYTES:
-                        out += flush()
                 group.append(row[1:])
             yield batch_of(out)
         out = close_group()
@@ -376,17 +379,18 @@ def _short(sha: str) -> Column:
     return F.conv(F.substring(sha, 1, 15), 16, 10).cast("bigint")
 
 
-def _parted(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` (with ``__sha``) that may have spans, with ``__spans``, and the others.
+def _parted(docs: DataFrame, text: str, spans: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """The rows of ``docs`` that may have spans, with these last, and the others; and the name of the spans' column.
 
     Only the former's texts are shuffled to their spans: rows are told apart by a short key, which
     is broadcast while all keys are under the bound.
     """
     count = spans.count()
-    keys = hinted(spans.select(_short("sha").alias("__key")).distinct(), count, 16)
-    keyed = docs.withColumn("__key", _short("__sha"))
-    own = spans.select(F.col("sha").alias("__sha"), F.col("spans").alias("__spans"))
-    return keyed.join(keys, "__key", "left_semi").drop("__key").join(own, "__sha", "left"), keyed.join(keys, "__key", "left_anti").drop("__key")
+    sha, key, held = (unused(docs, x) for x in ("sha", "key", "spans"))
+    keys = hinted(spans.select(_short("sha").alias(key)).distinct(), count, 16)
+    keyed = docs.withColumn(sha, F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)).withColumn(key, _short(sha))
+    own = spans.select(F.col("sha").alias(sha), F.col("spans").alias(held))
+    return keyed.join(keys, key, "left_semi").drop(key).join(own, sha, "left").drop(sha), keyed.join(keys, key, "left_anti").drop(key, sha), held
 
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -406,29 +410,32 @@ def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    touched, rest = _parted(own.withColumn("__sha", F.sha2("text", 256)), pinned(repeated_spans(docs, text, doc_id)))
-    cut = touched.select("doc_id", "text", "__spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    touched, rest, held = _parted(own, "text", pinned(repeated_spans(docs, text, doc_id)))
+    cut = touched.select("doc_id", "text", held).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     none = F.lit(0).cast("bigint")
-    return cut.unionByName(rest.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("__sha").alias("kept_sha256")))
+    return cut.unionByName(rest.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")))
 
 
 def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with the repeated bytes removed; a character stays while one of its bytes does."""
+    touched, rest, held = _parted(docs, text, pinned(repeated_spans(docs, text, doc_id)))
+    at = docs.columns.index(text)
 
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        out = []
-        for t, s in zip(texts, spans):
-            if t is None or s is None:
-                out.append(t)
-                continue
-            raw = np.frombuffer(t.encode("utf-8"), np.uint8)
-            stays = _mask(len(raw), list(s))
-            lead = np.flatnonzero((raw & 0xC0) != 0x80)  # first bytes of characters
-            whole = np.maximum.reduceat(stays, lead) if len(lead) else stays
-            out.append(raw[np.repeat(whole, np.diff(np.concatenate([lead, [len(raw)]])))].tobytes().decode("utf-8"))
-        return type(texts)(out)
-
-    keyed = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    touched, rest = _parted(keyed, pinned(repeated_spans(docs, text, doc_id)))
-    return touched.withColumn(text, cut(F.col(text), F.col("__spans"))).select(*docs.columns).unionByName(rest.select(*docs.columns))
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t, s in zip(batch.column(at), batch.column(len(batch.columns) - 1)):
+                if not s.is_valid:
+                    out.append(t.as_py())
+                    continue
+                raw = np.frombuffer(t.as_py().encode("utf-8"), np.uint8)
+                stays = _mask(len(raw), s.as_py())
+                lead = np.flatnonzero((raw & 0xC0) != 0x80)  # first bytes of characters
+                whole = np.maximum.reduceat(stays, lead) if len(lead) else stays
+                out.append(raw[np.repeat(whole, np.diff(np.concatenate([lead, [len(raw)]])))].tobytes().decode("utf-8"))
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return touched.mapInArrow(run, docs.schema).unionByName(rest)

@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when its measured rows times their width stay under this many bytes.
-BROADCAST_BYTES = 32 << 20
+#: A side is broadcast only when its measured rows times their width, and what a hashed row takes
+#: besides, stay under this many bytes.
+BROADCAST_BYTES = 40 << 20
+ROW_BYTES = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,7 +42,7 @@ def pinned(df: DataFrame) -> DataFrame:
 
 
 def small_enough(rows: int, row_bytes: int) -> bool:
-    return rows * row_bytes <= BROADCAST_BYTES
+    return rows * (row_bytes + ROW_BYTES) <= BROADCAST_BYTES
 
 
 def hinted(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -48,6 +50,14 @@ def hinted(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if small_enough(rows, row_bytes) else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` has not."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}") in taken:
+        pass
+    return name
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string or binary column; null counts as empty."""
     kind = pa.large_binary()
