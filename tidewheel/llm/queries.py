@@ -58,23 +58,37 @@ def op4_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measures = quality_rules.measured(table(spark, sf_dir, "documents"))
-    measures = pinned(measures.select("doc_id", "lang", "source", *quality_rules.METRICS, "n_lines", "base_failed"))
+    measures = pinned(measures.select("row.doc_id", "lang", "source", *quality_rules.METRICS, "n_lines", "base_failed"))
     out = quality_rules.judged(measures, quality_rules.fences(quality_rules.sketches(measures)))
     return out.select("doc_id", *quality_rules.METRICS, "base_failed", "kept")
 
 
-_OP5_RULES = {"symbols": 20, "length": 50, "dup_lines": 300}
-_OP5_AT = ", ".join(f"min(bucket) FILTER (metric = '{m}' AND 100 * up_to >= {p} * total) AS {m}_{p}" for m in (*_OP5_RULES, "words") for p in (25, 50, 75))
-_OP5_NAMES = [f"{m}_{p}" for m in (*_OP5_RULES, "words") for p in (25, 50, 75)]
-_OP5_PICK = ", ".join(f"CASE WHEN g.total >= 100 THEN g.{c} WHEN l.total >= 100 THEN l.{c} ELSE e.{c} END AS {c}" for c in _OP5_NAMES)
-_OP5_BEYOND = " OR ".join(f"coalesce({m} > {m}_75 + greatest(3 * ({m}_75 - {m}_25), {room}) * greatest(1.0::DOUBLE, sqrt(words_50 / greatest(n_words, 1))), false)" for m, room in _OP5_RULES.items())
+_OP5_SHARES = {"symbols": "0.125", "length": "0.0625", "dup_lines": "1.0"}
+_OP5_METRICS = (*_OP5_SHARES, "words")
 
 
-def _op5_quartiles(by: str) -> str:
+def _op5_of(m: str) -> str:
+    quartiles = ", ".join(f"coalesce(min(bucket) FILTER (metric = '{m}' AND 100 * up_to >= {p} * total), 0) AS {m}_{p}" for p in (25, 50, 75))
+    return f"""coalesce(max(total) FILTER (metric = '{m}'), 0) AS {m}_n, coalesce(max(n_some) FILTER (metric = '{m}'), 0) AS {m}_some, {quartiles},
+    coalesce(min(bucket) FILTER (metric = '{m}' AND bucket > 0 AND 2 * some_to >= n_some), 0) AS {m}_mid"""
+
+
+def _op5_drawn(m: str, c: object) -> str:
+    x, n = f"{m}_{c}", f"{m}_some" if c == "mid" else f"{m}_n"
+    return f"(g.{n} * g.{x} + 50 * ((l.{n} * l.{x} + 50 * e.{x})::DOUBLE / (l.{n} + 50))) / (g.{n} + 50) AS {x}"
+
+
+_OP5_AT = ", ".join(map(_op5_of, _OP5_METRICS))
+_OP5_PICK = ", ".join(_op5_drawn(m, c) for m in _OP5_METRICS for c in (25, 50, 75, "mid"))
+_OP5_BEYOND = " OR ".join(f"coalesce({m} > {m}_75 + (3 * ({m}_75 - {m}_25) + {share}::DOUBLE * {m}_mid) * greatest(1.0::DOUBLE, sqrt(words_50 / greatest(n_words, 1))), false)" for m, share in _OP5_SHARES.items())
+
+
+def _op5_quantiles(by: str) -> str:
     keys, over = (f"{by}, ", f"PARTITION BY {by}, metric") if by else ("", "PARTITION BY metric")
-    return f"""SELECT {keys}max(total) AS total, {_OP5_AT} FROM (
-    SELECT {keys}metric, bucket, sum(n) OVER ({over} ORDER BY bucket) AS up_to, sum(n) OVER ({over}) AS total
-    FROM (SELECT {keys}metric, bucket, sum(n) AS n FROM sketch GROUP BY ALL)
+    return f"""SELECT {keys}{_OP5_AT} FROM (
+    SELECT {keys}metric, bucket, sum(n) OVER ({over} ORDER BY bucket) AS up_to, sum(n) OVER ({over}) AS total,
+      sum(CASE WHEN bucket > 0 THEN n ELSE 0 END) OVER ({over} ORDER BY bucket) AS some_to, sum(CASE WHEN bucket > 0 THEN n ELSE 0 END) OVER ({over}) AS n_some
+    FROM (SELECT {keys}metric, bucket, CAST(sum(n) AS BIGINT) AS n FROM sketch GROUP BY ALL)
   ) {"GROUP BY " + by if by else ""}"""
 
 
@@ -100,7 +114,7 @@ m AS (
   SELECT lang, source, metric, v FROM (SELECT lang, source, unnest(['symbols', 'length', 'dup_lines', 'words']) AS metric, unnest([symbols, length, dup_lines, words]) AS v FROM r WHERE n_words > 0)
 ), sketch AS (
   SELECT lang, source, metric, (v >> s) << s AS bucket, count(*) AS n FROM (SELECT *, CAST(greatest(length(bin(v)) - 6, 0) AS BIGINT) AS s FROM long) GROUP BY ALL
-), g AS ({_op5_quartiles("lang, source")}), l AS ({_op5_quartiles("lang")}), e AS ({_op5_quartiles("")}),
+), g AS ({_op5_quantiles("lang, source")}), l AS ({_op5_quantiles("lang")}), e AS ({_op5_quantiles("")}),
 fence AS (SELECT g.lang, g.source, {_OP5_PICK} FROM g LEFT JOIN l ON g.lang IS NOT DISTINCT FROM l.lang CROSS JOIN e)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_OP5_BEYOND}) AS kept
 FROM r LEFT JOIN fence f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source
