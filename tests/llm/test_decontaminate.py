@@ -1,10 +1,11 @@
-"""Hits against a scan of every place, and blocks against one block."""
+"""Hits against a scan of every place, and odd rows."""
 
 import random
 import re
 
 import pytest
 
+from tidewheel.llm import decontaminate as decontaminate_module
 from tidewheel.llm.decontaminate import decontaminate
 
 
@@ -44,12 +45,13 @@ def case():
     return [*docs, (900, None), (901, ""), (902, "zz-zz")], items
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 300])
-def test_against_every_place(spark, block_bytes):
+@pytest.mark.parametrize("most_bits", [1 << 26, 64])
+def test_against_every_place(spark, most_bits, monkeypatch):
+    monkeypatch.setattr(decontaminate_module, "MOST_BITS", most_bits)  # a sieve of 64 bits lets everything through
     docs, items = case()
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, n_words long").repartition(2)
     own = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontaminate(df, own, block_bytes=block_bytes).collect()}
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontaminate(df, own).collect()}
     assert got == brute(docs, items)
 
 
@@ -58,3 +60,17 @@ def test_edges(spark):
     df, own = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert decontaminate(df.limit(0), own).count() == 0
     assert decontaminate(df, own.limit(0)).filter("contaminated or n_items > 0").count() == 0
+
+
+def test_odd_rows(spark):
+    passage = " ".join(f"p{k}" for k in range(14))
+    long = " ".join(f"x{k}" for k in range(200_000)) + " " + passage
+    docs = [(1, passage), (1, passage), (None, passage), (2, long), (3, "clean of it"), (4, f"{passage} mid {passage}")]
+    shape = "doc_id long, text string, n_words string, contaminated string, item_ids string, token long"
+    df = spark.createDataFrame([(*d, "a", "b", "c", 1) for d in docs], shape)
+    own = spark.createDataFrame([(None, passage), ("i", passage), ("i", passage)], "item_id string, text string")
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.item_ids, [tuple(s) for s in r.hit_spans]) for r in decontaminate(df, own).collect()), key=str)
+    spans = lambda at: [(at + k, at + k + 10) for k in range(5)]
+    assert got == sorted([(0, 14, 14, 2, ["i"], spans(0)), *[(1, 14, 14, 2, ["i"], spans(0))] * 2, (2, 200_014, 14, 2, ["i"], spans(200_000)), (3, 3, 0, 0, [], []), (4, 29, 28, 2, ["i"], spans(0) + spans(15))], key=str)
+    clean = decontaminate_module.clean(df, own)
+    assert clean.columns == df.columns and [r.doc_id for r in clean.collect()] == [3]

@@ -3,17 +3,23 @@
 Each benchmark item gives windows of ``window`` consecutive words (one window of all its words
 when it has fewer).  A window seen as an ordered set of word shingles must be contained whole in
 a document, so under any global order of shingles its prefix of length one is necessary: the
-join key of a window is its *rarest* shingle, by frequency over all documents.  A document's
-shingles meet the keys; the key's place in its window fixes where the window would have to
-start (positional bound) and that it must fit into the document (length bound); what is left is
-verified word by word over the item-sized window.
+join key of a window is its *rarest* shingle, by frequency over all documents.
 
-Benchmarks are dealt into blocks of bounded size; each block's keys are broadcast and pass over
-all documents, so neither the driver nor a task ever holds more than one block.
+* The windows are a table, and so are the frequencies: documents are counted for the shingles that
+  a sieve of the benchmark's lets through, and joined to the windows' own.
+* Documents are scanned again for the chosen keys.  Each place found carries the words around it,
+  as many as a window can reach, and joins the windows on the key.
+* The key's place in its window fixes where the window would have to start (positional bound) and
+  that it must fit in before the document's end (length bound); the words of the
+  item-sized window are then compared.
+
+A sieve is a bit table of bounded size that drops most places with no shingle of interest; what it
+lets through by chance finds no partner in the join.  Neither windows nor frequencies pass through the driver.
 
 Defined edge cases: null or wordless text hits nothing; items without words (or null) have no
-windows; equal windows of several items count for all of them; repeated document rows are each
-answered; extra columns are carried only when named in ``keep`` and may have any names.
+windows; an item without an id counts as an item and has no id in the list; equal windows of several items count for all of them; repeated document
+rows are each answered; texts of any length are read whole; an empty table on either side gives no hits; extra columns are carried only when named
+in ``keep`` and may have any names.
 """
 
 from __future__ import annotations
@@ -27,15 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.shared import pinned, slices, trimmed, utf8
-from tidewheel.llm.textscan import ALNUM, LOWER, sequence_hashes, word_hashes, words
+from tidewheel.llm.shared import hinted, pinned, slices, trimmed, utf8
+from tidewheel.llm.textscan import ALNUM, LOWER, mix, sequence_hashes, word_hashes, words
 
 #: Bytes of text that are scanned at once.
 SCAN_BYTES = 2 << 20
-#: Bytes of benchmark text in one broadcast block.
-BLOCK_BYTES = 16 << 20
-#: Words in a shingle that serves as a join key.
+#: Words in a shingle that serves as a join key; of shorter windows all words are one shingle.
 SHINGLE = 3
+#: Bits of a sieve for each shingle, and of any sieve at most.
+SIEVE_BITS, MOST_BITS = 16, 1 << 26
 
 
 def _scan(raw: np.ndarray, offsets: np.ndarray):
@@ -44,118 +50,129 @@ def _scan(raw: np.ndarray, offsets: np.ndarray):
     return lower, starts, ends, first, word_hashes(lower, starts, ends)
 
 
-class Windows:
-    """The windows of one benchmark block and, once frequencies are known, their join keys."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        self.texts: list[tuple[bytes, ...]] = []
-        self.items: list[list[str]] = []
-        number: dict[tuple[bytes, ...], int] = {}
-        for item_id, text in items:
-            raw = LOWER[np.frombuffer((text or "").encode("utf-8"), np.uint8)]
-            starts, ends, _ = words(raw, np.array([0, len(raw)]), ALNUM)
-            own = [raw[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
-            for at in range(max(1, len(own) - window + 1) if own else 0):
-                key = tuple(own[at : at + window])
-                if key not in number:
-                    number[key] = len(self.texts)
-                    self.texts.append(key)
-                    self.items.append([])
-                if item_id not in self.items[number[key]]:
-                    self.items[number[key]].append(item_id)
-        hashed: dict[bytes, int] = {}
-        flat = sorted({w for t in self.texts for w in t})
-        if flat:
-            ends = np.cumsum([len(w) for w in flat])
-            starts = np.concatenate([[0], ends[:-1]])
-            raw = np.frombuffer(b"".join(flat), np.uint8)
-            hashed = dict(zip(flat, word_hashes(raw, starts, ends).tolist()))
-        self.hashes = [np.array([hashed[w] for w in t], np.uint64) for t in self.texts]
-        #: For each shingle size in use, all distinct shingle hashes, sorted.
-        sizes = defaultdict(list)
-        for own in self.hashes:
-            size = min(SHINGLE, len(own))
-            sizes[size].append(sequence_hashes(own, size))
-        self.shingles = {size: np.unique(np.concatenate(x)) for size, x in sorted(sizes.items())}
-
-    def choose_keys(self, frequency: dict[tuple[int, int], int]) -> None:
-        """Keep for each window its rarest shingle; ties go to the smallest hash, then the first place."""
-        chosen = defaultdict(list)
-        for k, own in enumerate(self.hashes):
-            size = min(SHINGLE, len(own))
-            shingles = sequence_hashes(own, size).tolist()
-            _, key, place = min((frequency.get((size, s), 0), s, p) for p, s in enumerate(shingles))
-            chosen[size].append((key, k, place))
-        self.keys = {}
-        for size, found in chosen.items():
-            found.sort()
-            keys = np.array([f[0] for f in found], np.uint64)
-            self.keys[size] = keys, np.array([f[1] for f in found]), np.array([f[2] for f in found])
-
-
-def _lookup(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``hashes`` whose hash is among the sorted ``keys``, and where it first stands there."""
-    marks = np.zeros(1 << 20, bool)  # a first sieve by 20 bits
-    marks[(keys >> np.uint64(44)).astype(np.int64)] = True
-    at = np.flatnonzero(marks[(hashes >> np.uint64(44)).astype(np.int64)])
-    where = np.searchsorted(keys, hashes[at])
-    own = keys[np.minimum(where, len(keys) - 1)] == hashes[at]
-    return at[own], where[own]
-
-
-def _document_shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
-    """sequence_hashes, with the places that would cross into the next document set to zero."""
-    out = sequence_hashes(hashes, size)
+def _shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where shingles of ``size`` words start that cross into no other text, and their tokens."""
+    token = mix(sequence_hashes(hashes, size) + np.uint64(size))
+    own = np.ones(len(token), bool)
     for k in range(1, size):
         cross = first[1:-1] - k
-        out[cross[(cross >= 0) & (cross < len(out))]] = 0
+        own[cross[(cross >= 0) & (cross < len(token))]] = False
+    at = np.flatnonzero(own)
+    return at, token[at]
+
+
+def windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """words (of a window), shingles (their tokens in order), size (words in a shingle) and items (structs of item_id)."""
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = utf8(batch.column(1))
+            for a, b in slices(offsets, SCAN_BYTES):
+                lower, starts, ends, first, hashes = _scan(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                items, own, shingles, sizes = [], [], [], []
+                for item, i, j in zip(batch.column(0)[a:b].to_pylist(), first[:-1].tolist(), first[1:].tolist()):
+                    text = [lower[x:y].tobytes().decode("utf-8") for x, y in zip(starts[i:j].tolist(), ends[i:j].tolist())]
+                    size = min(SHINGLE, j - i)
+                    token = mix(sequence_hashes(hashes[i:j], size) + np.uint64(size)).view(np.int64) if size else []
+                    for at in range(max(1, j - i - window + 1) if size else 0):
+                        items.append(item)
+                        own.append(text[at : at + window])
+                        shingles.append(token[at : at + min(window, j - i) - size + 1])
+                        sizes.append(size)
+                yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(own, pa.list_(pa.string())), pa.array(shingles, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], ["item_id", "words", "shingles", "size"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text")).filter(F.col("text").isNotNull())
+    found = items.mapInArrow(run, "item_id string, words array<string>, shingles array<bigint>, size int")
+    return found.groupBy("words", "shingles", "size").agg(F.collect_set(F.struct("item_id")).alias("items"))
+
+
+def sieve(tokens: DataFrame) -> np.ndarray:
+    """A bit table with the bits of all tokens, as 64-bit words; its size is bounded."""
+    count = max(1, tokens.count())
+    bits = min(MOST_BITS, 1 << max(16, (SIEVE_BITS * count - 1).bit_length()))
+    slot = tokens.select(F.col("token").bitwiseAND(bits - 1).alias("slot"))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("slot").bitwiseAND(63).cast("int"))
+    found = slot.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def shingle_frequencies(docs: DataFrame, text: str, shingles: dict[int, np.ndarray]) -> dict[tuple[int, int], int]:
-    """How often each of the given shingles occurs over all documents; as bounded as ``shingles``."""
+def _sifted(token: np.ndarray, table: np.ndarray) -> np.ndarray:
+    slot = token & np.uint64(len(table) * 64 - 1)
+    return np.flatnonzero(table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
+
+
+def shingle_frequencies(docs: DataFrame, text: str, sizes: list[int], table: np.ndarray) -> DataFrame:
+    """token, n: how often the shingles that pass the sieve occur over all documents."""
+    given = docs.sparkSession.sparkContext.broadcast(table)
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = given.value
-        total = {size: np.zeros(len(keys), np.int64) for size, keys in held.items()}
         for batch in batches:
             raw, offsets = utf8(batch.column(0))
+            found = []
             for a, b in slices(offsets, SCAN_BYTES):
                 *_, first, hashes = _scan(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                for size, keys in held.items():
-                    _, where = _lookup(_document_shingles(hashes, first, size), keys)
-                    total[size] += np.bincount(where, minlength=len(keys))
-        for size, counts in total.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size)), pa.array(at), pa.array(counts[at])], ["size", "at", "n"])
-
-    given = docs.sparkSession.sparkContext.broadcast(shingles)
-    counted = docs.select(F.col(text)).mapInArrow(run, "size bigint, at bigint, n bigint").groupBy("size", "at").agg(F.sum("n").alias("n"))
-    return {(r["size"], int(shingles[r["size"]][r["at"]])): r["n"] for r in counted.collect()}
-
-
-def hits_of(raw: np.ndarray, offsets: np.ndarray, held: Windows) -> Iterator[tuple[int, int, set[str]]]:
-    """For each text: its words, how many of them are hit, and the items that hit them."""
-    lower, starts, ends, first, hashes = _scan(raw, offsets)
-    spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    found: dict[int, set[str]] = defaultdict(set)
-    for size, (keys, window_of, place_of) in held.keys.items():
-        at, where = _lookup(_document_shingles(hashes, first, size), keys)
-        doc = np.searchsorted(first, at, side="right") - 1
-        for place, w, d in zip(at.tolist(), where.tolist(), doc.tolist()):
-            key = keys[w]
-            while w < len(keys) and keys[w] == key:
-                own = held.texts[window_of[w]]
-                begin = place - int(place_of[w])
-                end = begin + len(own)
-                if begin >= first[d] and end <= first[d + 1] and np.array_equal(hashes[begin:end], held.hashes[window_of[w]]):
-                    if all(lower[starts[begin + k] : ends[begin + k]].tobytes() == own[k] for k in range(len(own))):
-                        spans[d].append((begin, end))
-                        found[d].update(held.items[window_of[w]])
-                w += 1
-    for d in range(len(offsets) - 1):
-        yield int(first[d + 1] - first[d]), [(a - int(first[d]), b - int(first[d])) for a, b in spans.get(d, ())], found.get(d, set())
+                for size in sizes:
+                    token = _shingles(hashes, first, size)[1]
+                    found.append(token[_sifted(token, given.value)])
+            token, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
+
+    return docs.select(F.col(text)).mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def join_keys(found: DataFrame, docs: DataFrame, text: str, sizes: list[int]) -> DataFrame:
+    """The windows with their rarest shingle as ``token``, and its ``place``; ties go to the smallest token, then the first place."""
+    shingles = pinned(found.select(F.explode("shingles").alias("token")).distinct())
+    counted = shingles.join(shingle_frequencies(docs, text, sizes, sieve(shingles)), "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
+    placed = found.select("words", "size", "items", F.posexplode("shingles").alias("place", "token")).join(counted, "token")
+    rarest = placed.groupBy("words", "size").agg(F.min(F.struct("n", "token", "place")).alias("key"), F.first("items").alias("items"))
+    return rarest.select("words", "size", "items", "key.token", "key.place")
+
+
+def _occurrences(docs: DataFrame, text: str, sizes: list[int], table: np.ndarray, window: int) -> DataFrame:
+    """sha, token, at, before, around: where sieved shingles stand (``at``) in a text, and the words around,
+    ``before`` of them before it; a text that has the same words around it again gives one row."""
+    given = docs.sparkSession.sparkContext.broadcast(table)
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = utf8(batch.column(1))
+            for a, b in slices(offsets, SCAN_BYTES):
+                lower, starts, ends, first, hashes = _scan(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                data = lower.tobytes()
+                found: dict[tuple, list[int]] = defaultdict(list)
+                for size in sizes:
+                    at, token = _shingles(hashes, first, size)
+                    own = _sifted(token, given.value)
+                    reach = window - size if size == SHINGLE else 0
+                    doc = np.searchsorted(first, at[own], side="right") - 1
+                    low = np.maximum(at[own] - reach, first[doc])
+                    high = np.minimum(at[own] + size + reach, first[doc + 1])
+                    for p, t, d, i, j in zip(at[own].tolist(), token[own].view(np.int64).tolist(), doc.tolist(), low.tolist(), high.tolist()):
+                        found[d, t, p - i, b" ".join([data[x:y] for x, y in zip(starts[i:j].tolist(), ends[i:j].tolist())])].append(p - int(first[d]))
+                shas = batch.column(0)[a:b].to_pylist()
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([shas[d] for d, *_ in found], pa.binary()), pa.array([t for _, t, *_ in found], pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64())),
+                    pa.array([n for *_, n, _ in found], pa.int32()), pa.array([w.decode("utf-8") for *_, w in found], pa.string()),
+                ], ["sha", "token", "at", "before", "around"])
+
+    return docs.select("sha", F.col(text)).mapInArrow(run, "sha binary, token bigint, at array<bigint>, before int, around string")
+
+
+def hits(docs: DataFrame, keys: DataFrame, text: str, sizes: list[int], window: int) -> DataFrame:
+    """sha, spans (of words) and items of the texts that have a window."""
+    places = _occurrences(docs, text, sizes, sieve(keys.select("token")), window)
+    joined = places.join(hinted(keys, keys.count(), 64 + 16 * window), "token")
+    begin = F.col("before") - F.col("place")
+    here = F.slice(F.split("around", " "), F.greatest(begin, F.lit(0)) + 1, F.size("words"))
+    joined = joined.filter((begin >= 0) & (here == F.col("words")))
+    spans = F.transform("at", lambda p: F.struct((p - F.col("place")).alias("a"), (p - F.col("place") + F.size("words")).alias("b")))
+    return joined.groupBy("sha").agg(F.flatten(F.collect_set(spans)).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
 
 
 def covered(spans: list[tuple[int, int]]) -> int:
@@ -166,52 +183,48 @@ def covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), window: int = 10) -> DataFrame:
     """``keep`` columns, n_words, hit_spans (word ranges), item_ids (sorted), n_hit, n_items, items_sha256, contaminated."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
-    items = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    size = items.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-size // block_bytes))
-    own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep).replace(", , ", ", ")
-    shape = f"{own}n_words bigint, hit_spans array<struct<a: bigint, b: bigint>>, item_ids array<string>, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+    found = pinned(windows(benchmark, window))
+    sizes = [r["size"] for r in found.select("size").distinct().orderBy("size").collect()]  # SHINGLE values at most
+    own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    shape = ", ".join(x for x in (own, "n_words bigint, hit_spans array<struct<a: bigint, b: bigint>>, item_ids array<string>, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean") if x)
     spans_type, names = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), [*keep, "n_words", "hit_spans", "item_ids", "n_hit", "n_items", "items_sha256", "contaminated"]
-    out = None
-    for block in range(blocks):
-        mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        held = Windows(sorted((r["item_id"], r["text"]) for r in mine.collect()), window)
-        held.choose_keys(shingle_frequencies(docs, text, held.shingles) if held.shingles else {})
-        given, before = spark.sparkContext.broadcast(held), out is not None
-
-        @trimmed
-        def run(batches: Iterator[pa.RecordBatch], given=given, before=before) -> Iterator[pa.RecordBatch]:
-            held = given.value
-            for batch in batches:
-                raw, offsets = utf8(batch.column(0))
-                rows = []
-                for a, b in slices(offsets, SCAN_BYTES):
-                    rows += hits_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], held)
-                if before:  # what earlier blocks have found
-                    spans, ids = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-                    rows = [(n, new + [(x["a"], x["b"]) for x in s], found | set(i)) for (n, new, found), s, i in zip(rows, spans, ids)]
-                ids = [sorted(found) for _, _, found in rows]
-                hit = [covered(spans) for _, spans, _ in rows]
-                columns = [
-                    pa.array([n for n, _, _ in rows], pa.int64()),
-                    pa.array([[{"a": a, "b": b} for a, b in sorted(set(spans))] for _, spans, _ in rows], spans_type),
-                    pa.array(ids, pa.list_(pa.string())),
-                    pa.array(hit, pa.int64()),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode("utf-8")).hexdigest() for x in ids], pa.string()),
-                    pa.array([n > 0 for n in hit], pa.bool_()),
-                ]
-                if carried:
-                    columns.insert(0, batch.column(0))
-                yield pa.RecordBatch.from_arrays([*batch.columns[1 + 2 * before :][: len(keep)], *columns[carried:], *columns[:carried]], [*names, *["__text"] * carried])
-
-        carried = block + 1 < blocks
-        source = docs.select(F.col(text).alias("__text"), *[F.col(c) for c in keep]) if out is None else out.select("__text", "hit_spans", "item_ids", *keep)
-        out = source.mapInArrow(run, shape + ", __text string" * carried)
-        if carried:
-            out = pinned(out)
-    return out
+    source = docs.select(F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)).alias("sha"), F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("own"))
+    if sizes:
+        keys = pinned(join_keys(found, source, "text", sizes))
+        held = pinned(hits(source, keys, "text", sizes, window))
+        total = held.agg(F.count(F.lit(1)).alias("n"), F.sum(16 * F.size("spans") + 32 * F.size("items")).alias("b")).first()
+        source = source.join(hinted(held, total["n"], 64 + (total["b"] or 0) // max(1, total["n"])), "sha", "left")
+    else:
+        source = source.withColumns({"spans": F.array().cast("array<struct<a: bigint, b: bigint>>"), "items": F.array().cast("array<struct<item_id: string>>")})
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = utf8(batch.column(0))
+            n_words = []
+            for a, b in slices(offsets, SCAN_BYTES):
+                n_words.append(np.diff(words(LOWER[raw[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a], ALNUM)[2]))
+            spans = [sorted({(x["a"], x["b"]) for x in s or ()}) for s in batch.column(1).to_pylist()]
+            items = [{x["item_id"] for x in s or ()} for s in batch.column(2).to_pylist()]
+            ids = [sorted(x for x in s if x is not None) for s in items]
+            hit = [covered(s) for s in spans]
+            columns = [
+                pa.array(np.concatenate(n_words or [np.zeros(0, np.int64)]), pa.int64()),
+                pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], spans_type),
+                pa.array(ids, pa.list_(pa.string())),
+                pa.array(hit, pa.int64()),
+                pa.array([len(x) for x in items], pa.int64()),
+                pa.array([hashlib.sha256(",".join(x).encode("utf-8")).hexdigest() for x in ids], pa.string()),
+                pa.array([n > 0 for n in hit], pa.bool_()),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], *columns], names)
+
+    return source.select("text", "spans", "items", "own.*").mapInArrow(run, shape)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10) -> DataFrame:
+    """The rows of ``docs`` that no window of the benchmark occurs in, with all their columns, whatever their names."""
+    rows = docs.select(F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return decontaminate(rows, benchmark, keep=("row",), window=window).filter("not contaminated").select("row.*")
