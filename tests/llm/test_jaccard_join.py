@@ -50,9 +50,13 @@ def corpus(seed):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("seed,growth", [(1, 32), (2, 2)])
-def test_against_all_pairs(spark, seed, growth, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "GROWTH", growth)  # lists of over ``growth`` members are long ones
+@pytest.mark.parametrize("seed,growth,light_to,hot", [(1, 8, None, 10_000), (2, 2, 0, 10_000), (3, 2, 6, 10_000), (4, 2, 99, 10), (5, 8, 5, 10)])
+def test_against_all_pairs(spark, seed, growth, light_to, hot, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "GROWTH", growth)
+    monkeypatch.setattr(jaccard_join, "LONG", 2)
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    if light_to is not None:  # sets of this size class and below enumerate subsets, the others scan lists
+        monkeypatch.setattr(jaccard_join, "boundary", lambda tokens: light_to)
     docs = corpus(seed)
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, digest string").repartition(3)
     expected, links, sets = brute(docs)
@@ -71,3 +75,27 @@ def test_edges(spark):
     rows = [(7, "a b c"), (7, "a b c"), (3, "a b c"), (None, "a b c"), (None, "z"), (5, None)]
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(-1, 1, -1), (-1, 1, 3), (3, 1, 3), (5, 0, 5), (7, 1, 3), (7, 1, 3)]
+
+
+def test_both_halves_find_links(spark):
+    docs = corpus(6)
+    df = spark.createDataFrame([(i, t) for i, t in docs], "doc_id long, text string").repartition(3)
+    _, links, sets = brute(docs)
+    scanned = jaccard_join._scanned(df, "doc_id", "text", 5)
+    members = jaccard_join._members(scanned.filter("n is null")).groupBy("node").agg({"size": "max", "digest": "min"}).toDF("node", "size", "digest").select("node", "digest", "size")
+    packed = jaccard_join._packed_tokens(df, "doc_id", "text", members, members.count(), jaccard_join.frequent_tokens(scanned), 5, 80, 8)
+    lists = jaccard_join._lists(jaccard_join._shared_tokens(packed, members, 80), 80, 5)
+    pairs = jaccard_join._candidates(lists.drop("center"), 1, None, 80)
+    light = {(r.a, r.b) for r in jaccard_join._candidates(lists.drop("center").filter("other is not null"), 1, None, 80).collect()}
+    heavy = {(r.a, r.b) for r in jaccard_join._candidates(lists.drop("center").filter("other is null"), 1, None, 80).collect()}
+    assert {(r.a, r.b) for r in pairs.collect()} == light | heavy
+    small = lambda i: len(sets[i]).bit_length() <= 5
+    assert any(small(i) and small(j) for i, j in links & light) and any(not small(i) for i, j in links & heavy)
+
+
+def test_long_texts_and_extra_columns(spark):
+    words = [f"w{k}" for k in range(30_000)]
+    near = [*words[:15_000], "x", *words[15_001:]]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[:20_000])), (4, " ".join(words).upper())]
+    df = spark.createDataFrame([(*r, "a", "b", 1) for r in rows], "doc_id long, text string, node string, token string, component long")
+    assert {r.doc_id: r.component_id for r in jaccard_join.join(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 1}

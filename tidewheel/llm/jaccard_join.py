@@ -46,7 +46,7 @@ SPARE = 16
 #: A token is noted as frequent where a task's documents hold it so often, and the most frequent of
 #: these come last in the order.  A task counts tokens that a slice of ``SLICE_BYTES`` of text has
 #: twice, and of these ``COUNTED`` at most.  Any order is exact; this one keeps lists short.
-OFTEN = 4
+OFTEN = 2
 FREQUENT = 1 << 17
 COUNTED = 1 << 20
 SLICE_BYTES = 4 << 20
@@ -55,7 +55,7 @@ SLICE_BYTES = 4 << 20
 SCANS = 3
 #: Each round checks lists against so many times as many members.
 GROWTH = 8
-#: Lists with more members are long: what their members can share is bounded before they are paired.
+#: Lists with more members are long: two members of several long lists are paired in one of them.
 LONG = 32
 #: Tokens with so many sets never meet in one task: they are known to be shared, and the members of
 #: their lists are ranked in ``SALTS`` parts.
@@ -167,7 +167,8 @@ def prefix(own: np.ndarray, often: np.ndarray, count: np.ndarray, marks: np.ndar
 def _packed_tokens(docs: DataFrame, doc_id: str, text: str, members: DataFrame, count: int, frequent: tuple, size: int, percent: int, buckets: int) -> DataFrame:
     """Prefix tokens of the members, packed by bucket: nodes, the tokens' last 32 bits, and marks.
 
-    A mark is 4 * bit length of the size + how far beyond the shortest prefix the token stands (0, 1, 2).
+    A mark holds, from its lowest bits, how far beyond the shortest prefix the token stands (0, 1, 2;
+    2 bits), the bit length of the size (5 bits) and the token's place in the set's order (25 bits).
     HOT tokens come with the count ``n`` of their sets instead, in any bucket.
     """
     given = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -190,7 +191,8 @@ def _packed_tokens(docs: DataFrame, doc_id: str, text: str, members: DataFrame,
                     nodes.append(np.full(len(token), node, np.int64))
                     tokens.append(token)
                     counts.append(n)
-                    marks.append((np.clip(beyond, 0, 2) + 4 * len(own).bit_length()).astype(np.uint8))
+                    place = np.minimum(np.arange(len(token)), (1 << 25) - 1)
+                    marks.append((place << 7 | min(31, len(own).bit_length()) << 2 | np.clip(beyond, 0, 2)).astype(np.uint32))
                 if not nodes:
                     continue
                 node, token, n, mark = (np.concatenate(x) for x in (nodes, tokens, counts, marks))
@@ -216,7 +218,7 @@ def _packed_tokens(docs: DataFrame, doc_id: str, text: str, members: DataFrame,
 
 
 def _shared_tokens(packed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """node, size, own (token, n sets that have it in their prefix, beyond) of the tokens that two
+    """node, size, own (token, n sets that have it in their prefix, beyond, place) of the tokens that two
     sets or more share, of the nodes with enough of such tokens to link with a set of the least size
     that may; ``weight``, the sum of the lists' lengths.  Rows with a ``class`` give the summed
     lengths of the lists whose largest set is of that size class.
@@ -232,16 +234,16 @@ def _shared_tokens(packed: DataFrame, members: DataFrame, percent: int) -> DataF
             cost = np.zeros(64, np.int64)
             if len(node):
                 new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-                np.add.at(cost, np.maximum.reduceat(mark >> 2, new), np.diff(np.concatenate([new, [len(token)]])))
+                np.add.at(cost, np.maximum.reduceat(mark >> 2 & 31, new), np.diff(np.concatenate([new, [len(token)]])))
             classes = np.flatnonzero(cost)
             columns = [
                 pa.concat_arrays([pa.array(node, pa.int64()), pa.nulls(len(classes), pa.int64())]), pa.concat_arrays([pa.nulls(len(node), pa.int32()), pa.array(classes, pa.int32())]),
-                pa.concat_arrays([pa.array(token.view(np.int64)), pa.nulls(len(classes), pa.int64())]), pa.array(np.concatenate([n, cost[classes]])), pa.concat_arrays([pa.array((mark & 3).astype(np.int32)), pa.nulls(len(classes), pa.int32())]),
+                pa.concat_arrays([pa.array(token.view(np.int64)), pa.nulls(len(classes), pa.int64())]), pa.array(np.concatenate([n, cost[classes]])), *[pa.concat_arrays([pa.array(x.astype(np.int32)), pa.nulls(len(classes), pa.int32())]) for x in (mark & 3, mark >> 7)],
             ]
-            return pa.RecordBatch.from_arrays(columns, ["node", "class", "token", "n", "beyond"])
+            return pa.RecordBatch.from_arrays(columns, ["node", "class", "token", "n", "beyond", "place"])
 
         def shared(bucket, held):
-            node, tail, mark = (np.concatenate([np.frombuffer(x[k], kind) for x in held]) for k, kind in enumerate((np.int64, np.uint32, np.uint8)))
+            node, tail, mark = (np.concatenate([np.frombuffer(x[k], kind) for x in held]) for k, kind in enumerate((np.int64, np.uint32, np.uint32)))
             order = np.argsort(tail, kind="stable")
             same = tail[order][1:] == tail[order][:-1]
             twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
@@ -259,7 +261,7 @@ def _shared_tokens(packed: DataFrame, members: DataFrame, percent: int) -> DataF
         for batch in batches:
             for bucket, nodes, tails, marks, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if n is not None:
-                    yield rows(np.frombuffer(nodes, np.int64), np.frombuffer(tails, np.uint64), np.frombuffer(n, np.int64), np.frombuffer(marks, np.uint8))
+                    yield rows(np.frombuffer(nodes, np.int64), np.frombuffer(tails, np.uint64), np.frombuffer(n, np.int64), np.frombuffer(marks, np.uint32))
                     continue
                 if bucket != current and held:
                     yield shared(current, held)
@@ -270,9 +272,9 @@ def _shared_tokens(packed: DataFrame, members: DataFrame, percent: int) -> DataF
             yield shared(current, held)
 
     sorted_ = packed.repartition("bucket").sortWithinPartitions("bucket")
-    found = sorted_.mapInArrow(run, "node bigint, class int, token bigint, n bigint, beyond int")
-    sizes = members.select("node", *[F.lit(None).cast(k).alias(c) for c, k in (("class", "int"), ("token", "bigint"), ("n", "bigint"), ("beyond", "int"))], "size")
-    own = F.collect_set(F.when(F.col("token").isNotNull(), F.struct("token", "n", "beyond")))
+    found = sorted_.mapInArrow(run, "node bigint, class int, token bigint, n bigint, beyond int, place int")
+    sizes = members.select("node", *[F.lit(None).cast(k).alias(c) for c, k in (("class", "int"), ("token", "bigint"), ("n", "bigint"), ("beyond", "int"), ("place", "int"))], "size")
+    own = F.collect_set(F.when(F.col("token").isNotNull(), F.struct("token", "n", "beyond", "place")))
     sized = found.withColumn("size", F.lit(None).cast("int")).unionByName(sizes).groupBy("class", "node").agg(own.alias("own"), F.sum("n").alias("weight"), F.max("size").alias("size"))
     needed = _common(_least(F.col("size"), percent))
     return sized.filter(F.col("class").isNotNull() | (F.size("own") >= needed)).select("node", "size", "class", "own", "weight")
@@ -293,8 +295,9 @@ def boundary(tokens: DataFrame) -> int:
 
 
 def _lists(tokens: DataFrame, percent: int, light_to: int) -> DataFrame:
-    """Lists whose members are candidates of each other: key, other, node, size and rank in the list,
-    and the central member, which shares most tokens with others and has rank 1.
+    """Lists whose members are candidates of each other: key, other, node, size, ``first`` and ``last``
+    (places of the list's tokens in the set's order) and rank in the list, and the central member, which
+    shares most tokens with others and has rank 1.
 
     Light sets stand in the lists of their subsets; all sets stand in the token lists that some
     heavy set scans.  Lists of HOT tokens are ranked in parts and always scanned: each part has a
@@ -302,18 +305,28 @@ def _lists(tokens: DataFrame, percent: int, light_to: int) -> DataFrame:
     """
     light = F.length(F.bin("size")) <= light_to
     nodes = tokens.filter("class is null")
-    own = nodes.filter(light).select("node", "size", "weight", F.array_sort(F.filter("own", lambda x: x["beyond"] < SUBSET)).alias("own"))
+    in_order = F.sort_array(F.transform(F.filter("own", lambda x: x["beyond"] < SUBSET), lambda x: F.struct(x["place"].alias("place"), x["token"].alias("token"), x["n"].alias("n"))))
+    own = nodes.filter(light).select("node", "size", "weight", in_order.alias("own"))
     hot = lambda x: x["n"] >= HOT
-    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.struct(x["token"].alias("key"), y["token"].alias("other"), (hot(x) & hot(y)).alias("hot")))))
-    enumerated = own.select("node", "size", "weight", F.explode(pairs).alias("p")).select("p.key", "p.other", "p.hot", "node", "size", "weight", F.lit(True).alias("used"))
+    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.struct(x["token"].alias("key"), y["token"].alias("other"), (hot(x) & hot(y)).alias("hot"), x["place"].alias("first"), y["place"].alias("last")))))
+    enumerated = own.select("node", "size", "weight", F.explode(pairs).alias("p")).select("p.*", "node", "size", "weight", F.lit(True).alias("used"))
     entries = nodes.select("node", "size", "weight", F.explode(F.filter("own", lambda x: x["beyond"] == 0)).alias("x"))
-    scanned = entries.select(F.col("x.token").alias("key"), F.lit(None).cast("bigint").alias("other"), hot(F.col("x")).alias("hot"), "node", "size", "weight", (~light).alias("used"))
+    scanned = entries.select(F.col("x.token").alias("key"), F.lit(None).cast("bigint").alias("other"), hot(F.col("x")).alias("hot"), F.col("x.place").alias("first"), F.col("x.place").alias("last"), "node", "size", "weight", (~light).alias("used"))
     both = enumerated.union(scanned).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS)) + 1).otherwise(F.lit(0)))
     same = W.partitionBy("key", "other", "salt")
-    first = same.orderBy(F.desc("weight"), "node")
-    both = both.withColumns({"members": F.count(F.lit(1)).over(same), "any": F.max("used").over(same), "place": F.row_number().over(first), "center": F.first(F.struct("node", "size")).over(first)})
-    rank = F.when(F.col("hot"), (F.col("place") - 1) * SALTS + F.col("salt") + 1).otherwise(F.col("place"))
-    return both.filter("hot or members > 1 and any").select("key", "other", "node", "size", rank.alias("rank"), "center", F.col("node").alias("component"))
+    ranked = same.orderBy(F.desc("weight"), "node")
+    both = both.withColumns({"members": F.count(F.lit(1)).over(same), "any": F.max("used").over(same), "number": F.row_number().over(ranked), "center": F.first(F.struct("node", "size", "last")).over(ranked)})
+    rank = F.when(F.col("hot"), (F.col("number") - 1) * SALTS + F.col("salt") + 1).otherwise(F.col("number"))
+    return both.filter("hot or members > 1 and any").select("key", "other", "node", "size", "first", "last", rank.alias("rank"), "center", F.col("node").alias("component"))
+
+
+def _possible(x: str, y: str, percent: int) -> Column:
+    """Whether two members of a list can link, if its tokens are the first that they share: no more is
+    shared than these and what comes after the last of them.  A pair whose first tokens are others
+    meets in the list of those as well."""
+    a, b = F.col(f"{x}size"), F.col(f"{y}size")
+    most = F.when(F.col(f"{x}other").isNull(), 0).otherwise(1) + F.least(a - F.col(f"{x}last"), b - F.col(f"{y}last"))
+    return 100 * most >= percent * (a + b - most)
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: DataFrame) -> tuple:
@@ -397,23 +410,22 @@ def _verified(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def _central(lists: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of a list member with its central one, sizes permitting."""
-    pairs = lists.filter((F.col("node") != F.col("center.node")) & (100 * F.least("size", "center.size") >= percent * F.greatest("size", "center.size")))
-    return pairs.select(F.least("node", "center.node").alias("a"), F.greatest("node", "center.node").alias("b")).distinct()
+    """Distinct pairs of a list member with its central one, as far as they can link."""
+    pairs = lists.select("node", "size", "last", "other", F.col("center.node").alias("c_node"), F.col("center.size").alias("c_size"), F.col("center.last").alias("c_last"))
+    pairs = pairs.filter((F.col("node") != F.col("c_node")) & _possible("", "c_", percent))
+    return pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
 
 
 def _candidates(lists: DataFrame, first: int, last: int | None, percent: int) -> DataFrame:
-    """Distinct pairs of a list member of rank first .. last with one of a later rank, sizes permitting."""
+    """Distinct pairs of a list member of rank first .. last with one of a later rank, as far as they can link."""
     ranked = lists.filter(F.col("rank") >= first)
     left = ranked.filter(F.col("rank") <= last) if last else ranked
     l, r = left.alias("l"), ranked.alias("r")
     on = (F.col("l.key") == F.col("r.key")) & F.col("l.other").eqNullSafe(F.col("r.other")) & (F.col("l.rank") < F.col("r.rank")) & (F.col("l.component") != F.col("r.component"))
-    on = on & (100 * F.least("l.size", "r.size") >= percent * F.greatest("l.size", "r.size"))
-    if "most" in lists.columns:
-        most = F.least("l.most", "r.most")
-        on = on & (100 * most >= percent * (F.col("l.size") + F.col("r.size") - most))
-        # Two members of several long lists meet in the first of these only.
-        once = F.array_min(F.array_intersect("l.long", "r.long")) == F.xxhash64("l.key", "l.other")
+    on = on & _possible("l.", "r.", percent)
+    if "long" in lists.columns:
+        # Two members of several long lists meet in the first of these only, in the order of tokens.
+        once = F.get(F.array_intersect("l.long", "r.long"), F.lit(0)) == F.xxhash64("l.key", "l.other")
         on = on & F.coalesce(once, F.lit(True))
     return l.join(r, on).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
@@ -427,31 +439,12 @@ def _unresolved(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return known.drop("members").join(hinted(open_, open_.count(), 48), on).drop("__key", "__other")
 
 
-def _bounded(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """``lists`` with ``most``, how many tokens a member can share with any fellow, and ``long``, the
-    long lists that it stands in.
-
-    In long lists, which hold large groups of near copies, these are the tokens of its whole set
-    that some other member of a long list has too; many pairs then need no check.
-    """
+def _with_long(lists: DataFrame) -> DataFrame:
+    """``lists`` with ``long``: of members of lists of over ``LONG`` members, all such lists that they stand in, in the order of tokens."""
     is_long = F.col("members") > LONG
-    ids = pinned(lists.filter(is_long).groupBy("node").agg(F.collect_set(F.xxhash64("key", "other")).alias("ids")))
-
-    @trimmed
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                own = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
-                nodes = np.repeat(part.column(0).to_numpy(), [len(x) for x in own])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(own))], ["node", "token"])
-
-    tokens = pinned(sets.join(hinted(ids.select("node"), ids.count(), 16), "node", "left_semi").select("node", "tokens").mapInArrow(run, "node bigint, token bigint").distinct())
-    twice = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
-    shared = tokens.join(twice, "token", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
-    known = pinned(ids.join(shared, "node", "left"))
-    out = lists.join(known, "node", "left")
-    return out.withColumns({"most": F.when(is_long, F.coalesce("shared", F.lit(0))).otherwise(F.col("size")), "long": F.when(is_long, F.col("ids"))}).drop("ids", "shared")
+    found = F.sort_array(F.collect_set(F.struct("first", "last", F.xxhash64("key", "other").alias("id"))))
+    ids = pinned(lists.filter(is_long).groupBy("node").agg(F.transform(found, lambda x: x["id"]).alias("ids")))
+    return lists.join(ids, "node", "left").withColumn("long", F.when(is_long, F.col("ids"))).drop("ids")
 
 
 def _start(docs, doc_id, text, size, percent):
@@ -475,18 +468,18 @@ def _start(docs, doc_id, text, size, percent):
         sharing = _sharing(candidates, prefixes)
         return _verified(sharing if mostly else _near(sharing, sets, percent), sets, percent)
 
-    return known, members, lists, sets, check, (drop, drop_prefixes)
+    return known, members, lists, check, (drop, drop_prefixes)
 
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """All links (a, b), a < b, between the representatives of different sets; copies: ``join``."""
-    _, _, lists, _, check, _ = _start(docs, doc_id, text, size, percent)
+    _, _, lists, check, _ = _start(docs, doc_id, text, size, percent)
     return check(_candidates(lists.drop("center"), 1, None, percent)).distinct()
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
-    known, members, lists, sets, check, drops = _start(docs, doc_id, text, size, percent)
+    known, members, lists, check, drops = _start(docs, doc_id, text, size, percent)
     labels, first, last = None, 1, 1
     while lists.head(1):
         found = pinned(check(_central(lists, percent), True) if last == 1 else check(_candidates(lists, first, last, percent)))
@@ -501,7 +494,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
             to = new.select(F.col("node").alias("component"), F.col("component").alias("to"))
             labels = pinned(labels.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(new.join(labels.select("node"), "node", "left_anti")))
         rest = pinned(_unresolved(lists.filter(F.col("rank") > last), labels))
-        lists = rest if "most" in rest.columns else pinned(_bounded(rest, sets))
+        lists = rest if "long" in rest.columns else pinned(_with_long(rest))
         first, last = last + 1, last * GROWTH
     for drop in drops:
         drop()
