@@ -2,8 +2,10 @@ r"""Chat formatting by schema fingerprints, in DataFrame functions only.
 
 A record's nested field paths, cut down to the paths that some declared layout knows, are hashed;
 the hash selects a declarative mapping that turns the record into canonical turns
-``array<struct<role, text>>``.  Typed tables are fingerprinted by their schema, JSON records one
-by one.  The template then writes
+``array<struct<role, text>>``.  A record with fields of several layouts, which no hash names, takes the first
+layout whose required paths it has.  Records are fingerprinted one by one, nested columns of a typed table (where a
+null stands for an absent field) and JSON alike; a table with a row for each turn is by its schema.  The
+template then writes
 
     <|im_start|>ROLE \n TEXT <|im_end|> \n
 
@@ -29,17 +31,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewheel.llm.shared import unused
+
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role: string, text: string>>"
 
 
+#: Names of the canonical roles where turns are "from" somebody.
+ROLES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
+
+
 @dataclass(frozen=True)
 class Layout:
     """``required`` and ``optional`` field paths, and how they map to turns.
 
     ``array``: the field that holds the turns, with ``role`` and ``text`` inside it; else
     ``pairs``: (role, paths of the texts that make up that turn) in order; else ``role``, ``text``
-    and ``order`` are columns of a table with a row for each turn.
+    and ``order`` are columns of a table with a row for each turn.  ``roles``: the layout's own
+    names of the canonical roles.
     """
 
     name: str
@@ -50,19 +59,18 @@ class Layout:
     text: str | None = None
     order: str | None = None
     pairs: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    roles: tuple[tuple[str, str], ...] = ()
 
 
 LAYOUTS = (
     Layout("turn_rows", ("role", "text", "turn"), role="role", text="text", order="turn"),
-    Layout("messages", ("messages[].content", "messages[].role"), array="messages", role="role", text="content"),
-    Layout("from_value", ("conversations[].from", "conversations[].value"), ("system",), array="conversations", role="from", text="value", pairs=(("system", ("system",)),)),
+    Layout("messages", ("messages[].content", "messages[].role"), ("system",), array="messages", role="role", text="content", pairs=(("system", ("system",)),)),
+    Layout("from_value", ("conversations[].from", "conversations[].value"), ("system",), array="conversations", role="from", text="value", pairs=(("system", ("system",)),), roles=ROLES),
     Layout("instruction", ("instruction", "output"), ("input", "system"), pairs=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
     Layout("prompt_response", ("prompt", "response"), ("system",), pairs=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
     Layout("prompt_completion", ("completion", "prompt"), ("system",), pairs=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
     Layout("question_answer", ("answer", "question"), ("context",), pairs=(("user", ("context", "question")), ("assistant", ("answer",)))),
 )
-#: Names that other layouts give the canonical roles.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 def known_paths(layouts: tuple[Layout, ...] = LAYOUTS) -> list[str]:
@@ -89,13 +97,13 @@ def schema_paths(schema: T.DataType, prefix: str = "") -> list[str]:
 
 def layout_of(table: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> Layout | None:
     """The layout of a typed table, by the fingerprint of its schema."""
-    known = set(known_paths(layouts))
-    return mappings(layouts).get(fingerprint([p for p in schema_paths(table.schema) if p in known]))
+    known, paths = set(known_paths(layouts)), set(schema_paths(table.schema))
+    return mappings(layouts).get(fingerprint([p for p in paths if p in known])) or next((one for one in layouts if set(one.required) <= paths), None)
 
 
-def _role(role: Column) -> Column:
+def _role(role: Column, roles: tuple[tuple[str, str], ...]) -> Column:
     out = F.coalesce(role, F.lit(""))
-    for other, own in ROLES.items():
+    for other, own in roles:
         out = F.when(F.lower(role) == other, F.lit(own)).otherwise(out)
     return out
 
@@ -111,27 +119,67 @@ def _turns(one: Layout, array, value) -> Column:
         turn = F.struct(F.lit(role).alias("role"), text.alias("text"))
         parts.append(F.when(present | F.lit(role != "system"), F.array(turn)).otherwise(F.array().cast(TURNS)))
     if one.array:
-        got = F.transform(array(one.array, one.role, one.text), lambda m: F.struct(_role(m[one.role]).alias("role"), F.coalesce(m[one.text], F.lit("")).alias("text")))
+        got = F.transform(array(one.array, one.role, one.text), lambda m: F.struct(_role(m[one.role], one.roles).alias("role"), F.coalesce(m[one.text], F.lit("")).alias("text")))
         parts.append(got)
     return F.concat(*parts)
 
 
-def turns_of_json(records: DataFrame, payload: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Adds ``layout`` and ``turns`` to heterogeneous JSON records, each by its own fingerprint."""
-    v = F.col("__record")
-    path = lambda p: "$." + p.replace("[]", "[0]")
-    present = [F.when(F.try_variant_get(v, path(p), "string").isNotNull(), F.lit(p)) for p in known_paths(layouts)]
-    out = records.withColumn("__record", F.try_parse_json(payload))
-    out = out.withColumn("fingerprint", F.sha2(F.concat_ws(",", *present), 256))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+def _selected(records: DataFrame, has: dict[str, Column], turns, layouts: tuple[Layout, ...]) -> DataFrame:
+    """Adds fingerprint, layout and turns; ``has`` says for each known path whether the record has it, ``turns(layout)`` reads them."""
+    mark, held = unused(records, "fingerprint"), unused(records, "has")
+    out = records.withColumn(held, F.struct(*[F.coalesce(c, F.lit(False)).alias(f"p{k}") for k, c in enumerate(has.values())]))
+    own = {p: F.col(held)[f"p{k}"] for k, p in enumerate(has)}
+    out = out.withColumn(mark, F.sha2(F.concat_ws(",", *[F.when(own[p], F.lit(p)) for p in sorted(own)]), 256))
+    nested = [one for one in layouts if not one.order and set(one.required) <= set(own)]
+    chosen = F.lit(None).cast("string")
+    for one in reversed(nested):
+        every = F.lit(True)
+        for p in one.required:
+            every = every & own[p]
+        chosen = F.when(every, F.lit(one.name)).otherwise(chosen)
     for key, one in mappings(layouts).items():
-        if one.order:
-            continue
-        is_it = F.col("fingerprint") == key
-        layout = F.when(is_it, F.lit(one.name)).otherwise(layout)
-        array = lambda name, role, text: F.try_variant_get(v, f"$.{name}", f"array<struct<`{role}`: string, `{text}`: string>>")
-        turns = F.when(is_it, _turns(one, array, lambda p: F.try_variant_get(v, path(p), "string"))).otherwise(turns)
-    return out.withColumns({"layout": layout, "turns": turns}).drop("__record")
+        if one in nested:
+            chosen = F.when(F.col(mark) == key, F.lit(one.name)).otherwise(chosen)
+    layout = unused(records, "layout")
+    out = out.withColumn(layout, chosen)
+    result = F.lit(None).cast(TURNS)
+    for one in nested:
+        result = F.when(F.col(layout) == one.name, turns(one)).otherwise(result)
+    return out.withColumn(unused(records, "turns"), result).select(*[F.col(f"`{c}`") for c in records.columns], F.col(mark).alias("fingerprint"), F.col(layout).alias("layout"), F.col(unused(records, "turns")).alias("turns"))
+
+
+def turns_of_json(records: DataFrame, payload: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """``records`` with ``fingerprint``, ``layout`` and ``turns`` of their JSON, each by its own fingerprint.
+
+    A field that is null is there; an array's paths are those of all its elements, or all known
+    ones if it is empty.  Columns of ``records`` with these three names are replaced.
+    """
+    records = records.drop(*({"fingerprint", "layout", "turns"} - {payload}))
+    parsed = unused(records, "record")
+    out, v = records.withColumn(parsed, F.try_parse_json(F.col(f"`{payload}`"))), F.col(parsed)
+    has = {}
+    for path in known_paths(layouts):
+        name, _, inner = path.partition("[].")
+        if inner:
+            elements = F.try_variant_get(v, f"$.{name}", "array<variant>")
+            has[path] = (F.size(elements) == 0) | F.exists(elements, lambda x: F.try_variant_get(x, f"$.{inner}", "variant").isNotNull())
+        else:
+            has[path] = F.try_variant_get(v, f"$.{name}", "variant").isNotNull()
+    array = lambda name, role, text: F.try_variant_get(v, f"$.{name}", f"array<struct<`{role}`: string, `{text}`: string>>")
+    return _selected(out, has, lambda one: _turns(one, array, lambda p: F.try_variant_get(v, f"$.{p}", "string")), layouts).drop(parsed)
+
+
+def turns_of_records(records: DataFrame, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """``records`` with ``fingerprint``, ``layout`` and ``turns`` of the struct column ``record``, each by its own fingerprint.
+
+    Fields that are null are absent.  Columns of ``records`` with these three names are replaced.
+    """
+    records = records.drop(*({"fingerprint", "layout", "turns"} - {record}))
+    own, there = F.col(f"`{record}`"), set(schema_paths(records.schema[record].dataType))
+    has = {p: own[p.partition("[]")[0]].isNotNull() for p in known_paths(layouts) if p in there}
+    array = lambda name, role, text: own[name]
+    value = lambda p: own[p].cast("string") if p in there else F.lit(None).cast("string")
+    return _selected(records, has, lambda one: _turns(one, array, value), layouts)
 
 
 def turns_of_rows(rows: DataFrame, conversation: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:

@@ -160,10 +160,32 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, fitted, keep=("doc_id", "held_out"))
 
 
+def records(rows: DataFrame) -> DataFrame:
+    """conv_id and ``record``: each conversation in one of three layouts, as sources of chats have them.
+
+    A question and its answer are a prompt and a response; of the others, those of even id with none but the usual
+    roles are turns "from" a human or gpt, and the rest are messages.
+    """
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    own = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    roles = F.col("t.role")
+    pair = roles == F.array(F.lit("user"), F.lit("assistant"))
+    usual = (F.col("conv_id") % 2 == 0) & F.forall("t", lambda x: x["role"].isin("system", "user", "assistant"))
+    name = lambda role: F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    layout = F.when(pair, "pair").when(F.coalesce(usual, F.lit(False)), "from").otherwise("messages")
+    record = F.struct(
+        F.when(F.col("l") == "pair", F.col("t")[0]["text"]).alias("prompt"),
+        F.when(F.col("l") == "pair", F.get("t", F.lit(1))["text"]).alias("response"),
+        F.when(F.col("l") == "from", F.transform("t", lambda x: F.struct(name(x["role"]).alias("from"), x["text"].alias("value")))).alias("conversations"),
+        F.when(F.col("l") == "messages", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))).alias("messages"),
+    )
+    return own.withColumn("l", layout).select("conv_id", record.alias("record"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
-    turns = chat_format.turns_of_rows(rows.unionByName(control), "conv_id")
+    turns = chat_format.turns_of_records(records(rows.unionByName(control)), "record")
     written = chat_format.format_chat(turns).select("conv_id", "formatted", "loss_mask")
     return chat_format.digests(chat_format.read_chat(written), "conv_id")
 
