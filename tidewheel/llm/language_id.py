@@ -5,8 +5,10 @@ language.  An n-gram is hashed to two slots, and the bitwise AND of their masks
 languages at once, which of them contain it.  Popcounts per language over the n-grams of a text,
 corrected for each language's own false-positive rate, decide.
 
+A mask has as many 64-bit words as the languages need.
+
 Fitting uses a bounded sample of labelled rows (``sample_rows`` for each language, chosen by a
-hash of the id); the filter has a fixed number of slots.  Prediction reads every whole text and
+hash of the id); the filter has a fixed number of slots, or more where the n-grams of many languages need them.  Prediction reads every whole text and
 nothing else.  An n-gram counts as contained in a language when its share there is at least
 ``share`` of its largest share in any language, so stray foreign passages set no bits.
 
@@ -27,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.llm.shared import pinned, trimmed
 from tidewheel.llm.textscan import mix
 
 #: Labelled rows of each language in the fitting sample (expected number; rows are chosen by hash).
 SAMPLE_ROWS = 2000
-#: Slots of the filter, a power of two.
+#: Slots of the filter at least, a power of two; it grows to ``SLOTS_A_GRAM`` for each n-gram, up to ``MOST_SLOTS``.
 SLOTS = 1 << 19
+SLOTS_A_GRAM, MOST_SLOTS = 4, 1 << 23
 SIZES = (3, 4)
 SHARE = 0.25
 LEAST = 3
@@ -90,7 +94,7 @@ def _parts(texts: list[str]) -> Iterator[list[str]]:
 
 @dataclass
 class Filter:
-    """Languages in alphabetical order, the slots' masks, and each language's false-positive rate."""
+    """Languages in alphabetical order, the slots' masks (a column for each 64 languages), and each language's false-positive rate."""
 
     languages: list[str]
     masks: np.ndarray
@@ -108,7 +112,8 @@ class Filter:
         for part in _parts(texts):
             hashed, owner, lettered = grams(part)
             masks, total = self.contained(hashed), np.bincount(owner, minlength=len(part))
-            count = np.stack([np.bincount(owner[(masks >> masks.dtype.type(k) & masks.dtype.type(1)).astype(bool)], minlength=len(part)) for k in range(len(self.languages))])
+            has = lambda k: (masks[:, k // 64] >> masks.dtype.type(k % 64) & masks.dtype.type(1)).astype(bool)
+            count = np.stack([np.bincount(owner[has(k)], minlength=len(part)) for k in range(len(self.languages))])
             right = np.maximum(0, (count - total * self.false_rate[:, None]) / (1 - np.minimum(self.false_rate[:, None], 0.999)))
             best, whole = right.argmax(axis=0), right.sum(axis=0)
             top = right.max(axis=0)
@@ -129,10 +134,8 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string")).alias("draw")).filter("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
-    if not languages or len(languages) > 64:
-        if languages:
-            raise ValueError("a mask holds 64 languages")
-        return Filter([], np.zeros(1, np.uint8), np.zeros(0))
+    if not languages:
+        return Filter([], np.zeros((1, 1), np.uint8), np.zeros(0))
     ceiling = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int(min(1.0, sample_rows / n) * 2**31))])
     sample = rows.filter(F.pmod("draw", F.lit(2**31)) < ceiling[F.col("lang")])
     bit = {name: k for k, name in enumerate(languages)}
@@ -150,13 +153,16 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     total = F.create_map(*[F.lit(x) for r in counted.groupBy("bit").agg(F.sum("n").alias("n")).collect() for x in (r["bit"], float(r["n"]))])
     shares = counted.withColumn("p", F.col("n") / total[F.col("bit")]).groupBy("gram").agg(F.max("p").alias("top"), F.collect_list(F.struct("bit", "p", "n")).alias("of"))
     own = F.filter("of", lambda x: (x["p"] >= F.col("top") * share) & (x["n"] >= LEAST))
-    mask = F.aggregate(own, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x["bit"].cast("int"))))
+    marked = pinned(shares.select("gram", F.explode(own).alias("x")).select("gram", F.floor(F.col("x.bit") / 64).cast("int").alias("word"), F.pmod("x.bit", F.lit(64)).cast("int").alias("bit")))
+    while slots < MOST_SLOTS and slots < SLOTS_A_GRAM * marked.agg(F.approx_count_distinct("gram").alias("n")).first()["n"]:
+        slots *= 2
     places = F.explode(F.array(F.col("gram").bitwiseAND(slots - 1), F.shiftrightunsigned("gram", 32).bitwiseAND(slots - 1)))
-    filled = shares.select("gram", mask.alias("mask")).filter("mask <> 0").select("mask", places.alias("slot")).groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    kind = next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= bits)
-    masks = np.zeros(slots, kind)
-    masks[filled.column("slot").to_numpy()] = filled.column("mask").to_numpy().view(np.uint64).astype(kind)
-    fill = np.array([np.count_nonzero(masks >> kind(k) & kind(1)) / slots for k in range(len(languages))])
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))
+    filled = marked.select("word", one.alias("mask"), places.alias("slot")).groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    kind = next((t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(languages) <= bits), np.uint64)
+    masks = np.zeros((slots, (len(languages) + 63) // 64), kind)
+    masks[filled.column("slot").to_numpy(), filled.column("word").to_numpy()] = filled.column("mask").to_numpy().view(np.uint64).astype(kind)
+    fill = np.array([np.count_nonzero(masks[:, k // 64] >> kind(k % 64) & kind(1)) / slots for k in range(len(languages))])
     return Filter(languages, masks, fill**2)
 
 
@@ -165,6 +171,7 @@ def predict(docs: DataFrame, fitted: Filter, text: str = "text", keep: tuple[str
     given = docs.sparkSession.sparkContext.broadcast(fitted)
     names = [*keep, "lang_pred", "score"]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = given.value.predict([t or "" for t in batch.column(0).to_pylist()])

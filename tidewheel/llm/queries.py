@@ -155,7 +155,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.fold(F.col("doc_id")) == 0)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (language_id.fold(F.col("doc_id")) == 0).alias("held_out"))
     fitted = language_id.fit(docs.filter(~F.col("held_out")))
     return language_id.predict(docs, fitted, keep=("doc_id", "held_out"))
 
