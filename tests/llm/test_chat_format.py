@@ -52,3 +52,41 @@ def test_typed_layouts(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.read_chat(chat.format_chat(chat.turns_of_rows(df, "conv_id"))), "conv_id").count() == 0
+
+
+def test_nulls_and_fields_of_other_layouts(spark):
+    records = [
+        {"messages": [{"role": "user", "content": None}, {"role": "assistant", "content": "a"}]},
+        {"prompt": "q", "response": None},
+        {"system": "s", "messages": [{"role": "user", "content": "q"}]},
+        {"messages": []},
+        {"messages": [{"role": "human", "content": "q"}], "prompt": "x", "input": 3},
+    ]
+    df = spark.createDataFrame([(k, json.dumps(r), "x", "y", "z") for k, r in enumerate(records)], "k long, payload string, layout string, turns string, has string")
+    got = {r.k: (r.layout, [(t.role, t.text) for t in r.turns], r.has) for r in chat.turns_of_json(df, "payload").collect()}
+    assert got == {
+        0: ("messages", [("user", ""), ("assistant", "a")], "z"), 1: ("prompt_response", [("user", "q"), ("assistant", "")], "z"),
+        2: ("messages", [("system", "s"), ("user", "q")], "z"), 3: ("messages", [], "z"), 4: ("messages", [("human", "q")], "z"),
+    }
+
+
+def test_typed_records_are_fingerprinted_one_by_one(spark):
+    shape = "k long, record struct<prompt: string, response: string, messages: array<struct<role: string, content: string>>, more: int>, system string, turns string"
+    rows = [(1, ("q", "a", None, 1), "x", "y"), (2, (None, None, [("user", "q"), (None, None)], 1), "x", "y"), (3, (None, None, None, 1), "x", "y"), (4, ("q", None, [], None), "x", "y"), (5, None, "x", "y")]
+    got = {r.k: (r.layout, r.turns and [(t.role, t.text) for t in r.turns], r.system) for r in chat.turns_of_records(spark.createDataFrame(rows, shape), "record").collect()}
+    assert got == {1: ("prompt_response", [("user", "q"), ("assistant", "a")], "x"), 2: ("messages", [("user", "q"), ("", "")], "x"), 3: (None, None, "x"), 4: ("messages", [], "x"), 5: (None, None, "x")}
+    assert chat.turns_of_records(spark.createDataFrame(rows, shape), "record").select("fingerprint").distinct().count() == 4
+
+
+def test_query_takes_several_layouts(spark):
+    from tidewheel.llm import queries
+
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "system", "s"), (2, 1, "user", "x" * 200_000), (3, 0, "tool", None), (3, 1, "user", "b"), (None, 0, "user", "n")]
+    records = queries.records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: (r.layout, [(t.role, t.text) for t in r.turns]) for r in chat.turns_of_records(records, "record").collect()}
+    assert got == {1: ("prompt_response", [("user", "q"), ("assistant", "a")]), 2: ("from_value", [("system", "s"), ("user", "x" * 200_000)]), 3: ("messages", [("tool", ""), ("user", "b")]), None: ("messages", [("user", "n")])}
+
+
+def test_extra_columns_do_not_hide_the_layout(spark):
+    df = spark.createDataFrame([(1, 0, "user", "q", "x", "y")], "conv_id long, turn long, role string, text string, system string, prompt string")
+    assert [(t.role, t.text) for t in chat.turns_of_rows(df, "conv_id").first().turns] == [("user", "q")]
