@@ -12,3 +12,11 @@ ORACLES = catalog.oracle_sql()
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, duck, name):
     same(catalog.queries()[name](spark, DATA), duck.sql(ORACLES[name]))
+
+
+WINDOWED = catalog.windowed_sql()
+
+
+@pytest.mark.parametrize("name", sorted(catalog.windowed()))
+def test_windowed(spark, duck, name):
+    same(catalog.windowed()[name](spark, DATA), duck.sql(WINDOWED[name]))

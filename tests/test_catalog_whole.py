@@ -8,24 +8,24 @@ from tidewheel import catalog
 
 def test_product_answers_every_order(spark):
     orders = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey").distinct()
-    got = catalog.queries()["summary_product_whole"](spark, DATA)
+    got = catalog.queries()["summary_product"](spark, DATA)
     assert got.agg(F.count("l_linenumber_product")).first()[0] == orders.count() > 1000
     assert got.join(orders, "l_orderkey", "left_anti").count() == 0
 
 
-def test_every_query_over_a_table_has_a_whole_form():
-    names = set(catalog.queries())
-    windowed = {n for n in names if not n.endswith("_whole")} - {"clock_day", "empty_frame"}  # these read no rows
-    assert {f"{n}_whole" for n in windowed} == {n for n in names if n.endswith("_whole")}
+def test_every_query_over_a_table_is_whole():
+    names, whole = set(catalog.queries()), set(catalog._whole_sql())
+    assert names - whole == {"clock_day", "clock_1900", "clock_2040", "clock_float", "empty_frame"}  # these read no rows
     sql = catalog.oracle_sql()
-    assert not any("ts >= TIMESTAMP '2024-01-05'" in sql[n] or "l_shipdate <" in sql[n] for n in names if n.endswith("_whole"))
+    assert set(sql) == names and set(catalog.windowed()) <= names
+    assert not any("ts >= TIMESTAMP '2024-01-05'" in q or "l_shipdate <" in q for q in sql.values())
 
 
-def test_whole_forms_cut_no_row(spark):
+def test_queries_cut_no_row(spark):
     rows = lambda table: spark.read.parquet(f"{DATA}/{table}.parquet").count()
-    got = catalog.queries()
+    got, part = catalog.queries(), catalog.windowed()
     for name, table in (("select_columns", "events"), ("lag_1h", "events"), ("lead_1h", "events"), ("stream_slices", "events"), ("from_dataframe", "orders")):
-        assert got[f"{name}_whole"](spark, DATA).count() == rows(table) > got[name](spark, DATA).count()
-    counted = lambda name: got[name](spark, DATA).agg(F.sum("count")).first()[0]
-    assert counted("cycles_whole") == counted("summary_count_whole") == rows("lineitem") > counted("cycles")
-    assert counted("interval_grid_whole") == rows("events") > counted("interval_grid")
+        assert got[name](spark, DATA).count() == rows(table) > part[name](spark, DATA).count()
+    counted = lambda query: query(spark, DATA).agg(F.sum("count")).first()[0]
+    assert counted(got["cycles"]) == counted(got["summary_count"]) == rows("lineitem") > counted(part["cycles"])
+    assert counted(got["interval_grid"]) == rows("events") > counted(part["interval_grid"])

@@ -36,10 +36,10 @@ def test_context():
 
 def test_repr_and_validation(spark):
     df = spark.createDataFrame([(0, 1), (6, 2)], "time long, x long")
-    frame = tw.CausalFrame.from_df(tw.Context(0, 6), df)
+    frame = tw.LoadedFrame.from_df(tw.Context(0, 6), df)
     assert "over [0, 6]" in repr(frame) and len(frame) == 2
     with pytest.raises(ValueError):
-        tw.CausalFrame.from_df(tw.Context(0, 5), df)
+        tw.LoadedFrame.from_df(tw.Context(0, 5), df)
 
 
 def test_clock(spark):

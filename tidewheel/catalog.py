@@ -21,6 +21,8 @@ EVENTS_WHOLE = tw.Context(dt.datetime(2023, 12, 31), dt.datetime(2024, 2, 2))
 INTERVALS = tw.Context(dt.datetime(2024, 1, 5), dt.datetime(2024, 2, 3, 12))
 INTERVALS_WHOLE = tw.Context(dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 3, 12))
 SHIPPED_WHOLE = tw.Context(dt.datetime(1994, 12, 31), dt.datetime(2002, 1, 1))
+YEAR_1900 = tw.Context(dt.datetime(1899, 1, 1), dt.datetime(1901, 1, 1))
+YEAR_2040 = tw.Context(dt.datetime(2037, 1, 1), dt.datetime(2041, 1, 1))
 _W = "ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12'"
 _M = "ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01'"
 _S = "l_shipdate >= TIMESTAMP '1992-01-01' AND l_shipdate < TIMESTAMP '1999-01-01'"
@@ -62,8 +64,12 @@ def _drop_columns(spark, d, context=WEEK):
     return (events(d) | tw.drop_columns("props", lambda n: n.startswith("event_t"))).load(context).to_df()
 
 
-def _clock_day(spark, d):
-    return tw.clock(DAY).load(MONTH).to_df()
+def _clock_day(spark, d, context=MONTH):
+    return tw.clock(DAY).load(context).to_df()
+
+
+def _clock_float(spark, d):
+    return tw.clock(0.25).load(tw.Context(0.0, 100_000.0)).to_df()
 
 
 def _empty(spark, d):
@@ -242,10 +248,10 @@ def _custom(spark, d, context=WEEK):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    import tempfile
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or the warehouse."""
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -270,8 +276,9 @@ def _stream_slices(spark, d, context=WEEK):
     return out
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {
+def windowed() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries over a part of their tables, whose edges shifts, tolerances and look-backs cross; for tests."""
+    return {
         "filter_rows": _filter_rows, "add_columns": _add_columns, "select_columns": _select_columns, "drop_columns": _drop_columns, "clock_day": _clock_day, "empty_frame": _empty,
         "from_dataframe": _from_dataframe, "lag_1h": _lag_1h, "lead_1h": _lead_1h, "summarize_all": _summarize_all, "summarize_keyed": _summarize_keyed, "pipeline_chain": _pipeline_chain,
         "cycles": _cycles, "cycles_keyed": _cycles_keyed, "running_keyed": _running("user_id"), "running_keyless": _running(None), "rolling_1h_1d": _rolling, "rolling_keyless": _rolling_keyless,
@@ -279,9 +286,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "asof_self_prev": _asof_self_prev, "future_join": _joined(forward=True), "future_keyless": _joined(forward=True, key=None), "future_strict": _joined(forward=True, strict=True), "future_tolerance": _joined(forward=True, tolerance=6 * HOUR),
         "interval_grid": _interval(), "interval_keyed": _interval(key="event_type"), "interval_closelast": _interval(closelast=True), "interval_keyed_closelast": _interval(key="event_type", closelast=True),
         **{f"summary_{k}": _summary(make, digits=digits) for k, (make, _, digits) in _SUMMARIES.items()},
-        "summary_product": _product, "summary_product_whole": _product_whole, "summary_first_last": _first_last, "custom_summarizer": _custom, "parquet_roundtrip": _parquet_roundtrip, "csv_roundtrip": _csv_roundtrip, "stream_slices": _stream_slices,
+        "summary_product": _product, "summary_first_last": _first_last, "custom_summarizer": _custom, "parquet_roundtrip": _parquet_roundtrip, "csv_roundtrip": _csv_roundtrip, "stream_slices": _stream_slices,
     }
-    return out | {f"{n}_whole": partial(out[n], context=_whole_context(n)) for n in _whole_sql() if n != "summary_product"}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Every query over the whole of its tables."""
+    own = windowed() | {"summary_product": _product_whole}
+    whole = {n: partial(own[n], context=_whole_context(n)) for n in _whole_sql() if n != "summary_product"}
+    return own | whole | {"clock_1900": partial(_clock_day, context=YEAR_1900), "clock_2040": partial(_clock_day, context=YEAR_2040), "clock_float": _clock_float}
 
 
 def _whole_context(name: str) -> tw.Context:
@@ -292,7 +305,7 @@ def _whole_context(name: str) -> tw.Context:
 
 
 def _whole_sql() -> dict[str, str]:
-    """The SQL of each query over all rows of its tables, by the query's name without _whole."""
+    """The SQL of each query over all rows of its tables."""
     rolled = lambda span: f"SELECT l.event_id AS id, count(r.ts) AS n, coalesce(sum(r.value), 0.0) AS s, max(r.value) AS m FROM events l LEFT JOIN events r ON r.user_id = l.user_id AND r.ts <= l.ts AND r.ts >= l.ts - {span} GROUP BY l.event_id"
     joined = lambda op, *a, **k: _joined_sql(op, *a, widen="true", window="true", **k)
     interval = lambda *a: _interval_sql(*a, start="2024-01-01", first="2024-01-02")
@@ -330,6 +343,12 @@ def _whole_sql() -> dict[str, str]:
 
 
 def oracle_sql() -> dict[str, str]:
+    days = "SELECT CAST(range AS TIMESTAMP) AS time FROM range(TIMESTAMP '{0}-01-01', TIMESTAMP '{1}-01-01', INTERVAL 1 DAY)"
+    clocks = {"clock_1900": days.format(1899, 1901), "clock_2040": days.format(2037, 2041), "clock_float": "SELECT CAST(range / 4.0 AS DOUBLE) AS time FROM range(400000)"}
+    return windowed_sql() | _whole_sql() | clocks
+
+
+def windowed_sql() -> dict[str, str]:
     rolled = lambda span: f"SELECT l.event_id AS id, count(r.ts) AS n, coalesce(sum(r.value), 0.0) AS s, max(r.value) AS m FROM (SELECT * FROM events WHERE {_W}) l LEFT JOIN events r ON r.user_id = l.user_id AND r.ts <= l.ts AND r.ts >= l.ts - {span} AND r.ts >= TIMESTAMP '2024-01-04' GROUP BY l.event_id"
     out = {
         "filter_rows": f"SELECT ts AS time, * EXCLUDE (ts) FROM events WHERE event_type = 'purchase' AND value > 20 AND {_W}",
@@ -368,4 +387,4 @@ def oracle_sql() -> dict[str, str]:
         column = make().outputs[0]
         value = expression if digits is None else f"round({expression}, {digits})"
         out[f"summary_{name}"] = f"SELECT TIMESTAMP '1999-01-01' AS time, l_returnflag, {value} AS {column} FROM lineitem WHERE {_S} GROUP BY l_returnflag"
-    return out | {f"{n}_whole": sql for n, sql in _whole_sql().items()}
+    return out

@@ -50,7 +50,7 @@ def framed(df: DataFrame, time: Column | None = None, seq: Column | None = None)
     return TimeFrame(df.select((time if time is not None else F.col(TIME)).alias(TIME), *values, (seq if seq is not None else F.col(SEQ) if SEQ in df.columns else F.lit(0).cast("bigint")).alias(SEQ)))
 
 
-class CausalFrame:
+class LoadedFrame:
     """The result of evaluating a pipeline over a context.  It stays a lazy DataFrame."""
 
     def __init__(self, context: Context, frame: TimeFrame):
@@ -58,7 +58,7 @@ class CausalFrame:
         self._frame = frame
 
     @classmethod
-    def from_df(cls, context: Context, df: DataFrame, validate: bool = True) -> CausalFrame:
+    def from_df(cls, context: Context, df: DataFrame, validate: bool = True) -> LoadedFrame:
         """A frame of existing rows, checked by one aggregation to lie inside the closed window."""
         if TIME not in df.columns:
             raise ValueError(f"no column {TIME!r} among {df.columns}")
@@ -97,9 +97,9 @@ class CausalFrame:
     def to_arrow(self):
         return self.to_df(ordered=True).toArrow()
 
-    def persist(self) -> CausalFrame:
+    def persist(self) -> LoadedFrame:
         self._frame.df.persist()
         return self
 
     def __repr__(self) -> str:
-        return f"CausalFrame({', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in self.schema)}) over [{self.context.start}, {self.context.stop}]"
+        return f"LoadedFrame({', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in self.schema)}) over [{self.context.start}, {self.context.stop}]"

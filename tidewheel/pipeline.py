@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import functions as F
 
 from tidewheel.context import SEQ, TIME, Context, as_number
-from tidewheel.frame import CausalFrame, TimeFrame
+from tidewheel.frame import LoadedFrame, TimeFrame
 
 Transform = Callable[["Pipeline"], "Pipeline"]
 _METHODS: dict[str, Callable[..., Transform]] = {}
@@ -34,13 +34,13 @@ class Pipeline:
             return lambda *args, **named: _METHODS[name](*args, **named)(self)
         raise AttributeError(name)
 
-    def load(self, context: Context) -> CausalFrame:
+    def load(self, context: Context) -> LoadedFrame:
         return load(context, self)
 
     def scan(self, context: Context) -> None:
         scan(context, self)
 
-    def stream(self, context: Context, slices: int = 8) -> Iterator[CausalFrame]:
+    def stream(self, context: Context, slices: int = 8) -> Iterator[LoadedFrame]:
         return stream(context, self, slices)
 
 
@@ -55,12 +55,12 @@ def mapped(change: Callable[[TimeFrame, Context], TimeFrame]) -> Transform:
     return lambda upstream: Pipeline(lambda context: change(upstream.run(context), context))
 
 
-def load(context: Context, pipeline: Pipeline) -> CausalFrame:
+def load(context: Context, pipeline: Pipeline) -> LoadedFrame:
     """Evaluate over ``context``.  Registered sinks are written; the rows themselves stay lazy."""
     frame = pipeline.run(context)
     for sink in frame.sinks:
         sink()
-    return CausalFrame(context, frame)
+    return LoadedFrame(context, frame)
 
 
 def scan(context: Context, pipeline: Pipeline) -> None:
@@ -72,7 +72,7 @@ def scan(context: Context, pipeline: Pipeline) -> None:
         frame.df.write.format("noop").mode("overwrite").save()
 
 
-def stream(context: Context, pipeline: Pipeline, slices: int = 8) -> Iterator[CausalFrame]:
+def stream(context: Context, pipeline: Pipeline, slices: int = 8) -> Iterator[LoadedFrame]:
     """Frames whose contexts tile the window; equal times never part.
 
     Borders come from a quantile sketch of the times; each frame is a lazy filter of one persisted
@@ -97,7 +97,7 @@ def stream(context: Context, pipeline: Pipeline, slices: int = 8) -> Iterator[Ca
                 continue
             part = df.filter(F.col(TIME) >= context.literal(low)) if k else df
             part = part if last else part.filter(F.col(TIME) < context.literal(high))
-            yield CausalFrame(Context(low, high), frame.with_df(part))
+            yield LoadedFrame(Context(low, high), frame.with_df(part))
     finally:
         df.unpersist()
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,11 @@ from tidewheel.frame import TimeFrame, framed
 from tidewheel.pipeline import Pipeline
 
 
+_DAY = 86_400_000_000
+#: Ticks of a floating-point clock in one block.
+_BLOCK = 1 << 16
+
+
 def session() -> SparkSession:
     return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
@@ -32,7 +39,8 @@ def clock(interval: Any, batchsize: int = 1024) -> Pipeline:
     """Ticks start, start + interval, ... before stop, generated on the executors.
 
     ``interval`` is a number or a timedelta.  For floating-point time, ticks are repeated
-    additions, made on the driver, because their rounding is part of the result.
+    additions, because their rounding is part of the result: the driver finds where each block of
+    ticks starts, and tasks make the blocks.
     """
     if batchsize <= 0:
         raise ValueError("batchsize must be positive")
@@ -42,11 +50,7 @@ def clock(interval: Any, batchsize: int = 1024) -> Pipeline:
             raise ValueError(f"the interval must be positive: {interval}")
         spark, kind = session(), context.type
         if isinstance(kind, T.DoubleType):
-            ticks, at = [], context.start
-            while at < context.stop:
-                ticks.append((at,))
-                at = add(at, interval)
-            return framed(spark.createDataFrame(ticks, T.StructType([T.StructField(TIME, kind)])))
+            return _float_ticks(spark, float(context.start), float(context.stop), float(interval))
         step = offset_number(interval, kind)
         first, last = value_number(context.start), value_number(context.stop)
         ids = spark.range(max(0, -(-(last - first) // step)))
@@ -56,7 +60,8 @@ def clock(interval: Any, batchsize: int = 1024) -> Pipeline:
         elif isinstance(kind, T.TimestampType):
             time = F.timestamp_micros(number)
         elif isinstance(kind, T.TimestampNTZType):
-            time = F.lit("1970-01-01 00:00:00").cast(kind) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (number / F.lit(1_000_000)).cast("decimal(18,6)")) if step % 1_000_000 or first % 1_000_000 else F.timestamp_add("SECOND", (number / 1_000_000).cast("int"), F.lit("1970-01-01 00:00:00").cast(kind))
+            day = F.pmod(number, F.lit(_DAY))  # microseconds of the day; whole days fit an integer in all years
+            time = F.lit("1970-01-01 00:00:00").cast(kind) + F.make_dt_interval(((number - day) / _DAY).cast("int"), F.lit(0), F.lit(0), (day / F.lit(1_000_000)).cast("decimal(18,6)"))
         else:
             time = number.cast(kind)
         return TimeFrame(ids.select(time.alias(TIME), F.col("id").alias(SEQ)))
@@ -64,6 +69,30 @@ def clock(interval: Any, batchsize: int = 1024) -> Pipeline:
     return Pipeline(run)
 
 
+def _float_ticks(spark: SparkSession, start: float, stop: float, step: float) -> TimeFrame:
+    """start, start + step, (start + step) + step, ... below stop."""
+
+    def block(first: float) -> np.ndarray:
+        return np.cumsum(np.concatenate([[first], np.full(_BLOCK, step)]))  # in sequence, like repeated addition
+
+    starts, at = [], start
+    while at < stop:
+        starts.append((at, len(starts) * _BLOCK))
+        if at + step == at:
+            raise ValueError(f"the interval {step} is lost in rounding at {at}")
+        at = float(block(at)[-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, index in zip(*(c.to_pylist() for c in batch.columns)):
+                ticks = block(first)[:-1]
+                ticks = ticks[ticks < stop]
+                yield pa.RecordBatch.from_arrays([pa.array(ticks), pa.array(np.arange(index, index + len(ticks)))], [TIME, SEQ])
+
+    blocks = spark.createDataFrame(starts, "first double, index bigint")
+    return TimeFrame(blocks.mapInArrow(run, f"{TIME} double, {SEQ} bigint"))
+
+
 def clipped(df: DataFrame, raw: Column, context: Context, seq: Column, kind: T.DataType) -> TimeFrame:
     """Rows inside [start, stop), filtered on the raw column so that the scan can skip."""
     if isinstance(kind, T.StringType):
