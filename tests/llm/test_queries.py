@@ -1,6 +1,7 @@
 """The registered queries on the small test tables, and the pipeline against brute force."""
 
 import hashlib
+import random
 
 import pytest
 import test_decontaminate
@@ -48,6 +49,36 @@ def test_pipeline(spark, duck):
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
+def test_stages_take_odd_rows(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    passage, item = text(60), spark.read.parquet(f"{DATA}/benchmark.parquet").filter("length(text) > 80").first().text
+    plain, copied, shared, hit, long = text(80), text(90), text(70), f"{text(20)} {item} {text(20)}", text(40_000)
+    rows = [(1, plain), (2, copied), (3, copied), (None, copied), (None, text(50)), (4, shared), (4, shared), (5, None), (6, ""), (7, f"{text(40)} {passage} {text(30)}"), (8, f"{text(40)} {passage} {text(30)}"), (9, hit), (10, long)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept string, sha string, spans string, `row` string, node string, token string, contaminated string, own string"
+    docs = spark.createDataFrame([(i, t, None if i == 1 else "en", None if i == 2 else "s", 1, *"abcdefghi") for i, t in rows], shape)
+    ids = lambda df: sorted((r.doc_id or 0 for r in df.collect()))
+    stages = dict(corpus_pipeline.STAGES)
+    out = stages["quality_rules"](spark, docs, DATA)
+    assert out.columns == docs.columns and ids(out) == [0, 0, 1, 2, 3, 4, 4, 7, 8, 9, 10]
+    out = stages["near_duplicates"](spark, docs, DATA)
+    assert out.columns == docs.columns and ids(out) == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10]
+    whole = stages["repeated_passages"](spark, docs, DATA)
+    assert whole.columns == docs.columns
+    got = {r.doc_id: r.text for r in whole.filter("doc_id is not null").collect()}
+    assert got[1] == plain and got[2] == got[3] == got[4] == got[6] == "" and got[5] is None and got[10] == long
+    assert passage not in got[7] and got[7][:200] == dict(rows)[7][:200]
+    out = stages["decontamination"](spark, docs, DATA)
+    assert out.columns == docs.columns and ids(out) == sorted(i or 0 for i, _ in rows if i != 9)
+    assert [tuple(r)[5:] for r in out.collect()] == [tuple("abcdefghi")] * (len(rows) - 1)
+    out = stages["encoding"](spark, docs, DATA)
+    assert out.count() == len(rows) and [r.n_tokens for r in out.filter("doc_id in (5, 6)").collect()] == [0, 0]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
+
+
 def remaining(texts, window=200):
     """Texts without the characters all of whose bytes repeat."""
     from collections import Counter

@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.shared import fresh_dir, pinned
+from tidewheel.llm.shared import fresh_dir, hinted, pinned, trimmed
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 8 << 20
@@ -168,8 +168,10 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     own = own.withColumn("sha", F.unhex(F.sha1("html")))
     groups = pages.select("page_id", F.unhex(F.sha1(F.coalesce("html", F.lit("")))).alias("sha"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n"))
     shared = groups.filter(F.col("n") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    rows = own.join(shared, "sha", "left").select("page_id", "url", "html", F.when(F.col("page_id") == F.col("kept"), None).otherwise(F.col("kept")).alias("refers_to"))
+    shared = pinned(shared)  # of repeated payloads only; while these are few, no html is shuffled
+    rows = own.join(hinted(shared, shared.count(), 32), "sha", "left").select("page_id", "url", "html", F.when(F.col("page_id") == F.col("kept"), None).otherwise(F.col("kept")).alias("refers_to"))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = _open(folder)
         name, count, out = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, None
@@ -191,6 +193,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
 def read(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """All records of the archives named in ``manifest`` (path, size): fields, digest and the payload."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, size, start in zip(*(c.to_pylist() for c in batch.columns)):
