@@ -13,20 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import bpe_replay, bwt_dedup, decontaminate, jaccard_join, quality_rules
-from tidewheel.llm.shared import hinted, pinned, written
+from tidewheel.llm.shared import hinted, pinned, unused, written
 
 ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null or empty texts fail them; null languages and sources are groups of their own; repeated rows
+    are judged alike; extra columns stay, whatever their names; an empty table stays empty.
+    """
     return quality_rules.filtered(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near duplicates.
 
-    A row without an id stays unless it copies a row with one; of rows that share an id one stays.
+    A row without an id stays unless it copies a row with one; of rows that share an id one stays, and
+    so of repeated rows; null and empty texts are near nothing; extra columns stay, whatever their
+    names; an empty table stays empty.
     """
     joined = pinned(jaccard_join.join(docs))
     kept = joined.filter("doc_id = component_id").select("doc_id").distinct()
@@ -35,25 +41,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if count["own"] < count["ids"]:
         out = out.dropDuplicates(["doc_id"])
     if count["ids"] < count["n"]:
-        texts = docs.filter("doc_id is not null").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).distinct()
-        lone = docs.filter("doc_id is null").withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-        out = out.unionByName(lone.join(texts, "sha", "left_anti").drop("sha"))
+        sha = unused(docs, "sha")
+        texts = docs.filter("doc_id is not null").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias(sha)).distinct()
+        lone = docs.filter("doc_id is null").withColumn(sha, F.sha2(F.coalesce("text", F.lit("")), 256))
+        out = out.unionByName(lone.join(texts, sha, "left_anti").drop(sha))
     return out
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that repeat elsewhere."""
+    """Documents without the bytes that repeat elsewhere, with ``n_chars`` of what is left.
+
+    Null texts stay null, and texts under 200 bytes stay whole; repeated rows, where an earlier stage left any, lose
+    their texts, each being the other's copy; extra columns stay, whatever their names; an empty table stays empty.
+    """
     return bwt_dedup.remove(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no window of a benchmark item occurs in."""
+    """Documents that no window of a benchmark item occurs in.
+
+    Null and wordless texts stay, and items without words reject nothing; repeated rows are judged
+    alike; extra columns stay, whatever their names; an empty table stays empty.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.clean(docs, benchmark)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row; null text has no tokens."""
     return bpe_replay.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
