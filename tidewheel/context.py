@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 TIME = "time"
 #: The hidden column that orders rows of equal time.
 SEQ = "__seq"
+_DAY = 86_400_000_000
 _MICROSECOND = dt.timedelta(microseconds=1)
 
 
@@ -111,6 +112,18 @@ def as_number(column: Column, kind: T.DataType) -> Column:
     return column
 
 
+def as_time(number: Column, kind: T.DataType) -> Column:
+    """The time of a number of ``as_number``."""
+    if isinstance(kind, T.DateType):
+        return F.date_from_unix_date(number.cast("int"))
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(number)
+    if isinstance(kind, T.TimestampNTZType):
+        day = F.pmod(number, F.lit(_DAY))  # microseconds of the day; whole days fit an integer in all years
+        return F.lit("1970-01-01 00:00:00").cast(kind) + F.make_dt_interval(((number - day) / _DAY).cast("int"), F.lit(0), F.lit(0), (day / F.lit(1_000_000)).cast("decimal(18,6)"))
+    return number.cast(kind)
+
+
 def offset_number(offset: Any, kind: T.DataType) -> Any:
     """An offset in the unit of ``as_number``."""
     if isinstance(offset, dt.timedelta):

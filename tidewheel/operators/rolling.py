@@ -40,13 +40,14 @@ def _scale(kind: T.DataType, lookbacks: list[Any]) -> tuple[int, list[int]]:
 
 
 @operator
-def add_rolling_columns(windows: Any, summarizers: Any, key: Any = None, from_: Pipeline | None = None) -> Transform:
+def add_rolling_columns(windows: Any, summarizers: Any, key: Any = None, from_: Pipeline | None = None, by_buckets: bool = False) -> Transform:
     """Append ``{window}_{name}``: the summary of the rows with t - lookback <= s <= t, for each row's t.
 
     All rows at t count, also later ones in the stream.  The summarized rows come from the
     pipeline itself or from ``from_``, over a window that starts a look-back earlier.  Without
     keys, rows are dealt into time buckets at least a look-back wide, and each summarized row goes
-    to the one or two buckets whose rows can see it.
+    to the one or two buckets whose rows can see it.  With ``by_buckets`` keys are cut into such
+    buckets too, so that a hot key has more than one task.
     """
     named, keys = _named(windows), key_names(key)
     own = distinct(summarizers, keys)
@@ -77,8 +78,8 @@ def add_rolling_columns(windows: Any, summarizers: Any, key: Any = None, from_:
             rows = source.df.select(F.col(TIME), *key_columns, number.alias(NUMBER), F.struct(F.lit(True).alias("__is"), *[F.col(f"`{c}`") for c in values], F.col(SEQ).alias(SEQ)).alias(FROM))
             mine = left.df.select(F.col(TIME), *key_columns, number.alias(NUMBER), F.struct(F.lit(True).alias("__is"), *[F.col(f"`{c}`") for c in left.values if c not in keys], F.col(SEQ).alias(SEQ)).alias(OWN))
             by = list(keys)
-            if not keys:
-                by = [BUCKET]
+            if not keys or by_buckets:
+                by = [*keys, BUCKET]
                 low, high = value_number(context.start) * factor, value_number(context.stop) * factor
                 count = max(1, min(BUCKETS, int((high - low) // max(1, max(spans))))) if high > low else 1
                 place = lambda x: F.least(F.greatest(F.floor((x.cast("double") - F.lit(float(low))) * F.lit(count / float(high - low) if high > low else 0.0)), F.lit(0)), F.lit(count - 1)).cast("int")

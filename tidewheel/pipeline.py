@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 from pyspark.sql import functions as F
 
@@ -14,10 +15,13 @@ _METHODS: dict[str, Callable[..., Transform]] = {}
 
 
 class Pipeline:
-    """``run(context)`` gives the lazy table; nothing executes before an action."""
+    """``run(context)`` gives the lazy table; nothing executes before an action.
 
-    def __init__(self, run: Callable[[Context], TimeFrame]):
-        self.run = run
+    ``step`` is set where the times are the context's start and every so much after it.
+    """
+
+    def __init__(self, run: Callable[[Context], TimeFrame], step: Any = None):
+        self.run, self.step = run, step
 
     def __or__(self, transform: Transform) -> Pipeline:
         return transform(self)

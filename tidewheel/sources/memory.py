@@ -12,12 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.context import SEQ, TIME, Context, add, as_number, offset_number, value_number
+from tidewheel.context import SEQ, TIME, Context, as_number, as_time, offset_number, value_number
 from tidewheel.frame import TimeFrame, framed
 from tidewheel.pipeline import Pipeline
 
 
-_DAY = 86_400_000_000
 #: Ticks of a floating-point clock in one block.
 _BLOCK = 1 << 16
 
@@ -54,19 +53,10 @@ def clock(interval: Any, batchsize: int = 1024) -> Pipeline:
         step = offset_number(interval, kind)
         first, last = value_number(context.start), value_number(context.stop)
         ids = spark.range(max(0, -(-(last - first) // step)))
-        number = F.lit(first) + F.col("id") * F.lit(step)
-        if isinstance(kind, T.DateType):
-            time = F.date_from_unix_date(number.cast("int"))
-        elif isinstance(kind, T.TimestampType):
-            time = F.timestamp_micros(number)
-        elif isinstance(kind, T.TimestampNTZType):
-            day = F.pmod(number, F.lit(_DAY))  # microseconds of the day; whole days fit an integer in all years
-            time = F.lit("1970-01-01 00:00:00").cast(kind) + F.make_dt_interval(((number - day) / _DAY).cast("int"), F.lit(0), F.lit(0), (day / F.lit(1_000_000)).cast("decimal(18,6)"))
-        else:
-            time = number.cast(kind)
+        time = as_time(F.lit(first) + F.col("id") * F.lit(step), kind)
         return TimeFrame(ids.select(time.alias(TIME), F.col("id").alias(SEQ)))
 
-    return Pipeline(run)
+    return Pipeline(run, step=interval)
 
 
 def _float_ticks(spark: SparkSession, start: float, stop: float, step: float) -> TimeFrame:
