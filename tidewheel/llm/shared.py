@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,10 +23,13 @@ ROW_BYTES = 64
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, taken from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a fresh temporary folder is used.
+    Only where the session names none and runs on one machine, as in tests, a fresh temporary folder
+    is used; on a cluster that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if not named and context.getCheckpointDir() is None and not re.match(r"local(\[|$)", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewheel-"))
     return named or context.getCheckpointDir()
