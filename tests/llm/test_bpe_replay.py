@@ -60,3 +60,14 @@ def test_operator(spark, library):
     for r in encode(df, PATH, public.PATTERN).collect():
         assert r.token_ids == library.encode_ordinary(own[r.doc_id] or "") and bytes(r.decoded) == (own[r.doc_id] or "").encode()
     assert digests(df.limit(0), PATH, public.PATTERN).count() == 0
+
+
+def test_repeated_rows_and_texts_over_a_shard(spark, library, monkeypatch):
+    from tidewheel.llm import bpe_replay
+
+    rng = random.Random(6)
+    long = " ".join("".join(rng.choices("etaoinshr", k=rng.randrange(1, 9))) for _ in range(900_000))
+    assert len(long) > bpe_replay.SHARD_BYTES
+    rows = [(1, "again and again", "x"), (1, "again and again", "x"), (None, "no id", "x"), (2, long, "x"), (3, None, "x")]
+    got = sorted(((r.doc_id, r.n_tokens, r.decoded_sha256) for r in digests(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string"), PATH, public.PATTERN).collect()), key=str)
+    assert got == sorted([(i, len(library.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in rows], key=str)

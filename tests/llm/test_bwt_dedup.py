@@ -86,3 +86,28 @@ def test_no_group_in_a_merge_is_above_its_bound(spark, monkeypatch):
     assert [got[k] for k in range(len(texts))] == brute(texts)
     largest = merged[0].selectExpr("deal", "length(bytes) AS size").groupBy("deal").agg({"size": "sum", "*": "count"}).filter("`count(1)` > 1").agg({"sum(size)": "max"}).first()[0]
     assert (largest or 0) <= 4000
+
+
+def test_long_texts_and_clashing_columns(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, long = text(300), text(1_200_000)
+    rows = [(1, f"{long[:700_000]}X{passage}X{long[700_000:]}"), (2, f"{text(90)}Y{passage}Y{text(90)}"), (3, text(500)), (4, None)]
+    df = spark.createDataFrame([(*r, "a", "b", "c", "d") for r in rows], "doc_id long, text string, `__sha` string, `_sha` string, `_spans` string, `__key` string")
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in bwt_dedup.digests(df).collect()} == {1: (300, 1), 2: (300, 1), 3: (0, 0), 4: (0, 0)}
+    out = bwt_dedup.remove(df)
+    assert out.columns == df.columns
+    got = {r.doc_id: tuple(r)[1:] for r in out.collect()}
+    assert got == {1: (f"{long[:700_000]}XX{long[700_000:]}", "a", "b", "c", "d"), 2: (rows[1][1].replace(passage, ""), "a", "b", "c", "d"), 3: (rows[2][1], "a", "b", "c", "d"), 4: (None, "a", "b", "c", "d")}
+
+
+def test_a_group_far_above_the_bound(spark, monkeypatch):
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choices("abcde", k=n))
+    passage, plain = text(260), bwt_dedup.repeated_windows
+    segments = [text(137) + passage + text(137) for _ in range(400)]
+    own = {tuple(f.tolist()) for f in plain([s.encode() for s in segments])}
+    assert all(any(f) for f in own) and sum(map(len, segments)) > 200_000
+    monkeypatch.setattr(bwt_dedup.repeated_spans, "__defaults__", ("text", "doc_id", 3000))
+    got = bwt_dedup.digests(spark.createDataFrame(list(enumerate(segments)), "doc_id long, text string").repartition(4)).collect()
+    assert {(r.doc_id, r.n_removed) for r in got} == {(k, n) for k, (_, n, _, _) in enumerate(brute(segments))}

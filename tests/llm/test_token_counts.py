@@ -103,3 +103,12 @@ def test_query(spark, library, model):
     got = {r.doc_id: r.n_tokens for r in token_counts(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert got == {k: len(library.encode(t or "")) for k, t in rows}
     assert token_counts(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
+def test_repeated_rows_long_texts_and_extra_columns(spark, library, model):
+    own = [t for t in texts() if t]
+    long = " ".join(own * 40)
+    rows = [(1, own[20], "x", "y"), (1, own[20], "x", "y"), (None, long, "x", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, score string")
+    got = sorted(((r.doc_id, r.n_tokens) for r in token_counts(df, model).collect()), key=str)
+    assert len(long) > 500_000 and got == sorted([(i, len(library.encode(t))) for i, t, _, _ in rows], key=str)
