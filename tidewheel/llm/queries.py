@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import bpe_replay, bwt_dedup, chat_format, decontaminate, html_extract, jaccard_join, language_id, quality_rules, token_counts, warc
+from tidewheel.llm import bpe_replay, bwt_dedup, chat_format, decontaminate, html_extract, jaccard_join, language_id, prefix_trie, quality_rules, token_counts, warc
 from tidewheel.llm.shared import pinned
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -205,6 +205,41 @@ FROM t GROUP BY conv_id
 """
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = prefix_trie.placed(prefix_trie.turns(table(spark, sf_dir, "conversations")))
+    conv = F.col("conv_id")
+    own, ids = prefix_trie.borrowed(own, conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4, most=3)
+    return prefix_trie.trie(own, ids)
+
+
+#: The unsigned CRC-32 of a list of bytes ``{0}``, by the table ``crc.t`` of the 256 remainders of a byte.
+_CRC_TABLE = "crc AS (SELECT list(list_reduce(list_concat([b], range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY b) AS t FROM range(256) r(b))"
+_CRC = "xor(list_reduce(list_concat([4294967295], {0}), lambda a, x: xor(a >> 8, crc.t[(xor(a, x) & 255) + 1])), 4294967295)"
+
+OP11_SQL = rf"""
+WITH {_CRC_TABLE},
+o AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS l
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id
+), h AS (
+  SELECT conv_id, l, {_CRC.format("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))")} % 4 AS h FROM o, crc
+), r AS (
+  SELECT h.conv_id, CASE WHEN h = 0 THEN h.l ELSE list_concat(coalesce(b.l[1:h], h.l[1:0]), h.l[h + 1:]) END AS l FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20
+), p AS (SELECT conv_id, d, l[1:d] AS path FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM r)),
+n AS (
+  SELECT d, path, min(conv_id) AS conv_id, count(*) AS n, CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(path[d].text, '[^ 	-]+')) END AS saved
+  FROM p GROUP BY d, path
+), c AS (SELECT path[1:d - 1] AS path, d - 1 AS d, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+a AS (SELECT a.n AS n, n.path[1:a.n] AS path, n.saved, c.n IS NULL AS leaf FROM n LEFT JOIN c ON c.d = n.d AND c.path = n.path, unnest(range(0, n.d + 1)) AS a(n)),
+s AS (SELECT n AS d, path, sum(saved) AS saved, count(*) FILTER (leaf) AS leaves FROM a GROUP BY ALL),
+e AS (SELECT len(l) AS d, l AS path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM r GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n AS n_convs, CAST(coalesce(c.n, 0) AS BIGINT) AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens,
+  sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM n JOIN s ON s.d = n.d AND s.path = n.path LEFT JOIN c ON c.d = n.d AND c.path = n.path LEFT JOIN e ON e.d = n.d AND e.path = n.path
+LEFT JOIN n u ON u.d = n.d - 1 AND u.path = n.path[1:n.d - 1]
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
@@ -217,6 +252,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_language_id": op9_language_id,
         "op10_chat_format": op10_chat_format,
+        "op11_prefix_trie": op11_prefix_trie,
     }
 
 
@@ -226,4 +262,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": OP5_SQL,
         "op6_decontaminate": OP6_SQL,
         "op10_chat_format": OP10_SQL,
+        "op11_prefix_trie": OP11_SQL,
     }
