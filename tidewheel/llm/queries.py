@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import bpe_replay, bwt_dedup, chat_format, decontaminate, html_extract, jaccard_join, language_id, prefix_trie, quality_rules, token_counts, warc
+from tidewheel.llm import bpe_replay, bwt_dedup, chat_format, decontaminate, html_extract, jaccard_join, language_id, license_scan, prefix_trie, quality_rules, spelling_variants, token_counts, warc
 from tidewheel.llm.shared import pinned
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -227,7 +227,8 @@ o AS (
   SELECT h.conv_id, CASE WHEN h = 0 THEN h.l ELSE list_concat(coalesce(b.l[1:h], h.l[1:0]), h.l[h + 1:]) END AS l FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20
 ), p AS (SELECT conv_id, d, l[1:d] AS path FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM r)),
 n AS (
-  SELECT d, path, min(conv_id) AS conv_id, count(*) AS n, CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(path[d].text, '[^ 	-]+')) END AS saved
+  SELECT d, path, min(conv_id) AS conv_id, count(*) AS n, CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(path[d].text, '[^ 	-
+]+')) END AS saved
   FROM p GROUP BY d, path
 ), c AS (SELECT path[1:d - 1] AS path, d - 1 AS d, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
 a AS (SELECT a.n AS n, n.path[1:a.n] AS path, n.saved, c.n IS NULL AS leaf FROM n LEFT JOIN c ON c.d = n.d AND c.path = n.path, unnest(range(0, n.d + 1)) AS a(n)),
@@ -240,6 +241,69 @@ LEFT JOIN n u ON u.d = n.d - 1 AND u.path = n.path[1:n.d - 1]
 """
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.labelled(license_scan.scan(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def _op12_regex(elements: list) -> str:
+    """A template as a regular expression over words that each follow a space."""
+    out = ""
+    for x in elements:
+        if isinstance(x, bytes):
+            out += " " + x.decode()
+        elif isinstance(x, list):
+            out += f"(?:{_op12_regex(x)})?"
+        elif isinstance(x[0], list):
+            out += "(?:" + "|".join(_op12_regex(w) for w in x) + ")"
+        else:
+            out += f"(?: [^ ]+){{{x[0]},{x[1]}}}"
+    return out
+
+
+_OP12_PHRASES = ", ".join(f"({[w.decode() for w in license_scan.split(p)]}, '{label}')" for p, label in license_scan.PHRASES.items())
+_OP12_TEMPLATES = ", ".join(f"('{label}', '{' '.join(w.decode() for w in license_scan.anchor(e))}', '{_op12_regex(e)} ')" for label, e in ((label, license_scan.parsed(markup)) for label, markup in license_scan.TEMPLATES))
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_ALNUM_WORDS} AS w FROM documents),
+p AS (SELECT * FROM (VALUES {_OP12_PHRASES}) v(phrase, label)),
+t AS (SELECT * FROM (VALUES {_OP12_TEMPLATES}) v(label, words, regex)),  -- mandatory words first, for speed
+b AS (SELECT rid, label, i - 1 AS i FROM (SELECT rid, w, label, phrase, unnest(range(1, len(w) - len(phrase) + 2)) AS i FROM d, p WHERE len(w) >= len(phrase)) WHERE w[i:i + len(phrase) - 1] = phrase),
+m AS (SELECT DISTINCT rid, label FROM (SELECT rid, ' ' || array_to_string(w, ' ') || ' ' AS s FROM d) x JOIN t ON contains(x.s, ' ' || t.words || ' ') WHERE regexp_matches(x.s, t.regex)),
+bl AS (SELECT rid, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM b GROUP BY rid),
+al AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS labels, count(*) AS n FROM (SELECT rid, label FROM b UNION SELECT rid, label FROM m) GROUP BY rid),
+ml AS (SELECT rid, count(*) AS n FROM m GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(bl.n, 0) AS n_base, bl.lo AS first_word, bl.hi AS last_word, coalesce(bl.labels, '') AS base_labels, coalesce(al.labels, '') AS labels,
+  CASE WHEN al.n IS NULL THEN 0.0::DOUBLE ELSE (al.n + coalesce(ml.n, 0)) / (2.0::DOUBLE * al.n) END AS score
+FROM d LEFT JOIN bl USING (rid) LEFT JOIN al USING (rid) LEFT JOIN ml USING (rid)
+"""
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.grouped(table(spark, sf_dir, "documents"), spelt=spelling_variants.slipped)
+
+
+_OP13_BYTES = "list_transform(range(0, length(hex(encode({0}))) // 2), lambda i: CAST('0x' || substr(hex(encode({0})), 2 * i + 1, 2) AS BIGINT))"
+OP13_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+), o AS (SELECT doc, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY doc, run),
+x AS (SELECT run, n, {_CRC.format(_OP13_BYTES.format("(doc || ':' || run)"))} AS h FROM o, crc),
+v AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM x)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), k AS (
+  SELECT word, word AS key FROM v UNION SELECT word, substr(word, 1, i) || substr(word, i + 2) FROM (SELECT word, unnest(range(0, length(word))) AS i FROM v)
+), p AS (SELECT DISTINCT a.word AS a, b.word AS b FROM k a JOIN k b ON a.key = b.key AND a.word <> b.word
+  WHERE CASE WHEN length(a.word) = length(b.word) THEN len(list_filter(range(1, length(a.word) + 1), lambda i: substr(a.word, i, 1) <> substr(b.word, i, 1))) = 1 ELSE a.key IN (a.word, b.word) END
+),
+f AS (SELECT a, count(*) AS n_near, min({{'m': -v.n, 'w': b}}) AS best FROM p JOIN v ON v.word = b GROUP BY a),
+w AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 10 * n THEN best.w END AS form, CASE WHEN -best.m >= 10 * n THEN -best.m END AS form_n FROM v LEFT JOIN f ON a = word),
+c AS (SELECT word, word AS at FROM w UNION ALL SELECT c.word, w.form FROM c JOIN w ON w.word = c.at WHERE w.form IS NOT NULL)
+SELECT w.word, w.n, w.form, CAST(w.form_n AS BIGINT) AS form_n, w.n_near, c.at AS root FROM w JOIN c ON c.word = w.word JOIN w e ON e.word = c.at WHERE e.form IS NULL
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
@@ -253,6 +317,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9_language_id,
         "op10_chat_format": op10_chat_format,
         "op11_prefix_trie": op11_prefix_trie,
+        "op12_license_scan": op12_license_scan,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
@@ -263,4 +329,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontaminate": OP6_SQL,
         "op10_chat_format": OP10_SQL,
         "op11_prefix_trie": OP11_SQL,
+        "op12_license_scan": OP12_SQL,
+        "op13_spelling_variants": OP13_SQL,
     }
