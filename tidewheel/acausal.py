@@ -10,7 +10,7 @@ from tidewheel.pipeline import Pipeline, Transform, operator
 
 
 @operator
-def future_join(right: Pipeline, key: Any = None, tolerance: Any = None, strict: bool = False, leftprefix: str | None = None, rightprefix: str | None = None, righttime: str | None = None, by_buckets: bool | None = None) -> Transform:
+def future_join(right: Pipeline, key: Any = None, tolerance: Any = None, strict: bool = False, leftprefix: str | None = None, rightprefix: str | None = None, righttime: str | None = None, by_buckets: bool | int | None = None) -> Transform:
     """Append the earliest right row at or after each left row (after it, with ``strict``); the first wins among equal times."""
     return nearest_join(right, True, key, tolerance, strict, leftprefix, rightprefix, righttime, by_buckets)
 

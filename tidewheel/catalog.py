@@ -124,7 +124,7 @@ def _running_sql(key: str, window: str = _W) -> str:
         first_value(event_id) OVER {over} AS event_id_first, event_id AS event_id_last, round(sum(value) OVER {over} / count(*) OVER {over} + 1e-7::DOUBLE, 4) AS value_mean FROM events WHERE {window}"""
 
 
-def _rolling(spark, d, context=WEEK, by_buckets=False):
+def _rolling(spark, d, context=WEEK, by_buckets=None):
     p = events(d) | tw.select_columns("event_id", "user_id", "value") | tw.add_rolling_columns({"h": HOUR, "d": DAY}, [tw.Count(), tw.Sum("value"), tw.Max("value")], key="user_id", by_buckets=by_buckets)
     return rounded(p.load(context).to_df().drop("value"), "h_value_sum", "d_value_sum")
 
@@ -281,8 +281,8 @@ def windowed() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "filter_rows": _filter_rows, "add_columns": _add_columns, "select_columns": _select_columns, "drop_columns": _drop_columns, "clock_day": _clock_day, "empty_frame": _empty,
         "from_dataframe": _from_dataframe, "lag_1h": _lag_1h, "lead_1h": _lead_1h, "summarize_all": _summarize_all, "summarize_keyed": _summarize_keyed, "pipeline_chain": _pipeline_chain,
-        "cycles": _cycles, "cycles_keyed": _cycles_keyed, "running_keyed": _running("user_id"), "running_keyless": _running(None), "rolling_1h_1d": _rolling, "rolling_hot_keys": partial(_rolling, by_buckets=True), "rolling_keyless": _rolling_keyless,
-        "rolling_from": _rolling_from, "asof": _joined(), "asof_keyless": _joined(key=None), "asof_strict": _joined(strict=True), "asof_tolerance": _joined(tolerance=6 * HOUR), "asof_hot_keys": _joined(by_buckets=True),
+        "cycles": _cycles, "cycles_keyed": _cycles_keyed, "running_keyed": _running("user_id"), "running_keyless": _running(None), "rolling_1h_1d": _rolling, "rolling_hot_keys": partial(_rolling, by_buckets=8), "rolling_keyless": _rolling_keyless,
+        "rolling_from": _rolling_from, "asof": _joined(), "asof_keyless": _joined(key=None), "asof_strict": _joined(strict=True), "asof_tolerance": _joined(tolerance=6 * HOUR), "asof_hot_keys": _joined(by_buckets=8),
         "asof_self_prev": _asof_self_prev, "future_join": _joined(forward=True), "future_keyless": _joined(forward=True, key=None), "future_strict": _joined(forward=True, strict=True), "future_tolerance": _joined(forward=True, tolerance=6 * HOUR),
         "interval_grid": _interval(), "interval_keyed": _interval(key="event_type"), "interval_closelast": _interval(closelast=True), "interval_keyed_closelast": _interval(key="event_type", closelast=True),
         **{f"summary_{k}": _summary(make, digits=digits) for k, (make, _, digits) in _SUMMARIES.items()},

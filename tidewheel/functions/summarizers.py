@@ -15,7 +15,12 @@ from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.internal import InternalFunction
 
+from tidewheel.plans.ranges import BUCKET, HOT, Ranges
+
+#: More factors than a product that fits a long can have, ones left out.
+FACTORS = 63
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
 _NAN = float("nan")
 
@@ -68,8 +73,9 @@ class Folds:
     def product(self, value: Column) -> Column:
         return self._apply("product", value)
 
-    def values(self, value: Column) -> Column:
-        return self._apply("list", value)
+    def largest(self, value: Column) -> Column:
+        """The ``FACTORS`` largest values, as an array."""
+        return self._apply("largest", value)
 
     def first(self, inp: Inputs, value: Column) -> Column:
         return self._apply("first", inp.only(F.struct(inp.order.alias("o"), value.alias("v"))))["v"]
@@ -83,7 +89,23 @@ def _aggregate(kind: str, value: Column) -> Column:
         return F.min_by(value, value["o"])
     if kind == "last":
         return F.max_by(value, value["o"])
-    return {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "product": F.product, "list": F.collect_list}[kind](value)
+    if kind == "largest":
+        return InternalFunction.collect_top_k(value, FACTORS, False)
+    return {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "product": F.product}[kind](value)
+
+
+def merged(kind: str, a: Column, b: Column) -> Column:
+    """The fold of rows from their folds ``a`` of the earlier and ``b`` of the later ones; null where there are none."""
+    if kind == "first":
+        return F.coalesce(a, b)
+    if kind == "last":
+        return F.coalesce(b, a)
+    if kind in ("min", "max"):
+        return F.least(a, b) if kind == "min" else F.greatest(a, b)
+    if kind == "largest":
+        none = F.array().cast("array<bigint>")
+        return F.slice(F.sort_array(F.concat(F.coalesce(a, none), F.coalesce(b, none)), asc=False), 1, FACTORS)
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a * b if kind == "product" else a + b)
 
 
 @dataclass
@@ -97,44 +119,54 @@ class FramedFolds(Folds):
 
 
 @dataclass
-class BucketedFolds(Folds):
-    """Running folds in time buckets: a local frame and a carry from all earlier buckets.
+class CarriedFolds(Folds):
+    """Folds that run over each key in the order of ``window``, within ranges that take over a carry from those before.
 
-    Expressions refer to carry columns, which ``carried`` joins to the rows.
+    Expressions refer to carry columns, which ``carried`` joins to the rows.  ``backward`` passes run from the last range.
     """
 
-    by: list[str]
-    bucket: str
-    order: list[Column]
+    ranges: Ranges
+    window: Any
+    backward: bool = False
     found: list[tuple[str, Column]] = field(default_factory=list)
 
+    def _carry(self, k: int) -> str:
+        return f"__{'behind' if self.backward else 'carry'}{k}"
+
     def _apply(self, kind: str, value: Column) -> Column:
-        k = len(self.found)
+        carry = F.col(self._carry(len(self.found)))
         self.found.append((kind, value))
-        local = _aggregate(kind, value).over(W.partitionBy(*self.by, self.bucket).orderBy(*self.order).rowsBetween(W.unboundedPreceding, 0))
-        carry = F.col(f"__carry{k}")
-        if kind in ("count", "sum"):
-            return F.when(local.isNull(), carry).when(carry.isNull(), local).otherwise(local + carry)
-        if kind == "product":
-            return F.when(local.isNull(), carry).when(carry.isNull(), local).otherwise(local * carry)
-        if kind == "list":
-            return F.concat(F.coalesce(carry, F.array()), local)
-        if kind == "first":
-            return F.coalesce(carry, local)
-        if kind == "last":
-            return F.coalesce(local, carry)
-        return F.least(local, carry) if kind == "min" else F.greatest(local, carry)
+        local = _aggregate(kind, value).over(self.window)
+        return merged(kind, local, carry) if self.backward else merged(kind, carry, local)
 
     def carried(self, df):
-        """``df`` with the folds of all earlier buckets; at most one row a bucket is broadcast."""
-        before = W.partitionBy(*self.by).orderBy(self.bucket).rowsBetween(W.unboundedPreceding, -1)
-        partial = df.groupBy(*self.by, self.bucket).agg(*[_aggregate(kind, value).alias(f"__part{k}") for k, (kind, value) in enumerate(self.found)])
-        again = lambda kind, c: F.flatten(F.collect_list(c)) if kind == "list" else _aggregate("sum" if kind == "count" else kind, c)
-        window = lambda kind, c: F.flatten(F.collect_list(c).over(before)) if kind == "list" else again(kind, c).over(before)
-        prefix = partial.select(*self.by, self.bucket, *[window(kind, F.col(f"__part{k}")).alias(f"__carry{k}") for k, (kind, _) in enumerate(self.found)])
-        if self.by:
-            return df.join(prefix, [*self.by, self.bucket], "left")
-        return df.join(F.broadcast(prefix), self.bucket, "left")
+        """``df`` with the folds of all ranges that the pass meets earlier: a row for each range of a cut key, at most."""
+        if not self.found:
+            return df
+        parts = df.filter(F.col(HOT) >= 0).groupBy(HOT, BUCKET).agg(*[_aggregate(kind, value).alias(f"__part{k}") for k, (kind, value) in enumerate(self.found)])
+        before = W.partitionBy(HOT).orderBy(F.col(BUCKET).desc() if self.backward else F.col(BUCKET)).rowsBetween(W.unboundedPreceding, -1)
+        again = lambda k, kind: self._again(kind, F.col(f"__part{k}"), before).alias(self._carry(k))
+        return df.join(parts.select(HOT, BUCKET, *[again(k, kind) for k, (kind, _) in enumerate(self.found)]), [HOT, BUCKET], "left")
+
+    @staticmethod
+    def _again(kind: str, part: Column, window: Any) -> Column:
+        """The fold of folds."""
+        if kind == "largest":  # at most FACTORS values of each range
+            return F.slice(F.sort_array(F.flatten(F.collect_list(part).over(window)), asc=False), 1, FACTORS)
+        return _aggregate("sum" if kind == "count" else kind, part).over(window)
+
+
+@dataclass
+class TwoSidedFolds(Folds):
+    """Folds of a frame that ends one block of time and begins the next: what it holds of the earlier, then of the later."""
+
+    earlier: Folds
+    later: Folds
+    is_earlier: Column
+    is_later: Column
+
+    def _apply(self, kind: str, value: Column) -> Column:
+        return merged(kind, self.earlier._apply(kind, F.when(self.is_earlier, value)), self.later._apply(kind, F.when(self.is_later, value)))
 
 
 class Summarizer:
@@ -205,7 +237,7 @@ def _summed(inp: Inputs, folds: Folds, value: Column, kind: T.DataType, *of: Col
 
 @dataclass(frozen=True)
 class Sum(_Named):
-    """Sum; ``compensated`` keeps what cancellation loses (the group's values are gathered, in order)."""
+    """Sum; ``compensated`` keeps what cancellation loses (see ``CompensatedSum``)."""
 
     x: str
     compensated: bool = False
@@ -213,19 +245,7 @@ class Sum(_Named):
 
     def build(self, inp, folds):
         kind, value = sum_type(inp.type(self.x)), _number(inp, self.x)
-        if not self.compensated:
-            return {self.outputs[0]: _summed(inp, folds, value, kind, value)}
-        listed = F.array_sort(folds.values(inp.only(F.struct(inp.order.alias("o"), value.cast("double").alias("v")))))
-        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
-
-        def step(a, item):
-            v = item["v"]
-            t = a["s"] + v
-            lost = F.when(F.abs(a["s"]) >= F.abs(v), (a["s"] - t) + v).otherwise((v - t) + a["s"])
-            return F.struct(t.alias("s"), F.when(F.isnan(lost), a["c"]).otherwise(a["c"] + lost).alias("c"))
-
-        total = F.aggregate(listed, zero, step, lambda a: a["s"] + a["c"])
-        return {self.outputs[0]: _nulled(folds.nulls(inp, value), total).cast(kind)}
+        return {self.outputs[0]: _summed(inp, folds, value, kind, value)}
 
 
 @dataclass(frozen=True)
@@ -245,7 +265,8 @@ class SumPower(Summarizer):
 
 @dataclass(frozen=True)
 class Product(_Named):
-    """Product.  Integers multiply exactly, from the factors other than 1 (at most 62 fit a long besides zeros and -1)."""
+    """Product.  Integers multiply exactly, from their largest factors: more than 62 beyond 1 overflow a long, which is
+    an error, so a group of any size keeps ``FACTORS`` of them, a count of zeros and one of signs."""
 
     x: str
     suffix = "product"
@@ -254,7 +275,7 @@ class Product(_Named):
         kind, value = sum_type(inp.type(self.x)), _number(inp, self.x)
         if isinstance(kind, T.LongType):
             size = F.abs(value)
-            factors = folds.values(inp.only(F.when(size > 1, size)))
+            factors = folds.largest(inp.only(F.when(size > 1, size)))
             whole = F.aggregate(factors, F.lit(1).cast("bigint"), lambda a, v: a * v)
             zeros, minus = folds.sum(inp.only((value == 0).cast("bigint"))), folds.sum(inp.only((value < 0).cast("bigint")))
             total = F.when(F.coalesce(zeros, F.lit(0)) > 0, F.lit(0).cast("bigint")).otherwise(whole * F.when(F.coalesce(minus, F.lit(0)) % 2 == 1, F.lit(-1)).otherwise(F.lit(1)))
@@ -452,6 +473,50 @@ class FoldSummarizer(Summarizer):
         return ()
 
 
+class CompensatedSum(FoldSummarizer):
+    """A sum that keeps the low-order parts of its additions: a state is the running sum, what its roundings lost, and counts
+    of nulls, NaNs and infinities.  States of consecutive rows are merged by an addition that loses nothing either."""
+
+    def __init__(self, x: str, kind: T.DataType):
+        self.x, self.kind = x, sum_type(kind)
+        self.fields = {f"{x}_sum": self.kind.simpleString()}
+
+    def zero(self):
+        return (0.0, 0.0, 0, 0, 0, 0)
+
+    def update(self, state, row):
+        v = getattr(row, self.x)
+        total, lost, nulls, nans, up, down = state
+        if v is None:
+            return (total, lost, nulls + 1, nans, up, down)
+        v = float(v)
+        if math.isfinite(v):
+            return (*_added(total, lost, v), nulls, nans, up, down)
+        return (total, lost, nulls, nans + (v != v), up + (v == math.inf), down + (v == -math.inf))
+
+    def merge(self, a, b):
+        total, lost = _added(a[0], a[1] + b[1], b[0])
+        return (total, lost, *[x + y for x, y in zip(a[2:], b[2:])])
+
+    def finish(self, state, values):
+        total, lost, nulls, nans, up, down = state
+        out = None if nulls else math.nan if nans or up and down else math.inf if up else -math.inf if down else total + lost
+        return {f"{self.x}_sum": out}
+
+
+def _added(total: float, lost: float, v: float) -> tuple[float, float]:
+    out = total + v
+    if math.isinf(out):
+        return out, lost
+    return out, lost + ((total - out) + v if abs(total) >= abs(v) else (v - out) + total)
+
+
+def resolved(summarizers: list[Summarizer], types: dict[str, T.DataType]) -> list[Summarizer]:
+    """With compensated sums of floats as the folds they are; sums of integers and decimals are exact as they are."""
+    floats = lambda s: isinstance(s, Sum) and s.compensated and isinstance(types.get(s.x), (T.FloatType, T.DoubleType))
+    return [CompensatedSum(s.x, types[s.x]) if floats(s) else s for s in summarizers]
+
+
 def distinct(summarizers: Summarizer | Iterable[Summarizer], keys: list[str], time: str = "time") -> list[Summarizer]:
     """The requested summarizers, once each by their outputs, with their names checked."""
     given = [summarizers] if isinstance(summarizers, Summarizer) else list(summarizers)

@@ -43,9 +43,9 @@ def intervalize(clock: Pipeline, summarizers: Any, key: Any = None, closelast: b
             ticks = ticking.df.select(TIME).distinct()
             # Each tick knows the next one; rows take it over from the last tick at or before them.
             alone = TimeFrame(ticks.select(TIME, F.lit(0).alias(SEQ)))
-            after = nearest(alone, alone, [], context, forward=True, strict=True)
+            after = nearest(alone, alone, [], forward=True, strict=True)
             known = TimeFrame(after.select(TIME, F.col(f"{RIGHT}.__time").alias("__end"), F.lit(0).alias(SEQ)))
-            placed = nearest(frame, known, [], context, forward=False, strict=False)
+            placed = nearest(frame, known, [], forward=False, strict=False)
             end = F.col(f"{RIGHT}.__end")
             stop = context.literal(context.stop)
             placed = placed.filter(F.col(f"{RIGHT}.__is"))

@@ -13,7 +13,7 @@ from tidewheel.pipeline import Pipeline, Transform, operator
 from tidewheel.plans.nearest import LEFT, LSEQ, RIGHT, nearest
 
 
-def nearest_join(right: Pipeline, forward: bool, key: Any, tolerance: Any, strict: bool, leftprefix: str | None, rightprefix: str | None, righttime: str | None, by_buckets: bool | None) -> Transform:
+def nearest_join(right: Pipeline, forward: bool, key: Any, tolerance: Any, strict: bool, leftprefix: str | None, rightprefix: str | None, righttime: str | None, by_buckets: bool | int | None) -> Transform:
     keys = key_names(key)
     if righttime is not None and (righttime == TIME or righttime in keys):
         raise ValueError(f"the right time cannot be named {righttime!r}")
@@ -35,7 +35,7 @@ def nearest_join(right: Pipeline, forward: bool, key: Any, tolerance: Any, stric
             out = [TIME, *names.values(), *([righttime] if righttime else []), *added.values()]
             if len(set(out)) < len(out):
                 raise ValueError(f"equal names on both sides: {sorted({c for c in out if out.count(c) > 1})}")
-            joined = nearest(l, r, keys, other, forward, strict, by_buckets)
+            joined = nearest(l, r, keys, forward, strict, by_buckets)
             near = F.lit(True)
             if tolerance is not None:
                 here, there = as_number(F.col(TIME), l.time_type), as_number(F.col(f"{RIGHT}.__time"), r.time_type)
@@ -53,11 +53,12 @@ def nearest_join(right: Pipeline, forward: bool, key: Any, tolerance: Any, stric
 
 
 @operator
-def asof_join(right: Pipeline, key: Any = None, tolerance: Any = None, strict: bool = False, leftprefix: str | None = None, rightprefix: str | None = None, righttime: str | None = None, by_buckets: bool | None = None) -> Transform:
+def asof_join(right: Pipeline, key: Any = None, tolerance: Any = None, strict: bool = False, leftprefix: str | None = None, rightprefix: str | None = None, righttime: str | None = None, by_buckets: bool | int | None = None) -> Transform:
     """Append the most recent right row at or before each left row (before it, with ``strict``).
 
     The last right row wins among equal times.  ``tolerance`` bounds, inclusively, how old the
     most recent row may be, and lets the right side reach back before the window.  Left rows
-    without a match stay, with nulls.  ``by_buckets`` splits hot keys by time.
+    without a match stay, with nulls.  Keys with too many rows for a task are cut into time ranges
+    (see ``plans.ranges``); ``by_buckets`` sets that number, or is true for a task's even share.
     """
     return nearest_join(right, False, key, tolerance, strict, leftprefix, rightprefix, righttime, by_buckets)

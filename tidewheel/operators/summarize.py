@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import pickle
-from collections import namedtuple
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.context import SEQ, TIME, Context
+from tidewheel.context import SEQ, TIME, Context, as_number
 from tidewheel.frame import TimeFrame
-from tidewheel.functions.summarizers import BucketedFolds, FoldSummarizer, Folds, FramedFolds, Inputs, Summarizer, build_all, distinct, expanded
+from tidewheel.functions.summarizers import CarriedFolds, FoldSummarizer, Folds, FramedFolds, Inputs, Summarizer, build_all, distinct, expanded, resolved
 from tidewheel.pipeline import Transform, mapped, operator
-from tidewheel.plans.buckets import BUCKET, bucket
+from tidewheel.plans.folding import Folding, _rows, arrow_type, fields_of, running
+from tidewheel.plans.ranges import Ranges, ranged
 
 
 def key_names(key: Any) -> list[str]:
@@ -46,9 +46,10 @@ def key_order(keys: list[str]) -> Column:
 
 def grouped(frame: TimeFrame, by: list[str], summarizers: list[Summarizer]) -> DataFrame:
     """One row for each group, columns ``by`` and all results in the order of the request."""
+    inp = inputs(frame)
+    summarizers = resolved(summarizers, inp.types)
     plain = [s for s in summarizers if not isinstance(s, FoldSummarizer)]
     folded = [s for s in summarizers if isinstance(s, FoldSummarizer)]
-    inp = inputs(frame)
     names = [n for s in summarizers for n in s.outputs]
     results = build_all(plain, inp, Folds())
     df = frame.df.groupBy(*[F.col(f"`{c}`") for c in by]) if by else frame.df
@@ -71,64 +72,66 @@ def _all_same(names: list[str]) -> Column:
     return on
 
 
+def parted(summarizers: list[Summarizer], types: dict[str, T.DataType]) -> tuple[list[FoldSummarizer], list[Summarizer]]:
+    """The Python folds among ``summarizers`` and their dependencies, in the order of these, and the others."""
+    every = resolved(expanded(list(summarizers)), types)
+    return [s for s in every if isinstance(s, FoldSummarizer)], [s for s in every if not isinstance(s, FoldSummarizer)]
+
+
 def _folded(frame: TimeFrame, by: list[str], summarizers: list[FoldSummarizer]) -> DataFrame:
     """Python folds: ordered partial states in each partition, then merged in order for each group.
 
     Rows are dealt by time, so a group of any size is folded in many tasks, and only one state of
     each task and group meets its fellows.
     """
-    every = expanded(list(summarizers))
-    folds = [s for s in every if isinstance(s, FoldSummarizer)]
-    plain = [s for s in every if not isinstance(s, FoldSummarizer)]
+    folds, plain = parted(summarizers, inputs(frame).types)
     names = frame.names
-    make = namedtuple("Row", names, rename=True)
+    folding = Folding(folds, names, {})
     kinds = [frame.df.schema[c] for c in by]
+    types = [arrow_type(f.dataType) for f in kinds]
 
-    def partial(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        states: dict[tuple, list] = {}
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[tuple, tuple] = {}
         part = None
         for batch in batches:
-            keys = list(zip(*[batch[c] for c in by])) if by else [()] * len(batch)
-            for key, p, row in zip(keys, batch["__part"], batch[names].itertuples(index=False, name=None)):
-                key, part = tuple(None if x is pd.NA or x is None or x != x else x for x in key), p
+            part = batch.column(batch.schema.get_field_index("__part"))[0].as_py() if batch.num_rows else part
+            plain_keys = zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in by]) if by else [()] * batch.num_rows
+            for given, (key, values) in zip(plain_keys, _rows(batch, by, names)):
                 own = states.get(key)
-                if own is None:
-                    own = states[key] = [s.zero() for s in folds]
-                row = make(*row)
-                for k, s in enumerate(folds):
-                    own[k] = s.update(own[k], row)
+                states[key] = (own[0] if own else given, folding.update(own[1] if own else folding.zero(), values))
         if states:
-            yield pd.DataFrame([(*key, part, pickle.dumps(own)) for key, own in states.items()], columns=[*by, "__part", "__state"])
+            columns = list(zip(*[given for given, _ in states.values()])) if by else []
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(c, t) for c, t in zip(columns, types)], pa.array([part] * len(states), pa.int32()), pa.array([pickle.dumps(own) for _, own in states.values()], pa.binary())], [*by, "__part", "__state"]
+            )
 
     hidden = build_all(plain, inputs(frame), Folds())
     hidden_names, wanted = list(hidden), [n for s in summarizers for n in s.outputs]
-    result = T.StructType([*kinds, *[f for s in summarizers for f in T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in s.fields.items())).fields]])
+    result = T.StructType([*kinds, *fields_of(summarizers)])
 
     result_names = result.fieldNames()
+    result_types = [arrow_type(f.dataType) for f in result.fields[len(by) :]]
 
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merged(own: pa.Table) -> pa.Table:
         states = None
-        for blob in pdf.sort_values("__part")["__state"]:
-            own = pickle.loads(blob)
-            states = own if states is None else [s.merge(a, b) for s, a, b in zip(folds, states, own)]
-        states = states or [s.zero() for s in folds]
-        values = {n: pdf[f"__dep_{n}"].iloc[0] if len(pdf) else None for n in hidden_names}
-        for s, state in zip(folds, states):
-            values |= s.finish(state, values)
-        first = {c: pdf[c].iloc[0] for c in by}
-        return pd.DataFrame([{**first, **{n: values[n] for n in wanted}}], columns=result_names)
+        for _, blob in sorted(zip(own.column("__part").to_pylist(), own.column("__state").to_pylist()), key=lambda x: x[0] or 0):
+            if blob is not None:  # else there are no rows, only what folds depend on
+                one = pickle.loads(blob)
+                states = one if states is None else folding.merge(states, one)
+        values = folding.finish(states or folding.zero(), {n: own.column(f"__dep_{n}")[0].as_py() if len(own) else None for n in hidden_names})
+        return pa.table([*[own.column(c).slice(0, 1) for c in by], *[pa.array([values[n]], t) for n, t in zip(wanted, result_types)]], result_names)
 
     rows = frame.df.repartitionByRange(TIME).sortWithinPartitions(TIME, SEQ)
     chosen = rows.select(*[F.col(f"`{c}`") for c in names], F.spark_partition_id().alias("__part"))
-    states = chosen.mapInPandas(partial, T.StructType([*kinds, T.StructField("__part", T.IntegerType()), T.StructField("__state", T.BinaryType())]))
+    states = chosen.mapInArrow(partial, T.StructType([*kinds, T.StructField("__part", T.IntegerType()), T.StructField("__state", T.BinaryType())]))
     if hidden:
         deps = (frame.df.groupBy(*[F.col(f"`{c}`") for c in by]) if by else frame.df).agg(*[c.alias(f"__dep_{n}") for n, c in hidden.items()])
         states = states.alias("g").join(deps.alias("e"), _all_same(by)).select(*[F.col(f"g.`{c}`") for c in states.columns], *[F.col(f"e.`__dep_{n}`") for n in hidden]) if by else states.join(F.broadcast(deps), F.lit(True), "right")
     if by:
-        return states.groupBy(*[F.col(f"`{c}`") for c in by]).applyInPandas(merged, result)
+        return states.groupBy(*[F.col(f"`{c}`") for c in by]).applyInArrow(merged, result)
     # Without keys there is one state for each task; an empty input gives the empty state.
     filler = states.sparkSession.range(1).select(F.lit(0).alias("__one"))
-    return filler.groupBy("__one").cogroup(states.withColumn("__one", F.lit(0)).groupBy("__one")).applyInPandas(lambda _, own: merged(own[own["__state"].notna()]), result)
+    return filler.groupBy("__one").cogroup(states.withColumn("__one", F.lit(0)).groupBy("__one")).applyInArrow(lambda _, own: merged(own), result)
 
 
 @operator
@@ -158,10 +161,12 @@ def summarize_cycles(summarizers: Any, key: Any = None) -> Transform:
 
 
 @operator
-def add_summary_columns(summarizers: Any, key: Any = None, by_buckets: bool | None = None) -> Transform:
+def add_summary_columns(summarizers: Any, key: Any = None, by_buckets: bool | int | None = None) -> Transform:
     """Append the running summary after each row, for each key.
 
-    Without keys (or with ``by_buckets``, for hot keys) the pass runs in time buckets with a carry.
+    Keys with too many rows for a task, and rows without keys, are cut into time ranges that take over a carry (see
+    ``plans.ranges``); ``by_buckets`` sets that number, or is true for a task's even share.  Python folds always run in
+    ranges of keys and rows, whatever the keys are.
     """
     keys = key_names(key)
 
@@ -171,48 +176,21 @@ def add_summary_columns(summarizers: Any, key: Any = None, by_buckets: bool | No
         clash = [n for s in own for n in s.outputs if n in frame.names]
         if clash:
             raise ValueError(f"columns {clash} exist already")
+        inp = inputs(frame)
+        own = resolved(own, inp.types)
+        folds, below = parted([s for s in own if isinstance(s, FoldSummarizer)], inp.types)
         plain = [s for s in own if not isinstance(s, FoldSummarizer)]
-        folded = [s for s in own if isinstance(s, FoldSummarizer)]
         names = [F.col(f"`{c}`") for c in frame.names]
-        buckets = not keys if by_buckets is None else by_buckets
-        df = frame.df
-        if folded:
-            df = _running_folds(frame, keys, folded)
-        if buckets:
-            df = df.withColumn(BUCKET, bucket(F.col(TIME), frame.time_type, context))
-            folds = BucketedFolds(keys, BUCKET, [F.col(TIME), F.col(SEQ)])
-            results = build_all(plain, inputs(frame), folds)
-            df = folds.carried(df) if folds.found else df
-        else:
-            window = W.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(TIME, SEQ).rowsBetween(W.unboundedPreceding, 0)
-            results = build_all(plain, inputs(frame), FramedFolds(window))
-        made = [results[n].alias(n) if n in results else F.col(f"`{n}`") for s in own for n in s.outputs]
-        return frame.with_df(df.select(*names, *made, SEQ))
+        dealt = ranged(frame.df, keys, as_number(F.col(TIME), frame.time_type), by_buckets) if plain or below else Ranges(frame.df, keys)
+        window = W.partitionBy(*[F.col(f"`{k}`") for k in dealt.by]).orderBy(TIME, SEQ).rowsBetween(W.unboundedPreceding, 0)
+        engine = FramedFolds(window) if dealt.cut is None else CarriedFolds(dealt, window)
+        results = build_all(plain, inp, engine)
+        hidden = {n: c for n, c in build_all(below, inp, engine).items()}
+        df = dealt.df if dealt.cut is None else engine.carried(dealt.df)
+        df = df.select(*names, *[c.alias(n) for n, c in results.items()], *[c.alias(f"__dep_{n}") for n, c in hidden.items()], SEQ)
+        if folds:
+            wanted = fields_of([s for s in own if isinstance(s, FoldSummarizer)])
+            df = running(df, keys, [TIME, SEQ], frame.names, Folding(folds, frame.names, {n: f"__dep_{n}" for n in hidden}), wanted)
+        return frame.with_df(df.select(*names, *[F.col(f"`{n}`") for s in own for n in s.outputs], SEQ))
 
     return mapped(change)
-
-
-def _running_folds(frame: TimeFrame, keys: list[str], summarizers: list[FoldSummarizer]) -> DataFrame:
-    """Python folds after each row; a key's rows pass through one task in batches, in order."""
-    if any(list(s.dependencies()) for s in summarizers):
-        raise ValueError("running Python summarizers cannot have dependencies")
-    names = frame.names
-    make = namedtuple("Row", names, rename=True)
-    added = T.StructType.fromDDL(", ".join(f"`{n}` {t}" for s in summarizers for n, t in s.fields.items()))
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        key, states = None, None
-        for batch in batches:
-            rows = []
-            for own, row in zip(zip(*[batch[k] for k in keys]) if keys else [()] * len(batch), batch[names].itertuples(index=False, name=None)):
-                if states is None or own != key:
-                    key, states = own, [s.zero() for s in summarizers]
-                row, values = make(*row), {}
-                for k, s in enumerate(summarizers):
-                    states[k] = s.update(states[k], row)
-                    values |= s.finish(states[k], values)
-                rows.append(values)
-            yield batch.assign(**{n: [r[n] for r in rows] for n in added.fieldNames()})
-
-    dealt = frame.df.repartition(*[F.col(f"`{k}`") for k in keys]) if keys else frame.df.coalesce(1)
-    return dealt.sortWithinPartitions(*[F.col(f"`{k}`") for k in keys], TIME, SEQ).mapInPandas(run, T.StructType([*frame.df.schema.fields, *added.fields]))

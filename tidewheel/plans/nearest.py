@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewheel.context import SEQ, TIME, Context
+from tidewheel.context import SEQ, TIME, as_number
 from tidewheel.frame import TimeFrame
-from tidewheel.plans.buckets import BUCKET, bucket
+from tidewheel.plans.ranges import BUCKET, HOT, Ranges, grid, ranged
 
 SIDE, LEFT, RIGHT, LSEQ, RSEQ = "__side", "__left", "__right", "__lseq", "__rseq"
+_CARRIED = "__carried"
 
 
 def _packed(frame: TimeFrame, keys: list[str], names: list[str]) -> Column:
@@ -29,39 +30,31 @@ def tagged(left: TimeFrame, right: TimeFrame, keys: list[str], right_first: bool
     return l.unionByName(r, allowMissingColumns=True)
 
 
-def nearest(left: TimeFrame, right: TimeFrame, keys: list[str], context: Context, forward: bool, strict: bool, by_buckets: bool | None = None) -> DataFrame:
+def nearest(left: TimeFrame, right: TimeFrame, keys: list[str], forward: bool, strict: bool, rows: int | bool | None = None) -> DataFrame:
     """Left rows (time, keys, __left, __lseq) with ``__right``: the nearest right row or null.
 
-    Backward: the last right row at or before the time (before it, if strict), in stream order.
-    Forward: the first at or after it.  Without keys, or with ``by_buckets``, the pass runs in time
-    buckets, and each bucket takes over the nearest right row of the buckets before (or behind) it.
+    Backward: the last right row at or before the time (before it, if strict), in stream order.  Forward: the
+    first at or after it, which is the last one met when time runs backward; so either pass only ever keeps
+    one row.  Keys with more rows than a task should sort are cut into time ranges (``plans.ranges``; both
+    sides are evaluated once), and the nearest right row beyond a range comes in as its first row.
     """
     both = tagged(left, right, keys, right_first=forward == strict)
-    order = [F.col(TIME), F.col(SIDE), F.col(LSEQ), F.col(RSEQ)]
-    buckets = not keys if by_buckets is None else by_buckets
-    by = [*keys]
-    if buckets:
-        both = both.withColumn(BUCKET, bucket(F.col(TIME), left.time_type, context))
-        by.append(BUCKET)
-    window = W.partitionBy(*by).orderBy(*order)
-    pick, frame = (F.first, (0, W.unboundedFollowing)) if forward else (F.last, (W.unboundedPreceding, 0))
-    found = both.withColumn(RIGHT, pick(RIGHT, ignorenulls=True).over(window.rowsBetween(*frame))).filter(F.col(f"{LEFT}.__is"))
-    if not buckets:
-        return found
-    edge, at = (F.min_by, (1, W.unboundedFollowing)) if forward else (F.max_by, (W.unboundedPreceding, -1))
-    ends = both.filter(F.col(f"{RIGHT}.__is")).groupBy(*by).agg(edge(RIGHT, F.struct(TIME, RSEQ)).alias("__edge"))
-    # Buckets without right rows take part too, so that left rows there find a carry.
-    grid = both.select(*by).distinct().join(ends, by, "left") if not keys else both.groupBy(*by).agg(F.lit(1).alias("__one")).drop("__one").alias("g").join(ends.alias("e"), _same(by), "left").select(*[F.col(f"g.{c}") for c in by], "__edge")
-    carry = grid.select(*by, pick("__edge", ignorenulls=True).over(W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(*at)).alias("__carry"))
-    if keys:
-        joined = found.alias("g").join(carry.alias("e"), _same(by), "left").select(*[F.col(f"g.{c}") for c in found.columns], "__carry")
-    else:
-        joined = found.join(F.broadcast(carry), BUCKET, "left")  # at most one row for each bucket
-    return joined.withColumn(RIGHT, F.coalesce(RIGHT, "__carry")).drop("__carry")
-
-
-def _same(names: list[str]) -> Column:
-    on = F.lit(True)
-    for n in names:
-        on = on & F.col(f"g.{n}").eqNullSafe(F.col(f"e.{n}"))
-    return on
+    dealt = ranged(both, keys, as_number(F.col(TIME), left.time_type), rows)
+    turned = (lambda c: F.col(c).desc()) if forward else F.col
+    order = [turned(c) for c in (TIME, SIDE, LSEQ, RSEQ)]
+    df = dealt.df
+    if dealt.cut is not None:
+        order.insert(0, F.col(_CARRIED).desc())
+        df = df.withColumn(_CARRIED, F.lit(False)).unionByName(_carried(dealt, keys, forward).withColumn(_CARRIED, F.lit(True)), allowMissingColumns=True)
+    window = W.partitionBy(*[F.col(f"`{k}`") for k in dealt.by]).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    found = df.withColumn(RIGHT, F.last(RIGHT, ignorenulls=True).over(window)).filter(F.col(f"{LEFT}.__is"))
+    return found.drop(HOT, BUCKET, _CARRIED)
+
+
+def _carried(dealt: Ranges, keys: list[str], forward: bool) -> DataFrame:
+    """A right row for each range of cut keys: the last of the ranges before it, or the first of those behind it."""
+    edge, order = (F.min_by, F.col(BUCKET).desc()) if forward else (F.max_by, F.col(BUCKET))
+    ends = dealt.df.filter((F.col(HOT) >= 0) & F.col(f"{RIGHT}.__is")).groupBy(HOT, BUCKET).agg(edge(RIGHT, F.struct(TIME, RSEQ)).alias("__edge"))
+    beyond = W.partitionBy(HOT).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    every = grid(dealt, keys).join(ends, [HOT, BUCKET], "left")
+    return every.withColumn(RIGHT, F.last("__edge", ignorenulls=True).over(beyond)).drop("__edge")
