@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import tidewheel as tw
 from tidewheel import acausal
+from tidewheel.plans.durable import shared_dir
 
 DAY, HOUR = dt.timedelta(days=1), dt.timedelta(hours=1)
 WEEK = tw.Context(dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 12))
@@ -64,16 +65,31 @@ def _drop_columns(spark, d, context=WEEK):
     return (events(d) | tw.drop_columns("props", lambda n: n.startswith("event_t"))).load(context).to_df()
 
 
-def _clock_day(spark, d, context=MONTH):
+def ticks(spark, d, context=MONTH):
+    """The ticks alone, for tests."""
     return tw.clock(DAY).load(context).to_df()
 
 
-def _clock_float(spark, d):
-    return tw.clock(0.25).load(tw.Context(0.0, 100_000.0)).to_df()
+def float_ticks(spark, d, context=tw.Context(0.0, 100_000.0)):
+    return tw.clock(0.25).load(context).to_df()
+
+
+def nothing(spark, d, context=MONTH):
+    return tw.empty_frame().load(context).to_df()
+
+
+def _clock_day(spark, d, context=MONTH):
+    return (tw.clock(DAY) | tw.asof_join(events(d) | tw.select_columns("event_id"), righttime="seen")).load(context).to_df()
+
+
+def _clock_float(spark, d, context=tw.Context(0.0, 200_000.0)):
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_extendedprice", "l_quantity")
+    return rounded((tw.from_dataframe(lines, time="l_extendedprice") | tw.intervalize(tw.clock(1000.0), [tw.Count(), tw.Sum("l_quantity")])).load(context).to_df(), "l_quantity_sum")
 
 
-def _empty(spark, d):
-    return tw.empty_frame().load(MONTH).to_df()
+def _empty(spark, d, context=WEEK):
+    p = events(d) | tw.select_columns("event_id") | tw.add_rolling_columns(("d", DAY), tw.Count(), from_=tw.empty_frame())
+    return p.load(context).to_df()
 
 
 def _from_dataframe(spark, d, context=tw.Context(dt.datetime(1995, 1, 1), dt.datetime(1996, 1, 1))):
@@ -129,6 +145,39 @@ def _rolling(spark, d, context=WEEK, by_buckets=None):
     return rounded(p.load(context).to_df().drop("value"), "h_value_sum", "d_value_sum")
 
 
+def _rolling_wide(spark, d, context=WEEK):
+    p = events(d) | tw.select_columns("event_id", "value") | tw.add_rolling_columns(("w", 15 * DAY), [tw.Count(), tw.Sum("value"), tw.Max("value"), tw.First("event_id")])
+    return rounded(p.load(context).to_df().drop("value"), "w_value_sum")
+
+
+def _rolling_months(spark, d, context=SHIPPED):
+    p = lineitem(d) | tw.select_columns("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity") | tw.add_rolling_columns(("m", tw.months(2)), [tw.Count(), tw.Max("l_quantity")], key="l_returnflag")
+    return p.load(context).to_df().drop("l_quantity")
+
+
+def _rolling_custom(spark, d, context=WEEK):
+    p = events(d) | tw.select_columns("event_id", "user_id", "value") | tw.add_rolling_columns(("d", DAY), [tw.Count(), _Spread("value")], key="user_id")
+    return p.load(context).to_df().drop("value")
+
+
+def _running_custom(spark, d, context=WEEK):
+    p = events(d) | tw.select_columns("event_id", "event_type", "value") | tw.add_summary_columns([tw.Count(), _Spread("value")], key="event_type")
+    return p.load(context).to_df().drop("value")
+
+
+def _interval_months(spark, d, context=SHIPPED):
+    return rounded((lineitem(d) | tw.intervalize(tw.clock(tw.months(1)), [tw.Count(), tw.Sum("l_quantity")])).load(context).to_df(), "l_quantity_sum")
+
+
+def _interval_custom(spark, d, context=INTERVALS):
+    return (events(d) | tw.intervalize(tw.clock(DAY), [tw.Count(), _Spread("value")])).load(context).to_df()
+
+
+def _lag_month(spark, d, context=WEEK):
+    context = tw.Context(tw.context.add(context.start, tw.months(1)), tw.context.add(context.stop, tw.months(1)))
+    return (events(d) | tw.select_columns("event_id") | tw.lag(tw.months(1))).load(context).to_df()
+
+
 def _rolling_keyless(spark, d, context=WEEK):
     p = events(d) | tw.select_columns("event_id", "value") | tw.add_rolling_columns(("h", HOUR), [tw.Count(), tw.Sum("value"), tw.Min("value"), tw.Last("event_id")])
     return rounded(p.load(context).to_df().drop("value"), "h_value_sum")
@@ -203,6 +252,7 @@ _SUMMARIES: dict[str, tuple[Callable[[], tw.Summarizer], str, int | None]] = {
     "std": (lambda: tw.Std("l_quantity"), f"sqrt(greatest({_VAR('l_quantity')}, 0))", 4),
     "covariance": (lambda: tw.Covariance("l_quantity", "l_extendedprice"), f"{_MOMENT('l_quantity', 'l_extendedprice')} / ({_N} - 1)", 1),
     "correlation": (lambda: tw.Correlation("l_quantity", "l_extendedprice"), f"{_MOMENT('l_quantity', 'l_extendedprice')} / ({_N} - 1) / (sqrt({_VAR('l_quantity')}) * sqrt({_VAR('l_extendedprice')}))", 6),
+    "compensated": (lambda: tw.Sum("l_discount", compensated=True), "sum(l_discount)", 4),
     "min": (lambda: tw.Min("l_extendedprice"), "min(l_extendedprice)", None),
     "max": (lambda: tw.Max("l_extendedprice"), "max(l_extendedprice)", None),
 }
@@ -248,11 +298,10 @@ def _custom(spark, d, context=WEEK):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or the warehouse."""
+    """A new folder that driver and executors share."""
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _parquet_roundtrip(spark, d, context=WEEK):
@@ -279,13 +328,14 @@ def _stream_slices(spark, d, context=WEEK):
 def windowed() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries over a part of their tables, whose edges shifts, tolerances and look-backs cross; for tests."""
     return {
-        "filter_rows": _filter_rows, "add_columns": _add_columns, "select_columns": _select_columns, "drop_columns": _drop_columns, "clock_day": _clock_day, "empty_frame": _empty,
+        "filter_rows": _filter_rows, "add_columns": _add_columns, "select_columns": _select_columns, "drop_columns": _drop_columns, "clock_day": _clock_day, "clock_float": _clock_float, "empty_frame": _empty,
         "from_dataframe": _from_dataframe, "lag_1h": _lag_1h, "lead_1h": _lead_1h, "summarize_all": _summarize_all, "summarize_keyed": _summarize_keyed, "pipeline_chain": _pipeline_chain,
         "cycles": _cycles, "cycles_keyed": _cycles_keyed, "running_keyed": _running("user_id"), "running_keyless": _running(None), "rolling_1h_1d": _rolling, "rolling_hot_keys": partial(_rolling, by_buckets=8), "rolling_keyless": _rolling_keyless,
         "rolling_from": _rolling_from, "asof": _joined(), "asof_keyless": _joined(key=None), "asof_strict": _joined(strict=True), "asof_tolerance": _joined(tolerance=6 * HOUR), "asof_hot_keys": _joined(by_buckets=8),
         "asof_self_prev": _asof_self_prev, "future_join": _joined(forward=True), "future_keyless": _joined(forward=True, key=None), "future_strict": _joined(forward=True, strict=True), "future_tolerance": _joined(forward=True, tolerance=6 * HOUR),
         "interval_grid": _interval(), "interval_keyed": _interval(key="event_type"), "interval_closelast": _interval(closelast=True), "interval_keyed_closelast": _interval(key="event_type", closelast=True),
         **{f"summary_{k}": _summary(make, digits=digits) for k, (make, _, digits) in _SUMMARIES.items()},
+        "rolling_wide": _rolling_wide, "rolling_months": _rolling_months, "rolling_custom": _rolling_custom, "running_custom": _running_custom, "interval_months": _interval_months, "interval_custom": _interval_custom, "lag_month": _lag_month,
         "summary_product": _product, "summary_first_last": _first_last, "custom_summarizer": _custom, "parquet_roundtrip": _parquet_roundtrip, "csv_roundtrip": _csv_roundtrip, "stream_slices": _stream_slices,
     }
 
@@ -293,14 +343,16 @@ def windowed() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query over the whole of its tables."""
     own = windowed() | {"summary_product": _product_whole}
-    whole = {n: partial(own[n], context=_whole_context(n)) for n in _whole_sql() if n != "summary_product"}
-    return own | whole | {"clock_1900": partial(_clock_day, context=YEAR_1900), "clock_2040": partial(_clock_day, context=YEAR_2040), "clock_float": _clock_float}
+    whole = {n: partial(own[n], context=_whole_context(n)) for n in _whole_sql() if n not in ("summary_product", "clock_day", "clock_float")}
+    return own | whole
 
 
 def _whole_context(name: str) -> tw.Context:
+    if name == "interval_months":
+        return SHIPPED_WHOLE
     if name.startswith("interval_"):
         return INTERVALS_WHOLE
-    events_only = not name.startswith(("cycles", "summary_")) and name != "from_dataframe" or name == "summary_first_last"
+    events_only = not name.startswith(("cycles", "summary_")) and name not in ("from_dataframe", "rolling_months") or name == "summary_first_last"
     return EVENTS_WHOLE if events_only else SHIPPED_WHOLE
 
 
@@ -313,6 +365,7 @@ def _whole_sql() -> dict[str, str]:
     out = {
         "filter_rows": "SELECT ts AS time, * EXCLUDE (ts) FROM events WHERE event_type = 'purchase' AND value > 20",
         "add_columns": "SELECT ts AS time, event_id, value * 2 AS double_value, event_type = 'click' AS is_click FROM events",
+        "empty_frame": "SELECT ts AS time, event_id, CAST(0 AS BIGINT) AS d_count FROM events",
         "select_columns": "SELECT ts AS time, event_id, user_id, event_type FROM events",
         "drop_columns": "SELECT ts AS time, event_id, user_id, value FROM events",
         "from_dataframe": "SELECT o_orderkey, o_orderdate AS time FROM orders",
@@ -337,16 +390,38 @@ def _whole_sql() -> dict[str, str]:
         "parquet_roundtrip": "SELECT ts AS time, event_id, value FROM events", "csv_roundtrip": "SELECT ts AS time, event_id, value FROM events", "stream_slices": "SELECT ts AS time, event_id FROM events",
     }
     out["rolling_hot_keys"] = out["rolling_1h_1d"]
+    out |= _more_sql("true", "true", "true", "true", "2024-01-02", "1994-12-31", "2002-01-01")
     for name, (make, expression, digits) in _SUMMARIES.items():
         value = expression if digits is None else f"round({expression}, {digits})"
         out[f"summary_{name}"] = f"SELECT {shipped}, l_returnflag, {value} AS {make().outputs[0]} FROM lineitem GROUP BY l_returnflag"
     return out
 
 
-def oracle_sql() -> dict[str, str]:
+def _more_sql(e: str, month: str, s: str, since: str, first: str, start: str, stop: str) -> dict[str, str]:
+    """``e`` and ``s`` bound the rows of events and lineitem, ``since`` those of events a day before (and 15) and ``month`` lineitem's two months before."""
+    frame = lambda key, span: f"(PARTITION BY {key} ORDER BY ts RANGE BETWEEN INTERVAL {span} PRECEDING AND CURRENT ROW)"
+    ticks = f"RECURSIVE b AS (SELECT TIMESTAMP '{start}' AS b UNION ALL SELECT b + INTERVAL 1 MONTH FROM b WHERE b + INTERVAL 1 MONTH < TIMESTAMP '{stop}'), i AS (SELECT b, lead(b) OVER (ORDER BY b) AS e FROM b)"
+    days = f"SELECT CAST(range AS TIMESTAMP) AS b FROM range(TIMESTAMP '{first}', TIMESTAMP '2024-02-03 00:00:01', INTERVAL 1 DAY)"
+    return {
+        "clock_day": f"SELECT c.range AS time, e.ts AS seen, e.event_id FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01', INTERVAL 1 DAY) c ASOF LEFT JOIN (SELECT ts, event_id FROM events WHERE {_M}) e ON c.range >= e.ts",
+        "clock_float": "SELECT CAST((k.range + 1) * 1000 AS DOUBLE) AS time, count(l_quantity) AS count, round(coalesce(sum(l_quantity), 0.0), 4) AS l_quantity_sum FROM range(199) k LEFT JOIN lineitem ON l_extendedprice >= k.range * 1000 AND l_extendedprice < (k.range + 1) * 1000 GROUP BY k.range",
+        "rolling_wide": f"SELECT ts AS time, event_id, w_count, round(v, 4) AS w_value_sum, w_value_max, w_event_id_first FROM (SELECT ts, event_id, count(*) OVER o AS w_count, sum(value) OVER o AS v, max(value) OVER o AS w_value_max, first_value(event_id) OVER o AS w_event_id_first FROM events WHERE {since.format(15)} WINDOW o AS {frame('1', '15 DAY')}) WHERE {e}",
+        "rolling_months": f"SELECT * FROM (SELECT l_shipdate AS time, l_orderkey, l_linenumber, l_returnflag, count(*) OVER o AS m_count, max(l_quantity) OVER o AS m_l_quantity_max FROM lineitem WHERE {month} WINDOW o AS (PARTITION BY l_returnflag ORDER BY l_shipdate RANGE BETWEEN INTERVAL 2 MONTH PRECEDING AND CURRENT ROW)) WHERE {s.replace('l_shipdate', 'time')}",
+        "rolling_custom": f"SELECT ts AS time, event_id, user_id, d_count, d_value_low, d_value_high FROM (SELECT *, count(*) OVER o AS d_count, min(value) OVER o AS d_value_low, max(value) OVER o AS d_value_high FROM events WHERE {since.format(1)} WINDOW o AS {frame('user_id', '1 DAY')}) WHERE {e}",
+        "running_custom": f"SELECT ts AS time, event_id, event_type, count(*) OVER o AS count, min(value) OVER o AS value_low, max(value) OVER o AS value_high FROM events WHERE {e} WINDOW o AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
+        "interval_months": f"WITH {ticks} SELECT i.e AS time, count(l_shipdate) AS count, round(coalesce(sum(l_quantity), 0.0), 4) AS l_quantity_sum FROM i LEFT JOIN lineitem ON l_shipdate >= i.b AND i.e > l_shipdate WHERE i.e IS NOT NULL GROUP BY i.e",
+        "interval_custom": f"SELECT d.b AS time, count(ts) AS count, min(value) AS value_low, max(value) AS value_high FROM ({days}) d LEFT JOIN events ON ts >= d.b - INTERVAL 1 DAY AND ts < d.b GROUP BY d.b",
+        "lag_month": f"SELECT ts + INTERVAL 1 MONTH AS time, event_id FROM events WHERE {e}",
+    }
+
+
+def ticks_sql() -> dict[str, str]:
     days = "SELECT CAST(range AS TIMESTAMP) AS time FROM range(TIMESTAMP '{0}-01-01', TIMESTAMP '{1}-01-01', INTERVAL 1 DAY)"
-    clocks = {"clock_1900": days.format(1899, 1901), "clock_2040": days.format(2037, 2041), "clock_float": "SELECT CAST(range / 4.0 AS DOUBLE) AS time FROM range(400000)"}
-    return windowed_sql() | _whole_sql() | clocks
+    return {"clock_1900": days.format(1899, 1901), "clock_2040": days.format(2037, 2041), "clock_float": "SELECT CAST(range / 4.0 AS DOUBLE) AS time FROM range(400000)", "empty_frame": "SELECT ts AS time FROM events WHERE false"}
+
+
+def oracle_sql() -> dict[str, str]:
+    return windowed_sql() | _whole_sql()
 
 
 def windowed_sql() -> dict[str, str]:
@@ -356,8 +431,7 @@ def windowed_sql() -> dict[str, str]:
         "add_columns": f"SELECT ts AS time, event_id, value * 2 AS double_value, event_type = 'click' AS is_click FROM events WHERE {_W}",
         "select_columns": f"SELECT ts AS time, event_id, user_id, event_type FROM events WHERE {_W}",
         "drop_columns": f"SELECT ts AS time, event_id, user_id, value FROM events WHERE {_W}",
-        "clock_day": "SELECT CAST(range AS TIMESTAMP) AS time FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01', INTERVAL 1 DAY)",
-        "empty_frame": "SELECT ts AS time FROM events WHERE false",
+        "empty_frame": f"SELECT ts AS time, event_id, CAST(0 AS BIGINT) AS d_count FROM events WHERE {_W}",
         "from_dataframe": "SELECT o_orderkey, o_orderdate AS time FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'",
         "lag_1h": "SELECT ts + INTERVAL 1 HOUR AS time, event_id FROM events WHERE ts >= TIMESTAMP '2024-01-04 23:00:00' AND ts < TIMESTAMP '2024-01-11 23:00:00'",
         "lead_1h": "SELECT ts - INTERVAL 1 HOUR AS time, event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05 01:00:00' AND ts < TIMESTAMP '2024-01-12 01:00:00'",
@@ -385,6 +459,7 @@ def windowed_sql() -> dict[str, str]:
         "stream_slices": f"SELECT ts AS time, event_id FROM events WHERE {_W}",
     }
     out["rolling_hot_keys"] = out["rolling_1h_1d"]
+    out |= _more_sql(_W, "l_shipdate >= TIMESTAMP '1991-11-01' AND l_shipdate < TIMESTAMP '1999-01-01'", _S, "ts >= TIMESTAMP '2024-01-05' - INTERVAL {} DAY AND ts < TIMESTAMP '2024-01-12'", "2024-01-06", "1992-01-01", "1999-01-01")
     for name, (make, expression, digits) in _SUMMARIES.items():
         column = make().outputs[0]
         value = expression if digits is None else f"round({expression}, {digits})"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar
 import datetime as dt
 from dataclasses import dataclass
 from typing import Any
@@ -17,6 +18,24 @@ _DAY = 86_400_000_000
 _MICROSECOND = dt.timedelta(microseconds=1)
 
 
+@dataclass(frozen=True, order=True)
+class Months:
+    """An offset of calendar months, whose length depends on the time it is added to; a day that a month lacks becomes its last."""
+
+    count: int
+
+    def __neg__(self) -> Months:
+        return Months(-self.count)
+
+
+def months(count: int) -> Months:
+    return Months(count)
+
+
+def years(count: int) -> Months:
+    return Months(12 * count)
+
+
 @dataclass(frozen=True)
 class Context:
     """The window [start, stop] that a pipeline is evaluated over; sources fill [start, stop)."""
@@ -74,6 +93,11 @@ def literal(value: Any, kind: T.DataType) -> Column:
 
 
 def add(value: Any, offset: Any) -> Any:
+    if isinstance(offset, Months):
+        if not isinstance(value, dt.date):
+            raise TypeError(f"months need dates or timestamps, not {value!r}")
+        year, month = divmod(value.year * 12 + value.month - 1 + offset.count, 12)
+        return value.replace(year=year, month=month + 1, day=min(value.day, calendar.monthrange(year, month + 1)[1]))
     if _is_date(value) and isinstance(offset, int):
         return value + dt.timedelta(days=offset)
     return value + offset
@@ -89,13 +113,17 @@ def not_negative(offset: Any, what: str) -> None:
 
 
 def plus(column: Column, offset: Any) -> Column:
-    """``column + offset`` on the executors; offsets are numbers or timedeltas."""
+    """``column + offset`` on the executors; offsets are numbers, timedeltas or months."""
+    if isinstance(offset, Months):
+        return column + F.make_ym_interval(F.lit(0), F.lit(offset.count))
     if isinstance(offset, dt.timedelta):
         return column + F.make_dt_interval(F.lit(offset.days), F.lit(0), F.lit(0), F.lit(offset.seconds + offset.microseconds / 1e6).cast("decimal(18,6)"))
     return column + F.lit(offset)
 
 
 def shift_time(column: Column, offset: Any, kind: T.DataType) -> Column:
+    if isinstance(kind, T.DateType) and isinstance(offset, Months):
+        return F.add_months(column, offset.count)
     if isinstance(kind, T.DateType):
         return F.date_add(column, offset.days if isinstance(offset, dt.timedelta) else offset)
     return plus(column, offset).cast(kind)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidewheel.context import SEQ, TIME, Context, as_number, as_time, offset_number, value_number
 from tidewheel.frame import TimeFrame
-from tidewheel.functions.summarizers import FoldSummarizer, Folds, Inputs, build_all, distinct
+from tidewheel.functions.summarizers import distinct
 from tidewheel.operators.summarize import check_keys, grouped, key_names, key_order
 from tidewheel.pipeline import Pipeline, Transform, operator
 from tidewheel.plans.nearest import LEFT, LSEQ, RIGHT, nearest
@@ -29,8 +29,6 @@ def intervalize(clock: Pipeline, summarizers: Any, key: Any = None, closelast: b
     """
     keys = key_names(key)
     own = distinct(summarizers, keys)
-    if not keys and any(isinstance(s, FoldSummarizer) for s in own):
-        raise ValueError("Python summarizers need keys here")
 
     def transform(upstream: Pipeline) -> Pipeline:
         def run(context: Context) -> TimeFrame:
@@ -64,9 +62,7 @@ def intervalize(clock: Pipeline, summarizers: Any, key: Any = None, closelast: b
                 return frame.with_df(out).with_sinks(ticking)
             # Grid rows join the rows as absent ones, so empty intervals get the identities.
             both = rows.withColumn("__is", F.lit(True)).unionByName(grid, allowMissingColumns=True)
-            inp = Inputs({c: frame.type_of(c) for c in frame.names}, F.struct(TIME, SEQ), F.coalesce(F.col("__is"), F.lit(False)))
-            results = build_all(own, inp, Folds())
-            out = both.groupBy("__end").agg(*[c.alias(n) for n, c in results.items()])
+            out = grouped(TimeFrame(both), ["__end"], own, present="__is")
             names = [n for s in own for n in s.outputs]
             out = out.select(F.col("__end").alias(TIME), *[F.col(f"`{n}`") for n in names], F.lit(0).cast("bigint").alias(SEQ))
             return frame.with_df(out).with_sinks(ticking)

@@ -6,7 +6,7 @@ from typing import Any
 
 from pyspark.sql import functions as F
 
-from tidewheel.context import SEQ, TIME, Context, as_number, not_negative, offset_number
+from tidewheel.context import SEQ, TIME, Context, Months, as_number, not_negative, offset_number, shift_time
 from tidewheel.frame import TimeFrame
 from tidewheel.operators.summarize import key_names
 from tidewheel.pipeline import Pipeline, Transform, operator
@@ -39,7 +39,11 @@ def nearest_join(right: Pipeline, forward: bool, key: Any, tolerance: Any, stric
             near = F.lit(True)
             if tolerance is not None:
                 here, there = as_number(F.col(TIME), l.time_type), as_number(F.col(f"{RIGHT}.__time"), r.time_type)
-                near = (there - here if forward else here - there) <= offset_number(tolerance, l.time_type)
+                if isinstance(tolerance, Months):
+                    bound = as_number(shift_time(F.col(TIME), tolerance if forward else -tolerance, l.time_type), l.time_type)
+                    near = there <= bound if forward else there >= bound
+                else:
+                    near = (there - here if forward else here - there) <= offset_number(tolerance, l.time_type)
             take = lambda c: F.when(near, F.col(f"{RIGHT}.`{c}`"))
             columns = [F.col(TIME)]
             columns += [(F.col(f"`{c}`") if c in keys else F.col(f"{LEFT}.`{c}`")).alias(n) for c, n in names.items()]

@@ -10,17 +10,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.context import SEQ, TIME, Context, as_number, not_negative, offset_number
+from tidewheel.context import SEQ, TIME, Context, Months, as_number, not_negative, offset_number, shift_time
 from tidewheel.frame import TimeFrame
 from tidewheel.functions.summarizers import CarriedFolds, FoldSummarizer, FramedFolds, Inputs, Summarizer, TwoSidedFolds, build_all, distinct, resolved
 from tidewheel.operators.summarize import check_keys, key_names, parted
 from tidewheel.pipeline import Pipeline, Transform, operator
 from tidewheel.plans.folding import Folding, fields_of, trailing
-from tidewheel.plans.ranges import ranged
+from tidewheel.plans.ranges import Ranges, ranged
 
 FROM, NUMBER, OWN = "__from", "__number", "__own"
-#: Where a row meets the others: the block, its place there, and whether it lies in the block or in the one before.
-BLOCK, AT, ROLE = "__block", "__place", "__role"
+#: Where a row meets the others: the block, its places for the forward and the backward pass, and whether it lies in the block or in the one before.
+BLOCK, AT, BACK, ROLE = "__block", "__place", "__back", "__role"
 EARLIER, LATER = 0, 1
 HERE, ORDER, SIDE = "__here", "__order", "__side"
 
@@ -40,7 +40,7 @@ def _scale(kind: T.DataType, lookbacks: list[Any]) -> tuple[int, list[int]]:
     if not isinstance(kind, T.DoubleType):
         return 1, [int(x) for x in lookbacks]
     ratios = [float(x).as_integer_ratio() for x in lookbacks]
-    factor = max(d for _, d in ratios)
+    factor = max((d for _, d in ratios), default=1)
     return factor, [n * (factor // d) for n, d in ratios]
 
 
@@ -56,7 +56,7 @@ def add_rolling_columns(windows: Any, summarizers: Any, key: Any = None, from_:
     met at the row's time; no frame is folded anew and nothing is subtracted, so the work grows with the rows whatever the
     look-back, and any fold will do.  Each window costs one shuffle by key and block.  Blocks with too many rows
     for a task are cut into ranges that take over a carry (see ``plans.ranges`` and ``by_buckets`` of the joins).  Python folds hold the rows of a frame in a queue of
-    states instead.
+    states instead.  Blocks of a look-back in months are so many months; they are not cut.
     """
     named, keys = _named(windows), key_names(key)
     own = distinct(summarizers, keys)
@@ -78,7 +78,9 @@ def add_rolling_columns(windows: Any, summarizers: Any, key: Any = None, from_:
             if clash:
                 raise ValueError(f"columns {clash} exist already")
             kind = left.time_type
-            factor, spans = _scale(kind, [offset_number(x, kind) for x in named.values()])
+            factor, whole = _scale(kind, [offset_number(x, kind) for x in named.values() if not isinstance(x, Months)])
+            whole = iter(whole)
+            spans = [x if isinstance(x, Months) and x.count else 0 if isinstance(x, Months) else next(whole) for x in named.values()]
             number = as_number(F.col(TIME), kind) * F.lit(factor) if factor != 1 else as_number(F.col(TIME), kind)
             key_columns = [F.col(f"`{k}`") for k in keys]
             values = [c for c in source.values if c not in keys]
@@ -104,15 +106,24 @@ def _block(number: Column, span: int, floating: bool) -> Column:
     return guess - over.cast("bigint") + under.cast("bigint")
 
 
-def _rolled(rolled: DataFrame, mine: DataFrame, source: TimeFrame, keys: list[str], name: str, span: int, own: list[Summarizer], rows: int | bool | None) -> DataFrame:
+def _rolled(rolled: DataFrame, mine: DataFrame, source: TimeFrame, keys: list[str], name: str, span: int | Months, own: list[Summarizer], rows: int | bool | None) -> DataFrame:
     """``mine`` with the results of one window over the rows ``rolled``."""
     floating = isinstance(rolled.schema[NUMBER].dataType, T.DoubleType)
-    place = _block(F.col(NUMBER), span, floating) if span else F.col(NUMBER)
-    roles = [F.struct(F.lit(LATER).alias(ROLE), place.alias(BLOCK), F.col(NUMBER).alias(AT))]
+    monthly = isinstance(span, Months)
+    if monthly:  # a look-back from a month leads into the month so many before it
+        place = F.call_function("div", F.year(TIME) * 12 + F.month(TIME) - 1, F.lit(span.count)).cast("bigint")
+        kind = mine.schema[TIME].dataType
+        asked = {AT: F.col(NUMBER), BACK: as_number(shift_time(F.col(TIME), -span, kind), kind)}
+        shift = F.col(NUMBER)
+    else:
+        place = _block(F.col(NUMBER), span, floating) if span else F.col(NUMBER)
+        asked = {AT: F.col(NUMBER), BACK: F.col(NUMBER)}
+        shift = F.col(NUMBER) + span
+    roles = [F.struct(F.lit(LATER).alias(ROLE), place.alias(BLOCK), F.col(NUMBER).alias(AT), F.col(NUMBER).alias(BACK))]
     if span:  # without a look-back, a row sees its own time only
-        roles.append(F.struct(F.lit(EARLIER).alias(ROLE), (place + 1).alias(BLOCK), (F.col(NUMBER) + span).alias(AT)))
+        roles.append(F.struct(F.lit(EARLIER).alias(ROLE), (place + 1).alias(BLOCK), shift.alias(AT), shift.alias(BACK)))
     seen = rolled.select("*", F.inline(F.array(*roles)))
-    both = seen.unionByName(mine.withColumns({BLOCK: place, AT: F.col(NUMBER)}), allowMissingColumns=True)
+    both = seen.unionByName(mine.withColumns({BLOCK: place, **asked}), allowMissingColumns=True)
     types = {c: source.type_of(c) for c in source.names}
     inp = _Inside(types, F.struct(F.col(TIME), F.col(f"{FROM}.{SEQ}")), F.coalesce(F.col(f"{FROM}.__is"), F.lit(False)), set(keys))
     resolved_own = resolved(own, types)
@@ -122,9 +133,9 @@ def _rolled(rolled: DataFrame, mine: DataFrame, source: TimeFrame, keys: list[st
     hidden: dict[str, str] = {}
     if plain or below:
         by = [*keys, BLOCK]
-        dealt = ranged(both, by, F.col(AT), rows)
+        dealt = Ranges(both, by) if monthly else ranged(both, by, F.col(AT), rows)  # both places would have to agree on ranges
         group = W.partitionBy(*[F.col(f"`{c}`") for c in dealt.by])
-        forward, backward = (group.orderBy(c).rangeBetween(W.unboundedPreceding, 0) for c in (F.col(AT), F.col(AT).desc()))
+        forward, backward = (group.orderBy(c).rangeBetween(W.unboundedPreceding, 0) for c in (F.col(AT), F.col(BACK).desc()))
         start, end = (FramedFolds(forward), FramedFolds(backward)) if dealt.cut is None else (CarriedFolds(dealt, forward), CarriedFolds(dealt, backward, backward=True))
         engine = TwoSidedFolds(end, start, F.col(ROLE) == EARLIER, F.col(ROLE) == LATER)
         made = {f"{name}_{n}": c for n, c in build_all(plain, inp, engine).items()}
@@ -133,6 +144,8 @@ def _rolled(rolled: DataFrame, mine: DataFrame, source: TimeFrame, keys: list[st
         df = dealt.df if dealt.cut is None else end.carried(start.carried(dealt.df))
         df = df.select(*[F.col(f"`{c}`") for c in before], *[c.alias(n) for n, c in made.items()])
         mine = df.filter(F.col(f"{OWN}.__is"))
+    if folds and monthly:
+        raise ValueError("Python summarizers do not roll over months")
     if folds:
         mine = _queued(seen, mine, place, keys, name, span, types, folds, hidden, fields_of([s for s in resolved_own if isinstance(s, FoldSummarizer)]))
     return mine.drop(*hidden.values())

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.context import SEQ, TIME, Context, negative, not_negative, shift_time
+from tidewheel.context import SEQ, TIME, Context, Months, negative, not_negative, shift_time
 from tidewheel.frame import TimeFrame
 from tidewheel.pipeline import Pipeline, Transform, mapped, operator
 
@@ -165,7 +165,9 @@ def shifted(offset: Any, back: bool, what: str) -> Transform:
             by = negative(offset) if back else offset
             frame = upstream.run(context.shifted(negative(by)))
             rest = [F.col(f"`{c}`") for c in frame.values]
-            return frame.with_df(frame.df.select(shift_time(F.col(TIME), by, frame.time_type).alias(TIME), *rest, SEQ))
+            # Months may make times equal that were not; their rows keep their order.
+            seq = F.struct(TIME, SEQ).alias(SEQ) if isinstance(by, Months) else F.col(SEQ)
+            return frame.with_df(frame.df.select(shift_time(F.col(TIME), by, frame.time_type).alias(TIME), *rest, seq))
 
         return Pipeline(run)
 

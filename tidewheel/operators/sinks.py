@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 
 from tidewheel.context import SEQ, TIME, Context
 from tidewheel.frame import TimeFrame
-from tidewheel.pipeline import Transform, mapped, operator
+from tidewheel.pipeline import Pipeline, Transform, operator
+from tidewheel.plans.durable import kept
 
 #: Times keep their microseconds.
 _CSV = {"header": True, "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
@@ -29,28 +30,38 @@ def _ordered(frame: TimeFrame, single: bool) -> DataFrame:
     return df.drop(SEQ)
 
 
-def _sink(write, queue: int, single: bool, persist: bool) -> Transform:
-    def change(frame: TimeFrame, _: Context) -> TimeFrame:
-        if persist or frame.sinks:  # the rows are read again further on
-            frame = frame.with_df(frame.df.persist())
-        return TimeFrame(frame.df, (*frame.sinks, lambda: write(_ordered(frame, single))))
+def _sink(write, single: bool) -> Transform:
+    """Rows that are written and passed on are evaluated once, into the shared folder, and read from there by both; at the
+    end of a ``scan`` nothing is passed on, and they are only written."""
 
-    return mapped(change)
+    def transform(upstream: Pipeline) -> Pipeline:
+        def passed(context: Context) -> TimeFrame:
+            frame = upstream.run(context)
+            df = kept(frame.df)
+            return TimeFrame(df, (*frame.sinks, lambda: write(_ordered(frame.with_df(df), single))))
+
+        def last(context: Context) -> TimeFrame:
+            frame = upstream.run(context)
+            return TimeFrame(frame.df, (*frame.sinks, lambda: write(_ordered(frame, single))))
+
+        return Pipeline(passed, last=last)
+
+    return transform
 
 
 @operator
-def write_csv(path: str, queue: int = 1, single: bool = False, persist: bool = False, delim: str = ",", **options: Any) -> Transform:
+def write_csv(path: str, queue: int = 1, single: bool = False, delim: str = ",", **options: Any) -> Transform:
     """Write CSV with a header into the folder ``path``, replacing it."""
     _checked(queue, options)
-    return _sink(lambda df: df.write.mode("overwrite").options(**_CSV | options, sep=delim).csv(path), queue, single, persist)
+    return _sink(lambda df: df.write.mode("overwrite").options(**_CSV | options, sep=delim).csv(path), single)
 
 
 @operator
-def write_parquet(path: str, queue: int = 1, rowgroupsize: int = 1_000_000, backend: str = "auto", single: bool = False, persist: bool = False, compression: str = "snappy", **options: Any) -> Transform:
+def write_parquet(path: str, queue: int = 1, rowgroupsize: int = 1_000_000, backend: str = "auto", single: bool = False, compression: str = "snappy", **options: Any) -> Transform:
     """Write Parquet into the folder ``path``, replacing it.  ``rowgroupsize`` bounds a file's rows."""
     _checked(queue, options)
     if backend != "auto":
         raise ValueError(f"Spark writes Parquet itself; backend must be 'auto', not {backend!r}")
     if rowgroupsize <= 0:
         raise ValueError("rowgroupsize must be positive")
-    return _sink(lambda df: df.write.mode("overwrite").option("maxRecordsPerFile", 0 if single else rowgroupsize).options(compression=compression, **options).parquet(path), queue, single, persist)
+    return _sink(lambda df: df.write.mode("overwrite").option("maxRecordsPerFile", 0 if single else rowgroupsize).options(compression=compression, **options).parquet(path), single)

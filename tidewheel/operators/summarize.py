@@ -44,9 +44,9 @@ def key_order(keys: list[str]) -> Column:
     return F.struct(*[x for k in keys for x in (F.col(f"`{k}`").isNull().alias(f"{k}_null"), F.col(f"`{k}`"))]) if keys else F.lit(0).cast("bigint")
 
 
-def grouped(frame: TimeFrame, by: list[str], summarizers: list[Summarizer]) -> DataFrame:
-    """One row for each group, columns ``by`` and all results in the order of the request."""
-    inp = inputs(frame)
+def grouped(frame: TimeFrame, by: list[str], summarizers: list[Summarizer], present: str | None = None) -> DataFrame:
+    """One row for each group, columns ``by`` and all results in the order of the request; rows that are not ``present`` only make groups."""
+    inp = inputs(frame, None if present is None else F.coalesce(F.col(present), F.lit(False)))
     summarizers = resolved(summarizers, inp.types)
     plain = [s for s in summarizers if not isinstance(s, FoldSummarizer)]
     folded = [s for s in summarizers if isinstance(s, FoldSummarizer)]
@@ -55,7 +55,7 @@ def grouped(frame: TimeFrame, by: list[str], summarizers: list[Summarizer]) -> D
     df = frame.df.groupBy(*[F.col(f"`{c}`") for c in by]) if by else frame.df
     out = df.agg(*[c.alias(n) for n, c in results.items()]) if results else None
     if folded:
-        other = _folded(frame, by, folded)
+        other = _folded(frame, by, folded, present)
         if out is None:
             out = other
         elif by:
@@ -78,14 +78,15 @@ def parted(summarizers: list[Summarizer], types: dict[str, T.DataType]) -> tuple
     return [s for s in every if isinstance(s, FoldSummarizer)], [s for s in every if not isinstance(s, FoldSummarizer)]
 
 
-def _folded(frame: TimeFrame, by: list[str], summarizers: list[FoldSummarizer]) -> DataFrame:
+def _folded(frame: TimeFrame, by: list[str], summarizers: list[FoldSummarizer], present: str | None = None) -> DataFrame:
     """Python folds: ordered partial states in each partition, then merged in order for each group.
 
     Rows are dealt by time, so a group of any size is folded in many tasks, and only one state of
     each task and group meets its fellows.
     """
-    folds, plain = parted(summarizers, inputs(frame).types)
-    names = frame.names
+    inp = inputs(frame, None if present is None else F.coalesce(F.col(present), F.lit(False)))
+    folds, plain = parted(summarizers, inp.types)
+    names = [c for c in frame.names if c != present]
     folding = Folding(folds, names, {})
     kinds = [frame.df.schema[c] for c in by]
     types = [arrow_type(f.dataType) for f in kinds]
@@ -96,16 +97,17 @@ def _folded(frame: TimeFrame, by: list[str], summarizers: list[FoldSummarizer])
         for batch in batches:
             part = batch.column(batch.schema.get_field_index("__part"))[0].as_py() if batch.num_rows else part
             plain_keys = zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in by]) if by else [()] * batch.num_rows
-            for given, (key, values) in zip(plain_keys, _rows(batch, by, names)):
-                own = states.get(key)
-                states[key] = (own[0] if own else given, folding.update(own[1] if own else folding.zero(), values))
+            here = batch.column(batch.schema.get_field_index(present)).to_pylist() if present else [True] * batch.num_rows
+            for counts, given, (key, values) in zip(here, plain_keys, _rows(batch, by, names)):
+                given, own = states.get(key) or (given, folding.zero())
+                states[key] = (given, folding.update(own, values) if counts else own)
         if states:
             columns = list(zip(*[given for given, _ in states.values()])) if by else []
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array(c, t) for c, t in zip(columns, types)], pa.array([part] * len(states), pa.int32()), pa.array([pickle.dumps(own) for _, own in states.values()], pa.binary())], [*by, "__part", "__state"]
             )
 
-    hidden = build_all(plain, inputs(frame), Folds())
+    hidden = build_all(plain, inp, Folds())
     hidden_names, wanted = list(hidden), [n for s in summarizers for n in s.outputs]
     result = T.StructType([*kinds, *fields_of(summarizers)])
 
@@ -122,7 +124,7 @@ def _folded(frame: TimeFrame, by: list[str], summarizers: list[FoldSummarizer])
         return pa.table([*[own.column(c).slice(0, 1) for c in by], *[pa.array([values[n]], t) for n, t in zip(wanted, result_types)]], result_names)
 
     rows = frame.df.repartitionByRange(TIME).sortWithinPartitions(TIME, SEQ)
-    chosen = rows.select(*[F.col(f"`{c}`") for c in names], F.spark_partition_id().alias("__part"))
+    chosen = rows.select(*[F.col(f"`{c}`") for c in frame.names], F.spark_partition_id().alias("__part"))
     states = chosen.mapInArrow(partial, T.StructType([*kinds, T.StructField("__part", T.IntegerType()), T.StructField("__state", T.BinaryType())]))
     if hidden:
         deps = (frame.df.groupBy(*[F.col(f"`{c}`") for c in by]) if by else frame.df).agg(*[c.alias(f"__dep_{n}") for n, c in hidden.items()])

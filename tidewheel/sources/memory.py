@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewheel.context import SEQ, TIME, Context, as_number, as_time, offset_number, value_number
+from tidewheel.context import SEQ, TIME, Context, Months, add, as_number, as_time, offset_number, value_number
 from tidewheel.frame import TimeFrame, framed
 from tidewheel.pipeline import Pipeline
 
@@ -37,7 +37,8 @@ def empty_frame() -> Pipeline:
 def clock(interval: Any, batchsize: int = 1024) -> Pipeline:
     """Ticks start, start + interval, ... before stop, generated on the executors.
 
-    ``interval`` is a number or a timedelta.  For floating-point time, ticks are repeated
+    ``interval`` is a number, a timedelta or months.  Months are added again and again, so a day that one
+    month lacks stays lost: the calendar has few of them, and the driver counts them.  For floating-point time, ticks are repeated
     additions, because their rounding is part of the result: the driver finds where each block of
     ticks starts, and tasks make the blocks.
     """
@@ -48,6 +49,12 @@ def clock(interval: Any, batchsize: int = 1024) -> Pipeline:
         if interval <= type(interval)(0):
             raise ValueError(f"the interval must be positive: {interval}")
         spark, kind = session(), context.type
+        if isinstance(interval, Months):
+            ticks, at = [], context.start
+            while at < context.stop:
+                ticks.append((at, len(ticks)))
+                at = add(at, interval)
+            return TimeFrame(spark.createDataFrame(ticks, T.StructType([T.StructField(TIME, kind), T.StructField(SEQ, T.LongType())])))
         if isinstance(kind, T.DoubleType):
             return _float_ticks(spark, float(context.start), float(context.stop), float(interval))
         step = offset_number(interval, kind)
@@ -56,7 +63,7 @@ def clock(interval: Any, batchsize: int = 1024) -> Pipeline:
         time = as_time(F.lit(first) + F.col("id") * F.lit(step), kind)
         return TimeFrame(ids.select(time.alias(TIME), F.col("id").alias(SEQ)))
 
-    return Pipeline(run, step=interval)
+    return Pipeline(run, step=None if isinstance(interval, Months) else interval)
 
 
 def _float_ticks(spark: SparkSession, start: float, stop: float, step: float) -> TimeFrame:

@@ -1,3 +1,3 @@
-from tidewheel.streaming.live import live, live_cycles, live_intervals, live_running
+from tidewheel.streaming.live import live, live_asof, live_cycles, live_intervals, live_rolling, live_running
 
-__all__ = ["live", "live_cycles", "live_intervals", "live_running"]
+__all__ = ["live", "live_asof", "live_cycles", "live_intervals", "live_rolling", "live_running"]
