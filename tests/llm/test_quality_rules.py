@@ -62,6 +62,24 @@ def test_clean_documents_stay(spark):
     assert out.filter("doc_id < 1000 and not kept").count() == 0 and out.filter("doc_id >= 1000 and kept").count() == 0
 
 
+def test_a_few_symbols_or_repeated_lines_are_no_fault(spark):
+    rng = random.Random(12)
+    text = lambda: ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(400)]
+    rows = []
+    for k in range(400):
+        words = text()
+        if k % 5 == 0:  # a fifth has four dollar signs
+            for at in (3, 99, 200, 311):
+                words[at] = "$" + words[at]
+        lines = [" ".join(words[i : i + 10]) for i in range(0, 400, 10)]
+        if k % 7 == 0:  # and a seventh a line twice
+            lines[20] = lines[3]
+        rows.append((k, "\n".join(lines), "en", "s", 1))
+    junk = [(1000 + k, " ".join(w + "%%%" for w in text()), "en", "s", 1) for k in range(20)] + [(1100 + k, "\n".join([" ".join(text()[:10])] * 3 + [" ".join(text()[:10]) for _ in range(7)]), "en", "s", 1) for k in range(20)]
+    out = quality_rules.judge(spark.createDataFrame(rows + junk, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert out.filter("doc_id < 1000 and not kept").count() == 0 and out.filter("doc_id between 1000 and 1099 and kept").count() == 0
+
+
 def test_groups_have_fences_of_their_own(spark):
     rng = random.Random(4)
     rows = []

@@ -5,12 +5,13 @@ mergeable quantile sketch: a log-linear histogram (exact below 64, then 32 bucke
 of two, so within 1/32), whose merge is the addition of counts.  Being sums, the sketches come out
 the same in any partitioning.  A rule rejects a document that lies beyond
 
-    q75 + (3 * (q75 - q25) + share * m) * max(1, sqrt(median words / words))
+    max(q75 + (3 * (q75 - q25) + share * m) * max(1, sqrt(median words / words)), least)
 
 of its group, where the quartiles are those of all documents, m is the median of the documents whose
 metric is not zero, and the rule's ``share`` says how much of it is room: metrics that most documents
 have none of, like symbols, have quartiles of zero, and their scale is that of the documents that have
-some.  Short documents, whose ratios scatter more, get the room that their length explains.  Each
+some.  What so few documents have that it has no
+spread is no fault as long as there is little of it: ``least`` of a metric never fails a document.  Short documents, whose ratios scatter more, get the room that their length explains.  Each
 quantile is drawn toward that of the language, and this toward that of all documents, as if the
 wider group gave ``PRIOR`` documents more: a group of any size has a fence of its own.  Documents are joined
 to their group's fences and filtered.
@@ -41,6 +42,8 @@ WINDOW = 5
 PRIOR = 50
 #: Each rule's room, as a share of the median of values that are not zero.
 SHARES = {"symbols": 0.125, "length": 0.0625, "dup_lines": 1.0}
+#: How much of each metric is never too much: a symbol in 50 characters, a line in 20 that repeats another.
+LEAST = {"symbols": 20, "length": 0, "dup_lines": 50}
 ADDED = (*METRICS, "n_lines", "base_failed", "kept")
 _BLANK = r"[\x20\x09-\x0D]"
 
@@ -141,7 +144,7 @@ def judged(measures: DataFrame, fence: DataFrame) -> DataFrame:
     beyond = F.lit(False)
     for name, value in rule_metrics().items():
         spread = 3 * (F.col(f"{name}_75") - F.col(f"{name}_25")) + SHARES[name] * F.col(f"{name}_mid")
-        beyond = beyond | (value > F.col(f"{name}_75") + spread * room)
+        beyond = beyond | (value > F.greatest(F.col(f"{name}_75") + spread * room, F.lit(float(LEAST[name]))))
     on = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
     out = measures.join(fence, on, "left").withColumn("kept", ~F.col("base_failed") & ~F.coalesce(beyond, F.lit(False)))
     return out.select(*measures.columns, "kept")

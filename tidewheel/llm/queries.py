@@ -63,7 +63,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.METRICS, "base_failed", "kept")
 
 
-_OP5_SHARES = {"symbols": "0.125", "length": "0.0625", "dup_lines": "1.0"}
+_OP5_SHARES = {"symbols": ("0.125", "20.0::DOUBLE"), "length": ("0.0625", "0.0::DOUBLE"), "dup_lines": ("1.0", "50.0::DOUBLE")}
 _OP5_METRICS = (*_OP5_SHARES, "words")
 
 
@@ -80,7 +80,7 @@ def _op5_drawn(m: str, c: object) -> str:
 
 _OP5_AT = ", ".join(map(_op5_of, _OP5_METRICS))
 _OP5_PICK = ", ".join(_op5_drawn(m, c) for m in _OP5_METRICS for c in (25, 50, 75, "mid"))
-_OP5_BEYOND = " OR ".join(f"coalesce({m} > {m}_75 + (3 * ({m}_75 - {m}_25) + {share}::DOUBLE * {m}_mid) * greatest(1.0::DOUBLE, sqrt(words_50 / greatest(n_words, 1))), false)" for m, share in _OP5_SHARES.items())
+_OP5_BEYOND = " OR ".join(f"coalesce({m} > greatest({m}_75 + (3 * ({m}_75 - {m}_25) + {share}::DOUBLE * {m}_mid) * greatest(1.0::DOUBLE, sqrt(words_50 / greatest(n_words, 1))), {least}), false)" for m, (share, least) in _OP5_SHARES.items())
 
 
 def _op5_quantiles(by: str) -> str:
