@@ -45,9 +45,10 @@ def case():
     return [*docs, (900, None), (901, ""), (902, "zz-zz")], items
 
 
-@pytest.mark.parametrize("most_bits", [1 << 26, 64])
-def test_against_every_place(spark, most_bits, monkeypatch):
+@pytest.mark.parametrize("most_bits, ranges", [(1 << 26, 16), (64, 1), (2048, 3)])
+def test_against_every_place(spark, most_bits, ranges, monkeypatch):
     monkeypatch.setattr(decontaminate_module, "MOST_BITS", most_bits)  # a sieve of 64 bits lets everything through
+    monkeypatch.setattr(decontaminate_module, "RANGES", ranges)
     docs, items = case()
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, n_words long").repartition(2)
     own = spark.createDataFrame(items, "item_id long, text string")
@@ -55,6 +56,20 @@ def test_against_every_place(spark, most_bits, monkeypatch):
     assert got == brute(docs, items)
 
 
+def test_sieves_split_by_ranges(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(decontaminate_module, "MOST_BITS", 4096)
+    rng = np.random.default_rng(1)
+    token = rng.integers(-(2**63), 2**63 - 1, 900)
+    made = decontaminate_module.sieves(spark.createDataFrame([(int(t),) for t in token], "token long"))
+    assert len(made) == 4 and all(len(table) * 64 <= 4096 for *_, table in made)
+    through = [decontaminate_module._sifted(token.view(np.uint64), one) for one in made]
+    assert sorted(np.concatenate(through).tolist()) == list(range(900))  # each in the sieve of its range, and only there
+    other = rng.integers(0, 2**63 - 1, 5000).view(np.uint64)
+    assert sum(len(decontaminate_module._sifted(other, one)) for one in made) < 600
+
+
 def test_edges(spark):
     docs, items = case()
     df, own = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")

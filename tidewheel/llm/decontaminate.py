@@ -14,7 +14,8 @@ join key of a window is its *rarest* shingle, by frequency over all documents.
   item-sized window are then compared.
 
 A sieve is a bit table of bounded size that drops most places with no shingle of interest; what it
-lets through by chance finds no partner in the join.  Neither windows nor frequencies pass through the driver.
+lets through by chance finds no partner in the join.  Shingles too many for one sieve are split by ranges of
+their hashes, and documents are scanned once for each range.  Neither windows nor frequencies pass through the driver.
 
 Defined edge cases: null or wordless text hits nothing; items without words (or null) have no
 windows; an item without an id counts as an item and has no id in the list; equal windows of several items count for all of them; repeated document
@@ -24,6 +25,7 @@ in ``keep`` and may have any names.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -42,6 +44,12 @@ SCAN_BYTES = 2 << 20
 SHINGLE = 3
 #: Bits of a sieve for each shingle, and of any sieve at most.
 SIEVE_BITS, MOST_BITS = 16, 1 << 26
+#: Ranges of hashes at most; a benchmark of more shingles than 16 sieves hold fills them further, and they let more places through.
+RANGES = 16
+
+
+#: The bits of a token that choose its range.
+_RANGE_SHIFT = 40
 
 
 def _scan(raw: np.ndarray, offsets: np.ndarray):
@@ -87,26 +95,38 @@ def windows(benchmark: DataFrame, window: int) -> DataFrame:
     return found.groupBy("words", "shingles", "size").agg(F.collect_set(F.struct("item_id")).alias("items"))
 
 
-def sieve(tokens: DataFrame) -> np.ndarray:
-    """A bit table with the bits of all tokens, as 64-bit words; its size is bounded."""
+def sieves(tokens: DataFrame) -> list[tuple[int, int, np.ndarray]]:
+    """Bit tables (64-bit words) with the bits of all tokens: one for each range of hashes, as (range, ranges, table)."""
+    tokens = pinned(tokens)
     count = max(1, tokens.count())
-    bits = min(MOST_BITS, 1 << max(16, (SIEVE_BITS * count - 1).bit_length()))
-    slot = tokens.select(F.col("token").bitwiseAND(bits - 1).alias("slot"))
+    ranges = min(RANGES, max(1, -(-SIEVE_BITS * count // MOST_BITS)))
+    bits = min(MOST_BITS, 1 << max(16, (SIEVE_BITS * -(-count // ranges) - 1).bit_length()))
+    slot = tokens.select(F.col("token").bitwiseAND(bits - 1).alias("slot"), F.pmod(F.shiftrightunsigned("token", _RANGE_SHIFT), F.lit(ranges)).alias("range"))
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("slot").bitwiseAND(63).cast("int"))
-    found = slot.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
-    out = np.zeros(bits >> 6, np.uint64)
-    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    found = slot.groupBy("range", F.shiftright("slot", 6).alias("at")).agg(F.bit_or(one).alias("bits"))
+    out = []
+    for k in range(ranges):
+        own, table = found.filter(F.col("range") == k).toArrow(), np.zeros(bits >> 6, np.uint64)
+        table[own.column("at").to_numpy()] = own.column("bits").to_numpy().view(np.uint64)
+        out.append((k, ranges, table))
     return out
 
 
-def _sifted(token: np.ndarray, table: np.ndarray) -> np.ndarray:
+def _sifted(token: np.ndarray, sieve: tuple[int, int, np.ndarray]) -> np.ndarray:
+    own, ranges, table = sieve
     slot = token & np.uint64(len(table) * 64 - 1)
-    return np.flatnonzero(table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
+    held = table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)
+    return np.flatnonzero(held if ranges == 1 else held.astype(bool) & ((token >> np.uint64(_RANGE_SHIFT)) % np.uint64(ranges) == own))
+
+
+def _passes(make, docs: DataFrame, text: str, sizes: list[int], sieves_: list[tuple[int, int, np.ndarray]], *more) -> DataFrame:
+    """What ``make`` finds with each sieve."""
+    return functools.reduce(DataFrame.unionByName, [make(docs, text, sizes, sieve, *more) for sieve in sieves_])
 
 
-def shingle_frequencies(docs: DataFrame, text: str, sizes: list[int], table: np.ndarray) -> DataFrame:
+def shingle_frequencies(docs: DataFrame, text: str, sizes: list[int], sieve: tuple[int, int, np.ndarray]) -> DataFrame:
     """token, n: how often the shingles that pass the sieve occur over all documents."""
-    given = docs.sparkSession.sparkContext.broadcast(table)
+    given = docs.sparkSession.sparkContext.broadcast(sieve)
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,16 +147,16 @@ def shingle_frequencies(docs: DataFrame, text: str, sizes: list[int], table: np.
 def join_keys(found: DataFrame, docs: DataFrame, text: str, sizes: list[int]) -> DataFrame:
     """The windows with their rarest shingle as ``token``, and its ``place``; ties go to the smallest token, then the first place."""
     shingles = pinned(found.select(F.explode("shingles").alias("token")).distinct())
-    counted = shingles.join(shingle_frequencies(docs, text, sizes, sieve(shingles)), "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
+    counted = shingles.join(_passes(shingle_frequencies, docs, text, sizes, sieves(shingles)), "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
     placed = found.select("words", "size", "items", F.posexplode("shingles").alias("place", "token")).join(counted, "token")
     rarest = placed.groupBy("words", "size").agg(F.min(F.struct("n", "token", "place")).alias("key"), F.first("items").alias("items"))
     return rarest.select("words", "size", "items", "key.token", "key.place")
 
 
-def _occurrences(docs: DataFrame, text: str, sizes: list[int], table: np.ndarray, window: int) -> DataFrame:
+def _occurrences(docs: DataFrame, text: str, sizes: list[int], sieve: tuple[int, int, np.ndarray], window: int) -> DataFrame:
     """sha, token, at, before, around: where sieved shingles stand (``at``) in a text, and the words around,
     ``before`` of them before it; a text that has the same words around it again gives one row."""
-    given = docs.sparkSession.sparkContext.broadcast(table)
+    given = docs.sparkSession.sparkContext.broadcast(sieve)
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +186,7 @@ def _occurrences(docs: DataFrame, text: str, sizes: list[int], table: np.ndarray
 
 def hits(docs: DataFrame, keys: DataFrame, text: str, sizes: list[int], window: int) -> DataFrame:
     """sha, spans (of words) and items of the texts that have a window."""
-    places = _occurrences(docs, text, sizes, sieve(keys.select("token")), window)
+    places = _passes(_occurrences, docs, text, sizes, sieves(keys.select("token")), window)
     joined = places.join(hinted(keys, keys.count(), 64 + 16 * window), "token")
     begin = F.col("before") - F.col("place")
     here = F.slice(F.split("around", " "), F.greatest(begin, F.lit(0)) + 1, F.size("words"))
