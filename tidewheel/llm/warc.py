@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.shared import fresh_dir, hinted, pinned, trimmed
+from tidewheel.llm.shared import fresh_dir, pinned, small_enough, trimmed
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 8 << 20
@@ -168,8 +168,12 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     own = own.withColumn("sha", F.unhex(F.sha1("html")))
     groups = pages.select("page_id", F.unhex(F.sha1(F.coalesce("html", F.lit("")))).alias("sha"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n"))
     shared = groups.filter(F.col("n") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    shared = pinned(shared)  # of repeated payloads only; while these are few, no html is shuffled
-    rows = own.join(hinted(shared, shared.count(), 32), "sha", "left").select("page_id", "url", "html", F.when(F.col("page_id") == F.col("kept"), None).otherwise(F.col("kept")).alias("refers_to"))
+    shared = pinned(shared)  # of repeated payloads only
+    count = shared.count()
+    if small_enough(count, 32):  # no html is shuffled
+        rows = own.join(F.broadcast(shared), "sha", "left").select("page_id", "url", "html", F.when(F.col("page_id") == F.col("kept"), None).otherwise(F.col("kept")).alias("refers_to"))
+    else:
+        rows = _revisiting(own, groups.join(shared, "sha"))
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +194,14 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     return pinned(rows.mapInArrow(run, "path string, size bigint, records bigint"))
 
 
+def _revisiting(own: DataFrame, shared: DataFrame) -> DataFrame:
+    """``own`` with ``refers_to``, where too many payloads repeat to send them to all tasks: digests alone meet by payload, which may
+    be one that most pages have, and html meets its page's decision by page, of which each has few rows."""
+    decided = shared.filter(~F.col("page_id").eqNullSafe(F.col("kept"))).select("page_id", "sha", "kept").distinct()
+    on = F.col("g.page_id").eqNullSafe(F.col("e.page_id")) & (F.col("g.sha") == F.col("e.sha"))
+    return own.alias("g").join(decided.alias("e"), on, "left").select("g.page_id", "g.url", "g.html", F.col("e.kept").alias("refers_to"))
+
+
 def read(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """All records of the archives named in ``manifest`` (path, size): fields, digest and the payload."""
 
