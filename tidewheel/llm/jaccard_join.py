@@ -58,11 +58,11 @@ GROWTH = 8
 #: Lists with more members are long: two members of several long lists are paired in one of them.
 LONG = 32
 #: Tokens with so many sets never meet in one task: they are known to be shared, and the members of
-#: their lists are ranked in ``SALTS`` parts.
+#: their lists are ranked in ``SALTS`` parts, or in more, of ``HOT`` members each.
 HOT = 10_000
 SALTS = 64
-#: Token buckets for each shuffle partition.
-BUCKETS = 8
+#: Token buckets for each shuffle partition at least, and tokens of a bucket at most, by count.
+BUCKETS, BUCKET_TOKENS = 8, 4 << 20
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> Iterator[np.ndarray]:
@@ -308,15 +308,16 @@ def _lists(tokens: DataFrame, percent: int, light_to: int) -> DataFrame:
     in_order = F.sort_array(F.transform(F.filter("own", lambda x: x["beyond"] < SUBSET), lambda x: F.struct(x["place"].alias("place"), x["token"].alias("token"), x["n"].alias("n"))))
     own = nodes.filter(light).select("node", "size", "weight", in_order.alias("own"))
     hot = lambda x: x["n"] >= HOT
-    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.struct(x["token"].alias("key"), y["token"].alias("other"), (hot(x) & hot(y)).alias("hot"), x["place"].alias("first"), y["place"].alias("last")))))
+    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.struct(x["token"].alias("key"), y["token"].alias("other"), (hot(x) & hot(y)).alias("hot"), F.least(x["n"], y["n"]).alias("n"), x["place"].alias("first"), y["place"].alias("last")))))
     enumerated = own.select("node", "size", "weight", F.explode(pairs).alias("p")).select("p.*", "node", "size", "weight", F.lit(True).alias("used"))
     entries = nodes.select("node", "size", "weight", F.explode(F.filter("own", lambda x: x["beyond"] == 0)).alias("x"))
-    scanned = entries.select(F.col("x.token").alias("key"), F.lit(None).cast("bigint").alias("other"), hot(F.col("x")).alias("hot"), F.col("x.place").alias("first"), F.col("x.place").alias("last"), "node", "size", "weight", (~light).alias("used"))
-    both = enumerated.union(scanned).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS)) + 1).otherwise(F.lit(0)))
+    scanned = entries.select(F.col("x.token").alias("key"), F.lit(None).cast("bigint").alias("other"), hot(F.col("x")).alias("hot"), F.col("x.n").alias("n"), F.col("x.place").alias("first"), F.col("x.place").alias("last"), "node", "size", "weight", (~light).alias("used"))
+    both = enumerated.union(scanned).withColumn("salts", F.greatest(F.lit(SALTS), F.ceil(F.col("n") / HOT)).cast("bigint")).drop("n")
+    both = both.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.col("salts")) + 1).otherwise(F.lit(0)))
     same = W.partitionBy("key", "other", "salt")
     ranked = same.orderBy(F.desc("weight"), "node")
     both = both.withColumns({"members": F.count(F.lit(1)).over(same), "any": F.max("used").over(same), "number": F.row_number().over(ranked), "center": F.first(F.struct("node", "size", "last")).over(ranked)})
-    rank = F.when(F.col("hot"), (F.col("number") - 1) * SALTS + F.col("salt") + 1).otherwise(F.col("number"))
+    rank = F.when(F.col("hot"), (F.col("number") - 1) * F.col("salts") + F.col("salt") + 1).otherwise(F.col("number"))
     return both.filter("hot or members > 1 and any").select("key", "other", "node", "size", "first", "last", rank.alias("rank"), "center", F.col("node").alias("component"))
 
 
@@ -454,8 +455,9 @@ def _start(docs, doc_id, text, size, percent):
     # Of several sets under one id, that with the smallest digest stands for the id in near links.
     wanted = members.groupBy("node").agg(F.min_by("size", "digest").alias("size"), F.min("digest").alias("digest"))
     wanted = pinned(wanted)
-    count = wanted.count()
-    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = wanted.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).first()
+    count, tokens = total["n"], (total["shingles"] or 0) * (100 - percent) // 100 + prefix_common(0) * total["n"]
+    buckets = max(BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
     packed = _packed_tokens(docs, doc_id, text, wanted, count, frequent_tokens(scanned), size, percent, buckets)
     tokens = pinned(_shared_tokens(packed, wanted, percent))
     lists = pinned(_lists(tokens, percent, boundary(tokens)))
@@ -473,8 +475,11 @@ def _start(docs, doc_id, text, size, percent):
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """All links (a, b), a < b, between the representatives of different sets; copies: ``join``."""
-    _, _, lists, check, _ = _start(docs, doc_id, text, size, percent)
-    return check(_candidates(lists.drop("center"), 1, None, percent)).distinct()
+    _, _, lists, check, drops = _start(docs, doc_id, text, size, percent)
+    out = pinned(check(_candidates(lists.drop("center"), 1, None, percent)).distinct())
+    for drop in drops:
+        drop()
+    return out
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
