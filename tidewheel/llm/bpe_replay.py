@@ -8,7 +8,7 @@ each other, so replaying a shard at a time gives the same ids as replaying the w
 once, needs no shuffle, and its memory is bounded by the shard.
 
 Defined edge cases: null or empty text has no ids; texts of any length are encoded whole;
-repeated rows are encoded each; extra columns are carried where the caller asks for them and
+repeated rows are encoded each; an empty table gives no rows; extra columns are carried where the caller asks for them and
 may have any name (the internal columns are positional).
 """
 

@@ -12,7 +12,7 @@ the best path of a text is the best paths of its words, each kept once for a tas
 added word by word in double precision; the library adds single floats along the whole text.
 
 Defined edge cases: null and empty texts have no tokens and score 0; long texts are counted whole;
-repeated rows are each counted; extra columns are carried only when named in ``keep``.
+repeated rows are each counted; an empty table gives no rows; extra columns are carried only when named in ``keep``.
 """
 
 from __future__ import annotations
