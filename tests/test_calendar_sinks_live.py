@@ -4,12 +4,15 @@ import datetime as dt
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from test_engine import table, values
 
 import tidewheel as tw
 from tidewheel import acausal
 from tidewheel.context import add
+from tidewheel.sources.memory import runs
 from tidewheel.streaming import live_asof, live_rolling
 
 D = dt.date
@@ -137,3 +140,21 @@ def test_live_rolling_equals_the_batch_form(spark, tmp_path):
     got = sorted((r.x, r.w_seen) for r in drained(spark, live, "rolling", tmp_path).filter("x > 0").collect())
     rows = [r for b in batches for r in b]
     assert got == sorted((x, ",".join(str(y) for y in sorted(y for s, o, y in rows if o == k and t - 7 * SECOND <= s <= t))) for t, k, x in rows)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.floats(-1e6, 1e6), st.floats(1e-3, 1e3), st.integers(1, 3000))
+def test_ticks_of_floats_are_repeated_additions(start, step, n):
+    want, at = [], start
+    for _ in range(n):
+        want.append(at)
+        at += step
+    got = [first + k * spacing for first, count, spacing in runs(start, at, step) for k in range(count)]
+    assert got == want
+
+
+def test_long_float_clocks_cost_the_driver_little():
+    made = list(runs(0.0, 3e8, 0.1))
+    assert len(made) < 200 and sum(count for _, count, _ in made) > 2.9e9
+    with pytest.raises(ValueError):
+        list(runs(1e17, 2e17, 1.0))

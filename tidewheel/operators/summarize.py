@@ -16,8 +16,8 @@ from tidewheel.context import SEQ, TIME, Context, as_number
 from tidewheel.frame import TimeFrame
 from tidewheel.functions.summarizers import CarriedFolds, FoldSummarizer, Folds, FramedFolds, Inputs, Summarizer, build_all, distinct, expanded, resolved
 from tidewheel.pipeline import Transform, mapped, operator
-from tidewheel.plans.folding import Folding, _rows, arrow_type, fields_of, running
-from tidewheel.plans.ranges import Ranges, ranged
+from tidewheel.plans.folding import Folding, arrow_type, fields_of, keyed_rows, running
+from tidewheel.plans.ranges import Ranges, ranged, same
 
 
 def key_names(key: Any) -> list[str]:
@@ -59,19 +59,12 @@ def grouped(frame: TimeFrame, by: list[str], summarizers: list[Summarizer], pres
         if out is None:
             out = other
         elif by:
-            out = out.alias("g").join(other.alias("e"), _all_same(by)).select(*[F.col(f"g.`{c}`") for c in (*by, *results)], *[F.col(f"e.`{n}`") for s in folded for n in s.outputs])
+            out = out.alias("g").join(other.alias("e"), same(by)).select(*[F.col(f"g.`{c}`") for c in (*by, *results)], *[F.col(f"e.`{n}`") for s in folded for n in s.outputs])
         else:
             out = out.crossJoin(F.broadcast(other))  # one row each
     return out.select(*[F.col(f"`{c}`") for c in (*by, *names)])
 
 
-def _all_same(names: list[str]) -> Column:
-    on = F.lit(True)
-    for n in names:
-        on = on & F.col(f"g.`{n}`").eqNullSafe(F.col(f"e.`{n}`"))
-    return on
-
-
 def parted(summarizers: list[Summarizer], types: dict[str, T.DataType]) -> tuple[list[FoldSummarizer], list[Summarizer]]:
     """The Python folds among ``summarizers`` and their dependencies, in the order of these, and the others."""
     every = resolved(expanded(list(summarizers)), types)
@@ -98,7 +91,7 @@ def _folded(frame: TimeFrame, by: list[str], summarizers: list[FoldSummarizer],
             part = batch.column(batch.schema.get_field_index("__part"))[0].as_py() if batch.num_rows else part
             plain_keys = zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in by]) if by else [()] * batch.num_rows
             here = batch.column(batch.schema.get_field_index(present)).to_pylist() if present else [True] * batch.num_rows
-            for counts, given, (key, values) in zip(here, plain_keys, _rows(batch, by, names)):
+            for counts, given, (key, values) in zip(here, plain_keys, keyed_rows(batch, by, names)):
                 given, own = states.get(key) or (given, folding.zero())
                 states[key] = (given, folding.update(own, values) if counts else own)
         if states:
@@ -128,7 +121,7 @@ def _folded(frame: TimeFrame, by: list[str], summarizers: list[FoldSummarizer],
     states = chosen.mapInArrow(partial, T.StructType([*kinds, T.StructField("__part", T.IntegerType()), T.StructField("__state", T.BinaryType())]))
     if hidden:
         deps = (frame.df.groupBy(*[F.col(f"`{c}`") for c in by]) if by else frame.df).agg(*[c.alias(f"__dep_{n}") for n, c in hidden.items()])
-        states = states.alias("g").join(deps.alias("e"), _all_same(by)).select(*[F.col(f"g.`{c}`") for c in states.columns], *[F.col(f"e.`__dep_{n}`") for n in hidden]) if by else states.join(F.broadcast(deps), F.lit(True), "right")
+        states = states.alias("g").join(deps.alias("e"), same(by)).select(*[F.col(f"g.`{c}`") for c in states.columns], *[F.col(f"e.`__dep_{n}`") for n in hidden]) if by else states.join(F.broadcast(deps), F.lit(True), "right")
     if by:
         return states.groupBy(*[F.col(f"`{c}`") for c in by]).applyInArrow(merged, result)
     # Without keys there is one state for each task; an empty input gives the empty state.

@@ -35,7 +35,7 @@ def _columns(batch: pa.RecordBatch, names: list[str]) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
-def _rows(batch: pa.RecordBatch, keys: list[str], names: list[str]) -> Iterator[tuple[tuple, tuple]]:
+def keyed_rows(batch: pa.RecordBatch, keys: list[str], names: list[str]) -> Iterator[tuple[tuple, tuple]]:
     """(key, values) of each row."""
     own, values = _columns(batch, keys), _columns(batch, names)
     for k in range(batch.num_rows):
@@ -125,7 +125,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], names: list[str],
         key = states = first = part = None
         for batch in batches:
             part = batch.column(batch.schema.get_field_index(PART))[0].as_py() if batch.num_rows else part
-            for own, values in _rows(batch, keys, names):
+            for own, values in keyed_rows(batch, keys, names):
                 first = own if states is None else first
                 if states is None or own != key:
                     key, states = own, folding.zero()
@@ -155,7 +155,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], names: list[str],
                 begun = True
                 key, states = carries[batch.column(batch.schema.get_field_index(PART))[0].as_py()]
             known, results = _columns(batch, hidden), {f.name: [] for f in wanted}
-            for k, (own, values) in enumerate(_rows(batch, keys, names)):
+            for k, (own, values) in enumerate(keyed_rows(batch, keys, names)):
                 if states is None or _plain(own) != key:
                     key, states = _plain(own), folding.zero()
                 states = folding.update(states, values)
@@ -189,7 +189,7 @@ def trailing(both: DataFrame, by: list[str], order: list[str], number: str, pres
         for batch in batches:
             numbers, here = _columns(batch, [number, present])
             known, results, asked = _columns(batch, hidden), {f.name: [] for f in wanted}, []
-            for k, (own, values) in enumerate(_rows(batch, by, columns)):
+            for k, (own, values) in enumerate(keyed_rows(batch, by, columns)):
                 if own != group:
                     group, queue = own, Queue(folding.zero, folding.merge)
                 if here[k]:

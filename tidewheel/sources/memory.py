@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -39,8 +40,8 @@ def clock(interval: Any, batchsize: int = 1024) -> Pipeline:
 
     ``interval`` is a number, a timedelta or months.  Months are added again and again, so a day that one
     month lacks stays lost: the calendar has few of them, and the driver counts them.  For floating-point time, ticks are repeated
-    additions, because their rounding is part of the result: the driver finds where each block of
-    ticks starts, and tasks make the blocks.
+    additions, because their rounding is part of the result; tasks make blocks of them, whose starts are
+    found by arithmetic (see ``runs``).
     """
     if batchsize <= 0:
         raise ValueError("batchsize must be positive")
@@ -66,27 +67,46 @@ def clock(interval: Any, batchsize: int = 1024) -> Pipeline:
     return Pipeline(run, step=None if isinstance(interval, Months) else interval)
 
 
-def _float_ticks(spark: SparkSession, start: float, stop: float, step: float) -> TimeFrame:
-    """start, start + step, (start + step) + step, ... below stop."""
+def runs(start: float, stop: float, step: float) -> Iterator[tuple[float, int, float]]:
+    """(first, count, spacing) of evenly spaced stretches of start, start + step, (start + step) + step, ... below stop.
 
-    def block(first: float) -> np.ndarray:
-        return np.cumsum(np.concatenate([[first], np.full(_BLOCK, step)]))  # in sequence, like repeated addition
-
-    starts, at = [], start
+    While sums stay between two powers of two they are rounded to the same grid, so each addition comes to the same: a
+    stretch ends with such a range, and there are as many as the exponents passed.
+    """
+    at = start
     while at < stop:
-        starts.append((at, len(starts) * _BLOCK))
-        if at + step == at:
+        then = at + step
+        if then == at:
             raise ValueError(f"the interval {step} is lost in rounding at {at}")
-        at = float(block(at)[-1])
+        after = then + step
+        edge = math.ldexp(1.0, math.frexp(then)[1]) if then > 0 else -math.ldexp(0.5, math.frexp(then)[1])
+        spacing = after - then
+        if not (then < stop and after < edge and after < stop and spacing > 0):
+            yield at, 1, step
+            at = then
+            continue
+        # ``then`` and the sums after it, as long as they stay below the edge; each is exact as a multiple of the grid.
+        count = 1 + int((min(edge, stop) - then) // spacing)
+        while count > 1 and not then + (count - 1) * spacing < min(edge, stop):
+            count -= 1
+        yield at, 1, step
+        yield then, count, spacing
+        at = (then + (count - 1) * spacing) + step
+
+
+def _float_ticks(spark: SparkSession, start: float, stop: float, step: float) -> TimeFrame:
+    """start, start + step, (start + step) + step, ... below stop."""
+    starts, index = [], 0
+    for first, count, spacing in runs(start, stop, step):
+        starts += [(first + k * spacing, index + k, min(_BLOCK, count - k), spacing) for k in range(0, count, _BLOCK)]
+        index += count
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, index in zip(*(c.to_pylist() for c in batch.columns)):
-                ticks = block(first)[:-1]
-                ticks = ticks[ticks < stop]
-                yield pa.RecordBatch.from_arrays([pa.array(ticks), pa.array(np.arange(index, index + len(ticks)))], [TIME, SEQ])
+            for first, index, count, spacing in zip(*(c.to_pylist() for c in batch.columns)):
+                yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(count) * spacing), pa.array(np.arange(index, index + count))], [TIME, SEQ])
 
-    blocks = spark.createDataFrame(starts, "first double, index bigint")
+    blocks = spark.createDataFrame(starts, "first double, index bigint, count bigint, spacing double")
     return TimeFrame(blocks.mapInArrow(run, f"{TIME} double, {SEQ} bigint"))
 
 
