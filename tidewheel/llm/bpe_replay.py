@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.shared import slices, trimmed, utf8
+from tidewheel.llm.shared import slices, small_batches, trimmed, utf8
 
 #: Text in one shard; a longer document makes a shard of its own.
 SHARD_BYTES = 4 << 20
@@ -235,6 +235,7 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep:
 
 
 def _mapped(docs, text, keep, run, names, added):
+    small_batches(docs.sparkSession)
     chosen = docs.select(F.col(text).alias("__text"), *[F.col(c) for c in keep])
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return chosen.mapInArrow(run, ", ".join(x for x in (kinds, added) if x))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewheel.llm.shared import hinted, pinned, slices, trimmed, unused, utf8, written
+from tidewheel.llm.shared import hinted, pinned, slices, small_batches, trimmed, unused, utf8, written
 from tidewheel.llm.textscan import prefix_sums, span_hashes
 
 WINDOW = 200
@@ -341,6 +341,7 @@ def _repeated_runs(dealt: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """sha (SHA-256 of the text) and spans: the byte ranges [a, b) of it that are repeated, for texts that have any."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(doc_id).cast("bigint").alias("id"))
     own = own.select("text", F.coalesce("id", F.xxhash64("text")).alias("row"))
     keyed = pinned(own.select("row", F.sha2("text", 256).alias("sha"), F.xxhash64("text").alias("key"), F.octet_length("text").cast("bigint").alias("n_bytes")))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.shared import hinted, pinned, slices, trimmed, utf8
+from tidewheel.llm.shared import hinted, pinned, slices, small_batches, trimmed, utf8
 from tidewheel.llm.textscan import ALNUM, LOWER, mix, sequence_hashes, word_hashes, words
 
 #: Bytes of text that are scanned at once.
@@ -205,6 +205,7 @@ def covered(spans: list[tuple[int, int]]) -> int:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), window: int = 10) -> DataFrame:
     """``keep`` columns, n_words, hit_spans (word ranges), item_ids (sorted), n_hit, n_items, items_sha256, contaminated."""
+    small_batches(docs.sparkSession)
     found = pinned(windows(benchmark, window))
     sizes = [r["size"] for r in found.select("size").distinct().orderBy("size").collect()]  # SHINGLE values at most
     own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewheel.llm.components import components
-from tidewheel.llm.shared import bucketed, hinted, pinned, slices, trimmed, utf8
+from tidewheel.llm.shared import bucketed, hinted, pinned, slices, small_batches, trimmed, utf8
 from tidewheel.llm.textscan import BLANK, LOWER, mix, sequence_hashes, word_hashes, words
 
 SCAN_BYTES = 1 << 20
@@ -449,6 +449,7 @@ def _with_long(lists: DataFrame) -> DataFrame:
 
 
 def _start(docs, doc_id, text, size, percent):
+    small_batches(docs.sparkSession)
     scanned = pinned(_scanned(docs, doc_id, text, size))
     known = scanned.filter("n is null").select("doc_id", "n_shingles", "digest")
     members = pinned(_members(known))

@@ -20,6 +20,18 @@ BROADCAST_BYTES = 40 << 20
 ROW_BYTES = 64
 
 
+#: Rows of an Arrow batch of documents.
+BATCH_ROWS = 2_500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send documents to Python in batches of ``BATCH_ROWS`` at most: Spark's 10,000 texts of some kilobytes are held several times over, by
+    the executor and by its workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, taken from ``spark.checkpoint.dir``.
 
