@@ -4,7 +4,7 @@ import datetime as dt
 import random
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from test_engine import table, values
@@ -143,6 +143,7 @@ def test_live_rolling_equals_the_batch_form(spark, tmp_path):
 
 
 @settings(max_examples=300, deadline=None)
+@example(50.0, 999.1885603880116, 4)
 @given(st.floats(-1e6, 1e6), st.floats(1e-3, 1e3), st.integers(1, 3000))
 def test_ticks_of_floats_are_repeated_additions(start, step, n):
     want, at = [], start

@@ -78,20 +78,21 @@ def runs(start: float, stop: float, step: float) -> Iterator[tuple[float, int, f
         then = at + step
         if then == at:
             raise ValueError(f"the interval {step} is lost in rounding at {at}")
-        after = then + step
-        edge = math.ldexp(1.0, math.frexp(then)[1]) if then > 0 else -math.ldexp(0.5, math.frexp(then)[1])
-        spacing = after - then
-        if not (then < stop and after < edge and after < stop and spacing > 0):
-            yield at, 1, step
+        first = then + step
+        spacing = (first + step) - first
+        edge = min(stop, math.ldexp(1.0, math.frexp(then)[1]) if then > 0 else -math.ldexp(0.5, math.frexp(then)[1]))
+        yield at, 1, step
+        if not first + spacing < edge:
             at = then
             continue
-        # ``then`` and the sums after it, as long as they stay below the edge; each is exact as a multiple of the grid.
-        count = 1 + int((min(edge, stop) - then) // spacing)
-        while count > 1 and not then + (count - 1) * spacing < min(edge, stop):
+        # The first sum from within the range settles how halves are rounded (to an even neighbour, and even they stay);
+        # it and those after it, up to the edge, are exact multiples of the grid.
+        yield then, 1, step
+        count = 1 + int((edge - first) // spacing)
+        while not first + (count - 1) * spacing < edge:
             count -= 1
-        yield at, 1, step
-        yield then, count, spacing
-        at = (then + (count - 1) * spacing) + step
+        yield first, count, spacing
+        at = (first + (count - 1) * spacing) + step
 
 
 def _float_ticks(spark: SparkSession, start: float, stop: float, step: float) -> TimeFrame:
