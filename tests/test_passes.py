@@ -209,3 +209,19 @@ def test_products_of_large_groups(spark):
     for wrong in (twos(63), twos(80)):
         with pytest.raises(Exception, match="overflow"):
             values(wrong, 0, 99, "x_product")
+
+
+@pytest.mark.parametrize("key", ["k", None])
+def test_tasks_of_a_pass_grow_in_number_with_the_rows(spark, monkeypatch, key):
+    for name, value in (("SMALL_BYTES", 0), ("ROWS", 500), ("TASK_ROWS", 500)):
+        monkeypatch.setattr(ranges, name, value, raising=False)
+    rows = spark.range(40_000).select(F.col("id").alias("time"), (F.col("id") % 800).alias("k"), F.lit(1).alias("x"))
+    source = tw.from_dataframe(rows, time="time", order="x")
+    for p in (source | tw.add_summary_columns(tw.Count(), key=key), source | tw.add_rolling_columns(("w", 30_000), tw.Count(), key=key)):
+        df = p.load(tw.Context(0, 40_000)).to_df()
+        name = [c for c in df.columns if c.endswith("count")][0]
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 40_000 and max(sizes) < 6_000, sizes
+        want = F.col("time") + 1 if key is None else F.floor(F.col("time") / 800) + 1
+        frame = 30_001 if key is None else 38
+        assert df.filter(F.col(name) != (F.least(want, F.lit(frame)) if name.startswith("w_") else want)).count() == 0

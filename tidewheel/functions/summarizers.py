@@ -143,7 +143,7 @@ class CarriedFolds(Folds):
         """``df`` with the folds of all ranges that the pass meets earlier: a row for each range of a cut key, at most."""
         if not self.found:
             return df
-        parts = df.filter(F.col(HOT) >= 0).groupBy(HOT, BUCKET).agg(*[_aggregate(kind, value).alias(f"__part{k}") for k, (kind, value) in enumerate(self.found)])
+        parts = self.ranges.df.filter(F.col(HOT) >= 0).groupBy(HOT, BUCKET).agg(*[_aggregate(kind, value).alias(f"__part{k}") for k, (kind, value) in enumerate(self.found)])
         before = W.partitionBy(HOT).orderBy(F.col(BUCKET).desc() if self.backward else F.col(BUCKET)).rowsBetween(W.unboundedPreceding, -1)
         again = lambda k, kind: self._again(kind, F.col(f"__part{k}"), before).alias(self._carry(k))
         return df.join(parts.select(HOT, BUCKET, *[again(k, kind) for k, (kind, _) in enumerate(self.found)]), [HOT, BUCKET], "left")

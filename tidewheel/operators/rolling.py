@@ -141,7 +141,8 @@ def _rolled(rolled: DataFrame, mine: DataFrame, source: TimeFrame, keys: list[st
         made = {f"{name}_{n}": c for n, c in build_all(plain, inp, engine).items()}
         made |= {f"__dep_{n}": c for n, c in build_all(below, inp, engine).items()}
         hidden = {n: f"__dep_{n}" for s in below for n in s.outputs}
-        df = dealt.df if dealt.cut is None else end.carried(start.carried(dealt.df))
+        df = dealt.dealt(dealt.df)
+        df = df if dealt.cut is None else end.carried(start.carried(df))
         df = df.select(*[F.col(f"`{c}`") for c in before], *[c.alias(n) for n, c in made.items()])
         mine = df.filter(F.col(f"{OWN}.__is"))
     if folds and monthly:

@@ -181,7 +181,8 @@ def add_summary_columns(summarizers: Any, key: Any = None, by_buckets: bool | in
         engine = FramedFolds(window) if dealt.cut is None else CarriedFolds(dealt, window)
         results = build_all(plain, inp, engine)
         hidden = {n: c for n, c in build_all(below, inp, engine).items()}
-        df = dealt.df if dealt.cut is None else engine.carried(dealt.df)
+        df = dealt.dealt(dealt.df)
+        df = df if dealt.cut is None else engine.carried(df)
         df = df.select(*names, *[c.alias(n) for n, c in results.items()], *[c.alias(f"__dep_{n}") for n, c in hidden.items()], SEQ)
         if folds:
             wanted = fields_of([s for s in own if isinstance(s, FoldSummarizer)])

@@ -47,7 +47,7 @@ def nearest(left: TimeFrame, right: TimeFrame, keys: list[str], forward: bool, s
         order.insert(0, F.col(_CARRIED).desc())
         df = df.withColumn(_CARRIED, F.lit(False)).unionByName(_carried(dealt, keys, forward).withColumn(_CARRIED, F.lit(True)), allowMissingColumns=True)
     window = W.partitionBy(*[F.col(f"`{k}`") for k in dealt.by]).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    found = df.withColumn(RIGHT, F.last(RIGHT, ignorenulls=True).over(window)).filter(F.col(f"{LEFT}.__is"))
+    found = dealt.dealt(df).withColumn(RIGHT, F.last(RIGHT, ignorenulls=True).over(window)).filter(F.col(f"{LEFT}.__is"))
     return found.drop(HOT, BUCKET, _CARRIED)
 
 

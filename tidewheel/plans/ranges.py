@@ -17,8 +17,11 @@ from tidewheel.plans.durable import estimated_bytes, kept
 #: The range of a row, and the number of its key among those that are cut (negative for others).
 BUCKET, HOT = "__bucket", "__hot"
 _ALL, _AT, _BORDERS, _COUNT, _PARTS = "__all", "__at", "__borders", "__n", "__parts"
-#: Rows of a range, ranges of a key at most (then they hold more), and bytes of input under which a pass is no burden to one task.
-ROWS, MOST, SMALL_BYTES = 2_000_000, 4096, 64 << 20
+#: Rows of a range, ranges of a key at most (then they hold more), and bytes of input, as files hold it, under which a pass is no burden
+#: to one task: a row of a few bytes there takes some 600 in a sort and a window.
+ROWS, MOST, SMALL_BYTES = 150_000, 1 << 15, 4 << 20
+#: Rows of a task of a pass, on the average: tasks grow in number with the rows, whatever the session's shuffle partitions are.
+TASK_ROWS = 150_000
 #: Borders are looked up in two steps: among every so many, then among those between.
 _STEP = 64
 #: Tables of ranges with so many borders at most are broadcast (8 bytes each, and a key).
@@ -27,11 +30,20 @@ _SENT = 1 << 18
 
 @dataclass(frozen=True)
 class Ranges:
-    """Rows and what an ordered pass is partitioned by; ``cut`` has the keys that are cut, their number and ranges, if any are."""
+    """Rows and what an ordered pass is partitioned by; ``cut`` has the keys that are cut, their number and ranges, if any are;
+    ``tasks``, in how many a pass should run, where rows were counted."""
 
     df: DataFrame
     by: list[str]
     cut: DataFrame | None = None
+    tasks: int | None = None
+
+    def dealt(self, df: DataFrame) -> DataFrame:
+        """``df``, of the rows of ``self.df`` and others, dealt to the tasks of a pass."""
+        if self.tasks is None:
+            return df
+        by = self.by if self.cut is None else [HOT, BUCKET]  # which carries are joined on
+        return df.repartition(self.tasks, *[F.col(f"`{c}`") for c in by]) if by else df.repartition(1)
 
 
 def same(names: list[str]) -> Column:
@@ -56,11 +68,15 @@ def ranged(df: DataFrame, keys: list[str], number: Column, rows: int | bool | No
         rows = max(1, -(-df.count() // int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     rows = rows or ROWS
     columns = [F.col(f"`{k}`") for k in own]
-    counts = df.groupBy(*columns).agg(F.count(F.lit(1)).alias(_COUNT)).filter(F.col(_COUNT) > rows)
-    counts = counts.withColumn(_PARTS, F.least(F.ceil(F.col(_COUNT) / rows), F.lit(MOST)).cast("int"))
-    total = counts.agg(F.max(_PARTS).alias("most"), F.sum(_PARTS).alias("all")).first()
+    counts = df.groupBy(*columns).agg(F.count(F.lit(1)).alias(_COUNT))
+    counts = counts.withColumn(_PARTS, F.when(F.col(_COUNT) > rows, F.least(F.ceil(F.col(_COUNT) / rows), F.lit(MOST)).cast("int")))
+    total = counts.agg(F.max(_PARTS).alias("most"), F.sum(_PARTS).alias("all"), F.sum(_COUNT).alias("n")).first()
+    tasks = max(1, -(-(total["n"] or 0) // TASK_ROWS))
     if total["most"] is None:
-        return Ranges(df if keys else df.drop(_ALL), list(keys))
+        return Ranges(df if keys else df.drop(_ALL), list(keys), None, tasks)
+    counts = counts.filter(F.col(_PARTS).isNotNull())
+    if total["all"] > _SENT:  # the joins below sort the rows
+        df = df.repartition(tasks, *columns)
     most, sent = total["most"], (lambda t: F.broadcast(t) if total["all"] <= _SENT else t)
     marked = df.withColumn(_AT, number).alias("g").join(sent(counts).alias("e"), same(own)).select(*[F.col(f"g.`{k}`") for k in own], f"g.{_AT}", f"e.{_PARTS}")
     sketch = marked.groupBy(*columns).agg(F.percentile_approx(_AT, [k / most for k in range(1, most)], max(10_000, 20 * most)).alias("q"), F.first(_PARTS).alias(_PARTS))
@@ -71,7 +87,7 @@ def ranged(df: DataFrame, keys: list[str], number: Column, rows: int | bool | No
     joined = joined.select(*[F.col(f"g.`{c}`") for c in df.columns], f"g.{_AT}", f"e.{_BORDERS}", f"e.{HOT}")
     other = -F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) - 1
     dealt = joined.withColumns({BUCKET: F.coalesce(_place(F.col(_BORDERS), F.col(_AT)), F.lit(0)), HOT: F.coalesce(F.col(HOT), other)}).drop(_AT, _BORDERS, *([] if keys else [_ALL]))
-    return Ranges(dealt, [HOT, BUCKET, *keys], cut.withColumn(_PARTS, F.size(_BORDERS) + 1))
+    return Ranges(dealt, [HOT, BUCKET, *keys], cut.withColumn(_PARTS, F.size(_BORDERS) + 1), tasks)
 
 
 def _place(borders: Column, at: Column) -> Column:
