@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import bpe_replay, bwt_dedup, decontaminate, jaccard_join, quality_rules
-from tidewheel.llm.shared import hinted, pinned, unused, written
+from tidewheel.llm.shared import hinted, pinned, released, unused, written
 
 ORACLE_SQL = None
 
@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     joined = pinned(jaccard_join.join(docs))
     kept = joined.filter("doc_id = component_id").select("doc_id").distinct()
     count = joined.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids"), F.count_distinct("doc_id").alias("own")).first()
-    out = docs.join(hinted(kept, count["own"], 16), "doc_id", "left_semi").select(*docs.columns)
+    out = docs.join(hinted(kept, count["own"], 16, jaccard_join.SENT_BYTES), "doc_id", "left_semi").select(*docs.columns)
     if count["own"] < count["ids"]:
         out = out.dropDuplicates(["doc_id"])
     if count["ids"] < count["n"]:
@@ -86,4 +86,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        released(spark)
     return docs

@@ -99,3 +99,15 @@ def test_long_texts_and_extra_columns(spark):
     rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[:20_000])), (4, " ".join(words).upper())]
     df = spark.createDataFrame([(*r, "a", "b", 1) for r in rows], "doc_id long, text string, node string, token string, component long")
     assert {r.doc_id: r.component_id for r in jaccard_join.join(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
+
+
+def test_driver_holds_small_broadcasts_and_drops_what_rounds_leave(spark, monkeypatch):
+    from tidewheel.llm import shared
+
+    assert shared.small_enough(65_000, 64, jaccard_join.SENT_BYTES) and not shared.small_enough(250_000, 64, jaccard_join.SENT_BYTES)
+    calls = []
+    monkeypatch.setattr(jaccard_join, "released", lambda s: (calls.append(1), shared.released(s)))
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join([*words, f"x{k}"])) for k in range(12)], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard_join.join(docs).collect()} == {0}
+    assert len(calls) >= 2

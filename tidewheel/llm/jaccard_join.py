@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewheel.llm.components import components
-from tidewheel.llm.shared import bucketed, hinted, pinned, slices, small_batches, trimmed, utf8
+from tidewheel.llm.shared import bucketed, hinted, pinned, released, slices, small_batches, trimmed, utf8
 from tidewheel.llm.textscan import BLANK, LOWER, mix, sequence_hashes, word_hashes, words
 
 SCAN_BYTES = 1 << 20
@@ -61,6 +61,8 @@ LONG = 32
 #: their lists are ranked in ``SALTS`` parts, or in more, of ``HOT`` members each.
 HOT = 10_000
 SALTS = 64
+#: Broadcasts of a join have so many bytes at most: the driver holds each collected, as a table and in blocks, and several at a time.
+SENT_BYTES = 8 << 20
 #: Token buckets for each shuffle partition at least, and tokens of a bucket at most, by count.
 BUCKETS, BUCKET_TOKENS = 8, 4 << 20
 
@@ -212,7 +214,7 @@ def _packed_tokens(docs: DataFrame, doc_id: str, text: str, members: DataFrame,
                     ids = (bucket[hot] << np.uint64(32) | tail[hot]).tobytes()
                     yield pa.RecordBatch.from_arrays([pa.array([int(node[hot[0]] % buckets)], pa.int32()), *[pa.array([x], pa.binary()) for x in (node[hot].tobytes(), ids, mark[hot].tobytes(), n[hot].tobytes())]], ["bucket", "nodes", "tails", "marks", "n"])
 
-    reps = hinted(members.select("node", "digest"), count, 64)
+    reps = hinted(members.select("node", "digest"), count, 64, SENT_BYTES)
     own = docs.select(F.col(doc_id).cast("bigint").alias("node"), F.col(text).alias("text")).join(reps, "node").select("node", "text", "digest")
     return own.mapInArrow(run, "bucket int, nodes binary, tails binary, marks binary, n binary")
 
@@ -344,7 +346,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: DataFrame)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
 
     own = docs.select(F.col(doc_id).cast("bigint").alias("node"), F.col(text).alias("text"))
-    made = own.join(hinted(wanted, wanted.count(), 64), "node").select("node", "text", "digest").mapInArrow(run, "node bigint, tokens binary")
+    made = own.join(hinted(wanted, wanted.count(), 64, SENT_BYTES), "node").select("node", "text", "digest").mapInArrow(run, "node bigint, tokens binary")
     return bucketed(made, "token_sets", "node")
 
 
@@ -437,7 +439,7 @@ def _unresolved(lists: DataFrame, labels: DataFrame) -> DataFrame:
     open_ = known.groupBy("key", "other").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high")
     open_ = pinned(open_.select(F.col("key").alias("__key"), F.col("other").alias("__other"), "members"))
     on = (F.col("key") == F.col("__key")) & F.col("other").eqNullSafe(F.col("__other"))
-    return known.drop("members").join(hinted(open_, open_.count(), 48), on).drop("__key", "__other")
+    return known.drop("members").join(hinted(open_, open_.count(), 48, SENT_BYTES), on).drop("__key", "__other")
 
 
 def _with_long(lists: DataFrame) -> DataFrame:
@@ -462,6 +464,7 @@ def _start(docs, doc_id, text, size, percent):
     packed = _packed_tokens(docs, doc_id, text, wanted, count, frequent_tokens(scanned), size, percent, buckets)
     tokens = pinned(_shared_tokens(packed, wanted, percent))
     lists = pinned(_lists(tokens, percent, boundary(tokens)))
+    released(docs.sparkSession)
     listed = lists.select("node").distinct()
     sets, drop = _sets(docs, doc_id, text, size, pinned(wanted.join(listed, "node", "left_semi")))
     prefixes, drop_prefixes = bucketed(tokens.filter("class is null").select("node", "size", F.col("own.token").alias("tokens")), "prefixes", "node")
@@ -502,6 +505,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         rest = pinned(_unresolved(lists.filter(F.col("rank") > last), labels))
         lists = rest if "long" in rest.columns else pinned(_with_long(rest))
         first, last = last + 1, last * GROWTH
+        released(docs.sparkSession)
     for drop in drops:
         drop()
     if labels is None:
