@@ -213,3 +213,15 @@ def test_kept_columns_may_have_any_names(spark):
     df = spark.createDataFrame([(1, "https://a/", "<article><p>a story</p></article>", "h", 5, "own")], "page_id long, url string, html string, __host string, __key long, `__html` string")
     row = html_extract.extract(df, keep=("page_id", "__html", "__host", "__key")).first()
     assert tuple(row) == (1, "own", "h", 5, "a story", 7)
+
+
+def test_fixed_text_that_the_shortest_pages_lack_is_found(spark):
+    note = "every reader of this host is kindly asked to support our work with a small gift"
+    pages = []
+    for k in range(40):
+        own = " ".join(f"w{k}x{j}" for j in range(20 + k))
+        pages.append((k, f"http://h/{k}", f"<html><body><article><p>{own}</p>{'' if k < 4 else f'<p>{note}</p>'}</article></body></html>"))
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(rows).collect()}
+    assert len(got) == 40 and not any(note in text for text in got.values())
+    assert all(f"w{k}x0" in got[k] for k in got)

@@ -13,8 +13,8 @@ class.  Vectors are compared by mergeable sums, so a host of any size aggregates
   if three quarters of its words are of that class (so one word may vary) and those words times the other pages
   that have them come to ``EVIDENCE``: a long sentence shows in few pages, two words in many; no size of host
   switches the rule.  The fixed text of N pages may be all but one Nth of a page's main text, as else the pages are
-  but copies of each other, and keep it.  Candidates are the words of a host's three shortest pages, and all pages are
-  counted for these only.
+  but copies of each other, and keep it.  Candidates come from the shortest five sixteenths of a
+  host's pages: at most a quarter can lack such a word, so it stands in the number of these beyond a quarter at least; all pages are counted for these only.
 * The text that varies (all but links and fixed words) is summed by slot.  The slot with most of it, and those beside
   it that have much, hold the main text; the slots nested in them are read too.
 
@@ -46,7 +46,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewheel.llm.shared import hinted, pinned, trimmed
@@ -77,8 +76,10 @@ _HEADS = re.compile(r"(?:site|page|main|top)?[-_]?(?:header|masthead)(?:[-_](?:a
 WRAPPER = 0.9
 #: The share of the best slot's varying text that a slot beside it must have.
 BESIDE = 0.25
-#: Pages of a host, the shortest, whose words are counted in all others.
-SHORTEST = 3
+#: The share of a host's pages, the shortest, whose words are counted in all others: more than can lack a word of SUPPORT of the pages.
+PART = 5 / 16
+#: How many pages of a host, by length, may give fixed words: None for all.  The tests' count by hand reads it.
+SHORTEST = None
 #: The share of pages that a class of fixed words is in, of a block's words that are of it, and what these times pages must come to.
 SUPPORT, SHARE, EVIDENCE = 0.75, 0.75, 30
 #: Pages whose tokens are counted at once.
@@ -349,7 +350,7 @@ def _chunks(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, li
 
 
 def candidate_words(first: DataFrame) -> DataFrame:
-    """__host, token, path and length of the words of the pages ``first``."""
+    """__host, token, path, length and ``n``, in how many of the pages, of the words of the pages ``first``."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,10 +359,12 @@ def candidate_words(first: DataFrame) -> DataFrame:
                 for host, (blocks, _) in zip(part.column(0).to_pylist(), read):
                     token, size, at = word_tokens(blocks)
                     path = np.repeat(np.array([b.path for b in blocks], object), np.diff(at))
+                    token, one = np.unique(token, return_index=True)
+                    path, size = path[one], size[one]
                     yield pa.RecordBatch.from_arrays([pa.array([host] * len(token), pa.string()), pa.array(token.view(np.int64)), pa.array(path.tolist(), pa.string()), pa.array(size, pa.int64())], ["__host", "token", "path", "length"])
 
     found = first.select("__host", "__html").mapInArrow(run, "__host string, token bigint, path string, length bigint")
-    return found.groupBy("__host", "token").agg(F.min("path").alias("path"), F.min("length").alias("length"))
+    return found.groupBy("__host", "token").agg(F.min("path").alias("path"), F.min("length").alias("length"), F.count(F.lit(1)).alias("n"))
 
 
 def occurrence_vectors(own: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -418,11 +421,15 @@ def templates(own: DataFrame) -> DataFrame:
     """__host, total (its pages), ``template`` (what ``choose_slots`` returns) and ``fixed``, ``classes``, ``support`` (word tokens, the classes they are of
     and in how many pages these are) of each host with a page that is not empty."""
     own = own.filter("trim(__html) <> ''")
-    rank = F.row_number().over(W.partitionBy("__host").orderBy(F.octet_length("__html"), "__key"))
-    first = pinned(own.select("__host", "__key", "__html").withColumn("rank", rank).filter(F.col("rank") <= SHORTEST).select("__host", "__key").distinct())
-    hosts = pinned(own.groupBy("__host").agg(F.count(F.lit(1)).alias("total")))
+    # A word of SUPPORT of a host's pages is missing in a quarter of them at most, so any pages beyond a quarter have it, in number.
+    place = F.octet_length("__html").cast("bigint") * 1024 + F.pmod("__key", F.lit(1024))
+    hosts = pinned(own.groupBy("__host").agg(F.count(F.lit(1)).alias("total"), F.percentile_approx(place, PART, 10_000).alias("upto")))
     count = hosts.count()
-    candidates = pinned(candidate_words(own.join(hinted(first, SHORTEST * count, 96), ["__host", "__key"])))
+    first = own.withColumn("place", place).join(hinted(hosts, count, 96), "__host").filter("place <= upto")
+    needed = first.groupBy("__host", "total").agg(F.count(F.lit(1)).alias("chosen")).select("__host", F.greatest(F.lit(1), F.col("chosen") - F.floor((1 - SUPPORT) * F.col("total"))).alias("needed"))
+    candidates = candidate_words(first).join(hinted(needed, count, 96), "__host").filter("n >= needed")
+    candidates = pinned(candidates.select("__host", "token", "path", "length"))
+    hosts = hosts.drop("upto")
     gathered = candidates.groupBy("__host").agg(F.collect_list("token").alias("tokens"))
     vectors = pinned(occurrence_vectors(own, _sized(pinned(gathered), "8 * size(tokens)")))
     vectors = vectors.join(hinted(hosts, count, 96), "__host")
