@@ -111,3 +111,39 @@ def test_driver_holds_small_broadcasts_and_drops_what_rounds_leave(spark, monkey
     docs = spark.createDataFrame([(k, " ".join([*words, f"x{k}"])) for k in range(12)], "doc_id long, text string")
     assert {r["component_id"] for r in jaccard_join.join(docs).collect()} == {0}
     assert len(calls) >= 2
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_texts_stay_where_they_are_whatever_their_number(spark):
+    df = spark.createDataFrame([(k, " ".join(f"w{k % 5}x{j}" for j in range(40))) for k in range(20)], "doc_id long, text string").repartition(3)
+    scanned = jaccard_join._scanned(df, "doc_id", "text", 5)
+    members = jaccard_join._members(scanned.filter("n is null"))
+    packed = jaccard_join._packed_tokens(df, "doc_id", "text", members, 10**9, jaccard_join.frequent_tokens(scanned), 5, 80, 8)
+    assert _exchanges(packed) == 1  # that of the given repartition
+
+
+def test_sets_whose_keys_are_equal_stay_apart(spark):
+    texts = [" ".join(f"{x}{j}" for j in range(40)) for x in "ab"]
+    df = spark.createDataFrame([(1, texts[0]), (2, texts[1]), (3, texts[0] + " z")], "doc_id long, text string")
+    scanned = jaccard_join._scanned(df, "doc_id", "text", 5)
+    members = {r["node"]: r for r in jaccard_join._members(scanned.filter("n is null")).collect()}
+    same = members[1]["digest"][:8] + members[2]["digest"][8:]
+    wanted = spark.createDataFrame([(1, members[1]["digest"], 36), (2, same, 36), (3, members[3]["digest"], 37)], "node long, digest binary, size int")
+    packed = jaccard_join._packed_tokens(df, "doc_id", "text", wanted, 3, jaccard_join.frequent_tokens(scanned), 5, 80, 8)
+    own = {r["node"]: {x["token"] for x in r["own"]} for r in jaccard_join._shared_tokens(packed, wanted, 80).filter("class is null").collect()}
+    assert own[1] == own[2] == own[3] and own[1]
+
+
+def test_sieve_loses_nothing(spark, monkeypatch):
+    from tidewheel.llm import shared
+
+    monkeypatch.setattr(shared, "MOST_BITS", shared.SIEVE_ROW * 2)
+    ids = set(range(-9_000, 90_000, 7))
+    rows = spark.range(-20_000, 100_000)
+    passes = shared.sieve(spark.createDataFrame([(k,) for k in ids], "node long"), 10**9)
+    inside, outside = ({r["id"] for r in passes(rows, "id", inside=x).collect()} for x in (True, False))
+    assert ids <= inside and not inside & outside and len(inside) + len(outside) == 120_000
+    assert len(inside - ids) < 0.2 * len(outside)

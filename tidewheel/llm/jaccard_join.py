@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewheel.llm.components import components
-from tidewheel.llm.shared import bucketed, hinted, pinned, released, slices, small_batches, trimmed, utf8
+from tidewheel.llm.shared import bucketed, hinted, pinned, released, sieve, slices, small_batches, trimmed, utf8
 from tidewheel.llm.textscan import BLANK, LOWER, mix, sequence_hashes, word_hashes, words
 
 SCAN_BYTES = 1 << 20
@@ -65,6 +65,8 @@ SALTS = 64
 SENT_BYTES = 8 << 20
 #: Token buckets for each shuffle partition at least, and tokens of a bucket at most, by count.
 BUCKETS, BUCKET_TOKENS = 8, 4 << 20
+#: So many of the sets that a task has met are known to it, so that copies do not repeat their tokens.
+MET = 1 << 17
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> Iterator[np.ndarray]:
@@ -167,8 +169,10 @@ def prefix(own: np.ndarray, often: np.ndarray, count: np.ndarray, marks: np.ndar
 
 
 def _packed_tokens(docs: DataFrame, doc_id: str, text: str, members: DataFrame, count: int, frequent: tuple, size: int, percent: int, buckets: int) -> DataFrame:
-    """Prefix tokens of the members, packed by bucket: nodes, the tokens' last 32 bits, and marks.
+    """Prefix tokens of all sets, packed by bucket: the sets' keys, the tokens' last 32 bits, and marks.
 
+    No text is joined to its member: a set is known by a key from its digest, which the members meet where tokens are
+    gathered by set (``_shared_tokens``).  So texts are neither shuffled nor is a table of ``members``, of any ``count``, sent out.
     A mark holds, from its lowest bits, how far beyond the shortest prefix the token stands (0, 1, 2;
     2 bits), the bit length of the size (5 bits) and the token's place in the set's order (25 bits).
     HOT tokens come with the count ``n`` of their sets instead, in any bucket.
@@ -178,19 +182,22 @@ def _packed_tokens(docs: DataFrame, doc_id: str, text: str, members: DataFrame,
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, number = given.value
-        marked = np.zeros(1 << 22, bool)
+        marked, met = np.zeros(1 << 22, bool), set()
         marked[(often >> np.uint64(42)).astype(np.int64)] = True
         for batch in batches:
-            raw, offsets = utf8(batch.column(1))
+            raw, offsets = utf8(batch.column(0))
             for a, b in slices(offsets, SLICE_BYTES):
                 nodes, tokens, marks, counts = [], [], [], []
-                whole = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
-                for node, digest, own in zip(batch.column(0)[a:b].to_pylist(), batch.column(2)[a:b].to_pylist(), whole):
-                    if not len(own) or _digest(own) != digest:  # another text under the same id
+                for own in shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size):
+                    digest = _digest(own)
+                    if not len(own) or digest in met:
                         continue
+                    if len(met) >= MET:
+                        met.clear()
+                    met.add(digest)
                     token, n = prefix(own, often, number, marked, percent)
                     beyond = np.arange(len(token)) - (len(own) - least_common(len(own), percent))
-                    nodes.append(np.full(len(token), node, np.int64))
+                    nodes.append(np.full(len(token), int.from_bytes(digest[:8], "big", signed=True), np.int64))
                     tokens.append(token)
                     counts.append(n)
                     place = np.minimum(np.arange(len(token)), (1 << 25) - 1)
@@ -214,9 +221,13 @@ def _packed_tokens(docs: DataFrame, doc_id: str, text: str, members: DataFrame,
                     ids = (bucket[hot] << np.uint64(32) | tail[hot]).tobytes()
                     yield pa.RecordBatch.from_arrays([pa.array([int(node[hot[0]] % buckets)], pa.int32()), *[pa.array([x], pa.binary()) for x in (node[hot].tobytes(), ids, mark[hot].tobytes(), n[hot].tobytes())]], ["bucket", "nodes", "tails", "marks", "n"])
 
-    reps = hinted(members.select("node", "digest"), count, 64, SENT_BYTES)
-    own = docs.select(F.col(doc_id).cast("bigint").alias("node"), F.col(text).alias("text")).join(reps, "node").select("node", "text", "digest")
-    return own.mapInArrow(run, "bucket int, nodes binary, tails binary, marks binary, n binary")
+    texts = docs.filter(F.col(doc_id).isNotNull()).select(F.col(text).alias("text"))
+    return texts.mapInArrow(run, "bucket int, nodes binary, tails binary, marks binary, n binary")
+
+
+def _key(digest: Column) -> Column:
+    """The key of a set, from its digest.  Sets that share one share their tokens as well, which costs checks and loses nothing."""
+    return F.conv(F.hex(F.substring(digest, 1, 8)), 16, -10).cast("bigint")
 
 
 def _shared_tokens(packed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -252,7 +263,7 @@ def _shared_tokens(packed: DataFrame, members: DataFrame, percent: int) -> DataF
             order = order[twice]
             order = order[np.lexsort((node[order], tail[order]))]
             node, tail, mark = node[order], tail[order], mark[order]
-            first = np.ones(len(node), bool)  # repeated rows count once
+            first = np.ones(len(node), bool)  # copies count once
             first[1:] = (node[1:] != node[:-1]) | (tail[1:] != tail[:-1])
             node, tail, mark = node[first], tail[first], mark[first]
             _, where, n = np.unique(tail, return_inverse=True, return_counts=True)
@@ -274,12 +285,14 @@ def _shared_tokens(packed: DataFrame, members: DataFrame, percent: int) -> DataF
             yield shared(current, held)
 
     sorted_ = packed.repartition("bucket").sortWithinPartitions("bucket")
-    found = sorted_.mapInArrow(run, "node bigint, class int, token bigint, n bigint, beyond int, place int")
-    sizes = members.select("node", *[F.lit(None).cast(k).alias(c) for c, k in (("class", "int"), ("token", "bigint"), ("n", "bigint"), ("beyond", "int"), ("place", "int"))], "size")
+    found = sorted_.mapInArrow(run, "key bigint, class int, token bigint, n bigint, beyond int, place int")
+    sizes = members.select(_key(F.col("digest")).alias("key"), *[F.lit(None).cast(k).alias(c) for c, k in (("class", "int"), ("token", "bigint"), ("n", "bigint"), ("beyond", "int"), ("place", "int"))], F.struct("node", F.col("size").cast("int").alias("size")).alias("member"))
     own = F.collect_set(F.when(F.col("token").isNotNull(), F.struct("token", "n", "beyond", "place")))
-    sized = found.withColumn("size", F.lit(None).cast("int")).unionByName(sizes).groupBy("class", "node").agg(own.alias("own"), F.sum("n").alias("weight"), F.max("size").alias("size"))
+    keyed = found.withColumn("member", F.lit(None).cast("struct<node:bigint,size:int>")).unionByName(sizes).groupBy("class", "key").agg(own.alias("own"), F.sum("n").alias("cost"), F.collect_set("member").alias("of"))
+    weight = F.when(F.col("class").isNull(), F.aggregate("own", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])).otherwise(F.col("cost"))
+    sized = keyed.select("class", "own", weight.alias("weight"), F.explode_outer("of").alias("of")).select("of.node", "of.size", "class", "own", "weight")
     needed = _common(_least(F.col("size"), percent))
-    return sized.filter(F.col("class").isNotNull() | (F.size("own") >= needed)).select("node", "size", "class", "own", "weight")
+    return sized.filter(F.col("class").isNotNull() | F.col("node").isNotNull() & (F.size("own") >= needed))
 
 
 def _least(size: Column, percent: int) -> Column:
@@ -333,21 +346,28 @@ def _possible(x: str, y: str, percent: int) -> Column:
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: DataFrame) -> tuple:
-    """node and its whole token set as bytes, for the (node, digest) rows of ``wanted``, in a table bucketed by node."""
+    """node and its whole token set as bytes, for the (node, digest) rows of ``wanted``, in a table bucketed by node.
+
+    Sets are made of the texts whose ids pass a sieve of the wanted ones, and meet the wanted rows by node: no text is shuffled.
+    """
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sets = [], []
-            for node, digest, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(*utf8(batch.column(1)), size)):
-                if len(own) and _digest(own) == digest:
+            nodes, digests, sets = [], [], []
+            for node, own in zip(batch.column(0).to_pylist(), shingle_sets(*utf8(batch.column(1)), size)):
+                if len(own):
                     nodes.append(node)
+                    digests.append(_digest(own))
                     sets.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["node", "digest", "tokens"])
 
-    own = docs.select(F.col(doc_id).cast("bigint").alias("node"), F.col(text).alias("text"))
-    made = own.join(hinted(wanted, wanted.count(), 64, SENT_BYTES), "node").select("node", "text", "digest").mapInArrow(run, "node bigint, tokens binary")
-    return bucketed(made, "token_sets", "node")
+    own = docs.select(F.col(doc_id).cast("bigint").alias("node"), F.col(text).alias("text")).filter("node is not null")
+    passes = sieve(wanted.select("node"), wanted.count())
+    made = passes(own, "node").mapInArrow(run, "node bigint, digest binary, tokens binary").withColumn("wanted", F.lit(False))
+    both = made.union(wanted.select("node", "digest", F.lit(None).cast("binary"), F.lit(True)))
+    gather = lambda dealt: dealt.groupBy("node", "digest").agg(F.first("tokens", True).alias("tokens"), F.max("wanted").alias("wanted")).filter("wanted and tokens is not null").select("node", "tokens")
+    return bucketed(both, "token_sets", "node", gather)
 
 
 def _common(size: Column) -> Column:
@@ -458,7 +478,7 @@ def _start(docs, doc_id, text, size, percent):
     # Of several sets under one id, that with the smallest digest stands for the id in near links.
     wanted = members.groupBy("node").agg(F.min_by("size", "digest").alias("size"), F.min("digest").alias("digest"))
     wanted = pinned(wanted)
-    total = wanted.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).first()
+    total = known.filter("n_shingles > 0 and doc_id is not null").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")).first()
     count, tokens = total["n"], (total["shingles"] or 0) * (100 - percent) // 100 + prefix_common(0) * total["n"]
     buckets = max(BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
     packed = _packed_tokens(docs, doc_id, text, wanted, count, frequent_tokens(scanned), size, percent, buckets)
