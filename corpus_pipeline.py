@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import bpe_replay, bwt_dedup, decontaminate, jaccard_join, quality_rules
-from tidewheel.llm.shared import hinted, pinned, released, unused, written
+from tidewheel.llm.shared import pinned, released, sieve, unused, written
 
 ORACLE_SQL = None
 
@@ -35,9 +35,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     names; an empty table stays empty.
     """
     joined = pinned(jaccard_join.join(docs))
-    kept = joined.filter("doc_id = component_id").select("doc_id").distinct()
+    # Texts whose id is surely not among the dropped ones stay where they are; only the others are joined.
+    dropped = pinned(joined.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept")).filter("not kept").select("doc_id"))
+    passes = sieve(dropped, dropped.count())
     count = joined.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids"), F.count_distinct("doc_id").alias("own")).first()
-    out = docs.join(hinted(kept, count["own"], 16, jaccard_join.SENT_BYTES), "doc_id", "left_semi").select(*docs.columns)
+    named = docs.filter("doc_id is not null")
+    out = passes(named, "doc_id", inside=False).unionByName(passes(named, "doc_id").join(dropped, "doc_id", "left_anti").select(*docs.columns))
     if count["own"] < count["ids"]:
         out = out.dropDuplicates(["doc_id"])
     if count["ids"] < count["n"]:

@@ -101,3 +101,19 @@ def remaining(texts, window=200):
     return out
 
 
+
+
+def test_near_duplicates_leave_texts_where_they_are(spark, monkeypatch):
+    import corpus_pipeline
+    from tidewheel.llm import jaccard_join, shared
+
+    monkeypatch.setattr(jaccard_join, "SENT_BYTES", 0)  # as for many documents
+    monkeypatch.setattr(shared, "MOST_BITS", 64)  # many of those that stay pass the sieve by chance
+    texts = [" ".join(f"t{k}w{j}" for j in range(30)) for k in range(40)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, t + " more") for k, t in enumerate(texts[:15])] + [(200, None), (201, "")]
+    rows += [(7, texts[7]), (None, texts[3]), (None, "alone")]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "SortMergeJoin" in x and "LeftSemi" in x]
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in out.collect())
+    assert got == sorted([(-1, "alone"), (200, ""), (201, ""), *enumerate(texts)])
