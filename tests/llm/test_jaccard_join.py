@@ -147,3 +147,23 @@ def test_sieve_loses_nothing(spark, monkeypatch):
     inside, outside = ({r["id"] for r in passes(rows, "id", inside=x).collect()} for x in (True, False))
     assert ids <= inside and not inside & outside and len(inside) + len(outside) == 120_000
     assert len(inside - ids) < 0.2 * len(outside)
+
+
+def _digits(df):
+    """Decimal digits of the size that Spark estimates for a plan, beyond exabytes: a product of all that it joins."""
+    said = df._jdf.queryExecution().optimizedPlan().stats().simpleString()
+    return int((re.search(r"E\+(\d+) B", said) or (0, 0))[1])
+
+
+def test_estimated_sizes_do_not_multiply_with_the_rounds(spark, monkeypatch):
+    from tidewheel.llm.components import components
+
+    chain = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long")
+    out = components(chain)
+    assert _digits(out) < 1_000
+    assert {(r["node"], r["component"]) for r in out.collect()} == {(k, 0) for k in range(301)}
+    monkeypatch.setattr(jaccard_join, "GROWTH", 2)
+    docs = corpus(2)
+    out = jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert _digits(out) < 1_000
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == brute(docs)[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.shared import pinned
+from tidewheel.llm.shared import pinned, settled
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         to = pinned(seen.groupBy("a").agg(F.max(F.struct("degree", F.xxhash64("b", F.lit(round_)), "b"))["b"].alias("to")))
         labels = to.select(F.col("a").alias("node"), F.col("to").alias("component")) if labels is None else labels.join(to, labels["component"] == to["a"], "left").select("node", F.coalesce("to", "component").alias("component"))
         x, y = to.select(F.col("a"), F.col("to").alias("p")), to.select(F.col("a").alias("b"), F.col("to").alias("q"))
-        rest = pinned(rest.join(x, "a").join(y, "b").select(F.col("p").alias("a"), F.col("q").alias("b")).filter("a <> b").distinct())
+        rest = settled(rest.join(x, "a").join(y, "b").select(F.col("p").alias("a"), F.col("q").alias("b")).filter("a <> b").distinct())
         round_ += 1
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewheel.llm.components import components
-from tidewheel.llm.shared import bucketed, hinted, pinned, released, sieve, slices, small_batches, trimmed, utf8
+from tidewheel.llm.shared import bucketed, hinted, pinned, released, settled, sieve, slices, small_batches, trimmed, utf8
 from tidewheel.llm.textscan import BLANK, LOWER, mix, sequence_hashes, word_hashes, words
 
 SCAN_BYTES = 1 << 20
@@ -511,19 +511,19 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     known, members, lists, check, drops = _start(docs, doc_id, text, size, percent)
     labels, first, last = None, 1, 1
     while lists.head(1):
-        found = pinned(check(_central(lists, percent), True) if last == 1 else check(_candidates(lists, first, last, percent)))
+        found = settled(check(_central(lists, percent), True) if last == 1 else check(_candidates(lists, first, last, percent)))
         if labels is not None:  # what was found before stands as its component
             x, y = labels.select(F.col("node").alias("a"), F.col("component").alias("p")), labels.select(F.col("node").alias("b"), F.col("component").alias("q"))
             found = found.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b"))
-            found = pinned(found)
-        new = pinned(components(found))
+            found = settled(found)
+        new = settled(components(found))
         if labels is None:
             labels = new
         else:
             to = new.select(F.col("node").alias("component"), F.col("component").alias("to"))
-            labels = pinned(labels.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(new.join(labels.select("node"), "node", "left_anti")))
-        rest = pinned(_unresolved(lists.filter(F.col("rank") > last), labels))
-        lists = rest if "long" in rest.columns else pinned(_with_long(rest))
+            labels = settled(labels.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(new.join(labels.select("node"), "node", "left_anti")))
+        rest = settled(_unresolved(lists.filter(F.col("rank") > last), labels))
+        lists = rest if "long" in rest.columns else settled(_with_long(rest))
         first, last = last + 1, last * GROWTH
         released(docs.sparkSession)
     for drop in drops:
