@@ -167,3 +167,15 @@ def test_estimated_sizes_do_not_multiply_with_the_rounds(spark, monkeypatch):
     out = jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
     assert _digits(out) < 1_000
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == brute(docs)[0]
+
+
+def test_pipeline_estimates_do_not_multiply_with_the_rounds(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard_join, "GROWTH", 2)
+    real, joined = jaccard_join.join, []
+    monkeypatch.setattr(jaccard_join, "join", lambda docs: joined.append(real(docs)) or joined[-1])
+    docs = corpus(2)
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), "")
+    assert len(joined) == 1 and _digits(joined[0]) < 1_000
+    assert {r["doc_id"] for r in out.collect()} == {i for i, (_, low) in brute(docs)[0].items() if i == low}
